@@ -184,7 +184,7 @@ query(
 
 query(
     "dedup_urls",
-    f"{_CANON} SELECT idx, url FROM c WHERE canonical IS NOT NULL "
+    f"{_CANON} SELECT idx, url, canonical FROM c WHERE canonical IS NOT NULL "
     "QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY idx) = 1",
 )(lambda s, sf: D.dedup_urls(B.spellings(s, sf)))
 
@@ -238,7 +238,7 @@ _LINK_KINDS = (
     ("'/login?u=' || CAST(page_id AS VARCHAR(20))", "'blocked_path'", "o || '/login?u=' || i"),
     ("'mailto:a@example.com'", "'absolute_without_host'", "'mailto:a@example.com'"),
     ("'not-a-valid-url'", "'malformed_relative'", "d || 'not-a-valid-url'"),
-    ("'../up/./' || CAST(page_id AS VARCHAR(20))", "NULL", "o || '/up/' || i"),
+    ("'../up/./' || CAST(page_id AS VARCHAR(20))", "NULL", "regexp_replace(d, '([^/])/[^/]+/$', '\\1/') || 'up/' || i"),
     ("'?q=' || CAST(page_id AS VARCHAR(20))", "NULL", "p || '?q=' || i"),
     ("'//cdn.invalid/a.png'", "'other_host'", "s || '//cdn.invalid/a.png'"),
     ("'/bad%zz'", "'unparsable'", "NULL"),
@@ -264,7 +264,7 @@ query(
     "should_follow_link",
     f"{_LINKS_SQL} SELECT idx, pos, reason, reason IS NULL AS follow FROM k",
 )(
-    lambda s, sf: L.should_follow_link(_links(s, sf), resolve=False).select(
+    lambda s, sf: L.should_follow_link(_links(s, sf)).select(
         "idx", "pos", "reason", "follow"
     )
 )
@@ -277,7 +277,7 @@ query(
     "link_follow_reasons",
     f"{_LINKS_SQL} SELECT coalesce(reason, 'followed') AS reason, count(*) AS links FROM k GROUP BY 1",
 )(
-    lambda s, sf: L.should_follow_link(_links(s, sf), resolve=False)
+    lambda s, sf: L.should_follow_link(_links(s, sf))
     .groupBy(F.coalesce("reason", F.lit("followed")).alias("reason"))
     .agg(F.count("*").alias("links"))
 )
@@ -340,11 +340,21 @@ query("robots_allowed_literal", _robots_sql(""))(
 # --- crawls --------------------------------------------------------------------------------------
 
 _DEPTH = 6
-_BFS = (
-    f"WITH RECURSIVE {B.EDGES_SQL}, b AS (SELECT page_id AS idx, 1 AS depth FROM pages WHERE page_id = 0 "
-    f"UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.idx WHERE b.depth < {_DEPTH}), "
-    "m AS (SELECT idx, min(depth) AS depth FROM b GROUP BY idx)"
-)
+
+
+def _bfs_sql(key: str) -> str:
+    """Pages with one address are one page, the first of them."""
+    return (
+        f"WITH RECURSIVE {B.EDGES_SQL}, "
+        f"w AS (SELECT page_id, min(page_id) OVER (PARTITION BY {key}) AS first FROM pages), "
+        "b AS (SELECT first AS idx, 1 AS depth FROM w WHERE page_id = 0 "
+        "UNION SELECT w.first, b.depth + 1 FROM b JOIN e ON e.src = b.idx JOIN w ON w.page_id = e.dst "
+        f"WHERE b.depth < {_DEPTH}), "
+        "m AS (SELECT idx, min(depth) AS depth FROM b GROUP BY idx)"
+    )
+
+
+_BFS = _bfs_sql("split_part(url, '#', 1)")
 
 
 def _seeds(s, sf):
@@ -360,7 +370,14 @@ query("crawl_bfs", f"{_BFS} SELECT idx, depth FROM m")(
 )
 
 
-@query("crawl_bfs_canonical", f"{_BFS} SELECT idx, depth FROM m")
+@query(
+    "crawl_bfs_canonical",
+    _bfs_sql(
+        "rtrim(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '://www[.]', '://'), '/') "
+        "|| '?' || split_part(split_part(url, '#', 1), '?', 2)"
+    )
+    + " SELECT idx, depth FROM m",
+)
 def _crawl_canonical(s, sf):
     """Links spelled differently from the pages they mean."""
     spelled = B.edges(s, sf).withColumn(
@@ -384,7 +401,8 @@ query("page_count", f"WITH {B.EXTRACTED_SQL} SELECT count(*) AS page_count FROM
 
 @query(
     "build_corpus",
-    f"WITH {B.EXTRACTED_SQL} SELECT idx, title, url, content, 1 AS depth FROM x WHERE content <> ''",
+    f"WITH {B.EXTRACTED_SQL} SELECT idx, title, url, content, 1 AS depth FROM x WHERE content <> '' "
+    "QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY idx) = 1",
 )
 def _build_corpus(s, sf):
     """Every page is a seed, as the links of these pages lead to none of them."""

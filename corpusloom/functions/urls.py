@@ -1,8 +1,8 @@
 """URL parsing, normalisation and reference resolution as column expressions.
 
-One regular expression splits a URL; every component below reads its own group, so expression
-trees stay shallow and all of it runs inside code generation. Strings that are not URLs give
-NULL from :func:`normalize_url` and false from :func:`url_is_valid`.
+One regular expression splits a URL. The parts are bound once per row with :func:`let`, so nothing
+is parsed twice. Strings that are not URLs give NULL from :func:`normalize_url` and false from
+:func:`url_is_valid`.
 
 Deviation: percent escapes of bytes that are not UTF-8 are decoded to U+FFFD when a path has to
 be re-encoded (trailing slash removed, or the path holds characters that need escaping).
@@ -10,6 +10,7 @@ be re-encoded (trailing slash removed, or the path holds characters that need es
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ _SPLIT = (
 )
 
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+# What nearly every URL looks like; anything else is examined part by part.
+_ORDINARY = (
+    r"\A(?:https?://[A-Za-z0-9.\-]+(?::[0-9]*)?)?(?:/[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]/]*)?"
+    r"(?:\?[\x21\x22\x24-\x7E]*)?(?:#[\x21-\x24\x26-\x7E]*)?\z"
+)
 _HAS_SLASHES = r"\A[A-Za-z][A-Za-z0-9+.\-]*://"
 
 # Characters each component keeps unescaped when it is printed again (besides A-Za-z0-9-_.~).
@@ -58,51 +64,53 @@ CRAWL_RULES = UrlRules(
 )
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _SPLIT, group)
-
-
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
-
-
-def authority(url: Column) -> Column:
-    return _part(url, 2)
-
-
-def raw_path(url: Column) -> Column:
-    """Undecoded path; empty for opaque URLs such as ``mailto:x``."""
-    return F.when(is_opaque(url), F.lit("")).otherwise(_part(url, 3))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a variable.
 
+    Keeps expression trees linear in size where a plain expression would repeat its input, and
+    keeps the optimizer from copying that input when it moves filters around.
+    """
+    return F.transform(F.array(value), body)[0]
 
-def query(url: Column) -> Column:
-    return _part(url, 4)
 
+def parse_url(url: Column) -> Column:
+    """Struct of undecoded parts, parser flags and validity. ``url`` should be a cheap column."""
 
-def fragment(url: Column) -> Column:
-    return _part(url, 5)
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _SPLIT, group)
 
-
-def has_query_mark(url: Column) -> Column:
-    return url.rlike(r"\A[^#]*\?")
-
-
-def force_query(url: Column) -> Column:
-    """A lone trailing question mark, which survives printing."""
-    return url.rlike(r"\A[^?#]*\?(?:#|\z)")
+    opaque = url.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:[^/?#]")
+    return F.struct(
+        F.lower(part(1)).alias("scheme"),
+        part(2).alias("authority"),
+        F.when(opaque, F.lit("")).otherwise(part(3)).alias("path"),
+        F.when(opaque, part(3)).otherwise(F.lit("")).alias("opaque"),
+        part(4).alias("query"),
+        part(5).alias("fragment"),
+        # A question mark, possibly with nothing after it, before any fragment.
+        (F.contains(url, F.lit("?")) & url.rlike(r"\A[^#?]*\?")).alias("marked"),
+        # A lone trailing question mark, which survives printing.
+        url.rlike(r"\A[^?#]*\?(?:#|\z)").alias("force_query"),
+        url.rlike(_HAS_SLASHES).alias("slashes"),
+        _is_valid(url).alias("valid"),
+    )
 
 
-def is_opaque(url: Column) -> Column:
-    """Scheme followed by something that is neither a path nor an authority."""
-    return url.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:[^/?#]")
+def host_of(authority: Column) -> Column:
+    """Host with port, user info dropped, case kept, escapes decoded."""
+    return percent_decode(
+        F.when(
+            F.contains(authority, F.lit("@")), F.regexp_replace(authority, r"\A.*@", "")
+        ).otherwise(authority)
+    )
 
 
 def host(url: Column) -> Column:
-    """Host with port, user info dropped, case kept, escapes decoded."""
-    return _decode(F.regexp_replace(authority(url), r"\A.*@", ""))
+    """Host of a URL; empty when there is none."""
+    return host_of(F.regexp_extract(url, _SPLIT, 2))
 
 
-def _decode(text: Column) -> Column:
+def percent_decode(text: Column) -> Column:
     """Percent decoding that leaves ``+`` alone; NULL on a broken escape."""
     return F.when(
         F.contains(text, F.lit("%")),
@@ -122,60 +130,73 @@ def _encode(text: Column, keep: str) -> Column:
     return encoded
 
 
-def url_is_valid(url: Column) -> Column:
-    """True for strings a URL parser accepts; NULL for NULL."""
-    bare = F.regexp_replace(url, r"#[\s\S]*\z", "")
-    auth = authority(url)
+def _is_valid(url: Column) -> Column:
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _SPLIT, group)
+
+    auth = part(2)
     user = F.regexp_extract(auth, r"\A(.*)@", 1)
     hostport = F.regexp_replace(auth, r"\A.*@", "")
     bad_user = ~user.rlike(r"\A[A-Za-z0-9\-._:~!$&'()*+,;=%@]*\z") | user.rlike(_BAD_ESCAPE)
     bad_host = (
-        hostport.rlike(r"[ \\^`{|}]")
-        | hostport.rlike(r"%(?![89A-Fa-f][0-9A-Fa-f]|25)")
+        hostport.rlike(r"[ \\^`{|}]|%(?![89A-Fa-f][0-9A-Fa-f]|25)")
         | F.when(
             hostport.startswith("["), ~hostport.rlike(r"\A\[.*\](?::[0-9]*)?\z")
         ).otherwise(hostport.rlike(r":(?![0-9]*\z)[^:]*\z"))
     )
-    return ~(
-        bare.rlike(r"[\x00-\x1F\x7F]")
+    opaque = url.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:[^/?#]")
+    broken = (
+        url.rlike(r"\A[^#]*[\x00-\x1F\x7F]")
         | url.rlike(r"\A(?![A-Za-z][A-Za-z0-9+.\-]*:)[^/?#]*:")
-        | raw_path(url).rlike(_BAD_ESCAPE)
-        | fragment(url).rlike(_BAD_ESCAPE)
+        | (~opaque & part(3).rlike(_BAD_ESCAPE))
+        | part(5).rlike(_BAD_ESCAPE)
         | bad_user
         | bad_host
     )
+    return F.when(url.rlike(_ORDINARY), F.lit(True)).otherwise(~broken)
+
+
+def url_is_valid(url: Column) -> Column:
+    """True for strings a URL parser accepts; NULL for NULL."""
+    return let(url, _is_valid)
+
+
+def path_of(parts: Column, raw: Column, on_error: str) -> Column:
+    fallback = raw if on_error == "raw" else F.when(raw.isNotNull(), F.lit(""))
+    return F.when(parts["valid"], percent_decode(parts["path"])).otherwise(fallback)
 
 
 def url_path(url: Column, on_error: str = "raw") -> Column:
     """Decoded path. Invalid URLs give themselves (``raw``) or an empty string (``empty``)."""
     if on_error not in ("raw", "empty"):
         raise ValueError(f"on_error must be 'raw' or 'empty', not {on_error!r}")
-    fallback = url if on_error == "raw" else F.when(url.isNotNull(), F.lit(""))
-    return F.when(url_is_valid(url), _decode(raw_path(url))).otherwise(fallback)
+    return let(url, lambda u: let(parse_url(u), lambda p: path_of(p, u, on_error)))
 
 
 def escaped_path(path: Column) -> Column:
     """A raw path as a URL printer writes it."""
-    return F.when(path.rlike(_ENCODED_PATH), path).otherwise(_encode(_decode(path), _KEEP_PATH))
+    return F.when(path.rlike(_ENCODED_PATH), path).otherwise(_encode(percent_decode(path), _KEEP_PATH))
 
 
 def _trimmed_path(path: Column) -> Column:
     """Drop exactly one trailing slash, but never the root's."""
-    decoded = _decode(path)
+
+    def reprint(decoded: Column) -> Column:
+        return F.when(
+            (decoded != "/") & decoded.endswith("/"),
+            _encode(F.regexp_replace(decoded, r"/\z", ""), _KEEP_PATH),
+        ).otherwise(escaped_path(path))
+
     return (
         F.when(path == "/", path)
         .when(path.rlike(_PLAIN_PATH), F.regexp_replace(path, r"/\z", ""))
-        .when(
-            (decoded != "/") & decoded.endswith("/"),
-            _encode(F.regexp_replace(decoded, r"/\z", ""), _KEEP_PATH),
-        )
-        .otherwise(escaped_path(path))
+        .otherwise(let(percent_decode(path), reprint))
     )
 
 
 def escaped_fragment(frag: Column) -> Column:
     return F.when(frag.rlike(_ENCODED_FRAGMENT), frag).otherwise(
-        _encode(_decode(frag), _KEEP_FRAGMENT)
+        _encode(percent_decode(frag), _KEEP_FRAGMENT)
     )
 
 
@@ -203,52 +224,69 @@ def sorted_query(text: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(F.array_join(printed, "&"))
 
 
-def _printed_authority(url: Column, remove_www: bool) -> Column:
-    auth = authority(url)
-    name = host(url)
-    if remove_www:
-        name = F.regexp_replace(name, r"\A(?i:www\.)", "")
-    name = F.when(name.rlike(r"[^\x00-\x7F]|%"), _encode(name, _KEEP_HOST)).otherwise(name)
+def _printed_authority(auth: Column, remove_www: bool) -> Column:
+    def name_of(text: Column) -> Column:
+        name = F.regexp_replace(text, r"\A(?i:www\.)", "") if remove_www else text
+        return F.when(name.rlike(r"[^\x00-\x7F]|%"), _encode(name, _KEEP_HOST)).otherwise(name)
+
     user = F.regexp_extract(auth, r"\A(.*)@", 1)
-    first = _encode(_decode(F.regexp_extract(user, r"\A([^:]*)", 1)), _KEEP_USER)
-    rest = _encode(_decode(F.regexp_extract(user, r"\A[^:]*:(.*)\z", 1)), _KEEP_USER)
+    first = _encode(percent_decode(F.regexp_extract(user, r"\A([^:]*)", 1)), _KEEP_USER)
+    rest = _encode(percent_decode(F.regexp_extract(user, r"\A[^:]*:(.*)\z", 1)), _KEEP_USER)
     printed_user = F.concat(
         first, F.when(F.contains(user, F.lit(":")), F.concat(F.lit(":"), rest)).otherwise("")
     )
-    return F.when(F.contains(auth, F.lit("@")), F.concat(printed_user, F.lit("@"), name)).otherwise(
-        name
-    )
+    return F.when(
+        F.contains(auth, F.lit("@")),
+        F.concat(printed_user, F.lit("@"), name_of(host_of(auth))),
+    ).otherwise(name_of(percent_decode(auth)))
 
 
-def normalize_url(url: Column, rules: UrlRules = CRAWL_RULES) -> Column:
-    """Canonical spelling under ``rules``; NULL when the URL does not parse."""
-    path = raw_path(url)
-    printed_path = _trimmed_path(path) if rules.remove_trailing else escaped_path(path)
-    auth = _printed_authority(url, rules.remove_www)
-    slashes = F.when(
-        (auth != "") | (url.rlike(_HAS_SLASHES) & (printed_path != "")), F.lit("//")
-    ).otherwise("")
-    prefix = F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise("")
-    body = F.when(is_opaque(url), _part(url, 3)).otherwise(F.concat(slashes, auth, printed_path))
+def _printed_url(parts: Column, rules: UrlRules) -> Column:
+    path = _trimmed_path(parts["path"]) if rules.remove_trailing else escaped_path(parts["path"])
+    auth = _printed_authority(parts["authority"], rules.remove_www)
+
+    def body_of(pieces: Column) -> Column:
+        slashes = F.when(
+            (pieces["auth"] != "") | (parts["slashes"] & (pieces["path"] != "")), F.lit("//")
+        ).otherwise("")
+        return F.concat(slashes, pieces["auth"], pieces["path"])
 
+    body = F.when(parts["opaque"] != "", parts["opaque"]).otherwise(
+        let(F.struct(auth.alias("auth"), path.alias("path")), body_of)
+    )
+    prefix = F.when(parts["scheme"] != "", F.concat(parts["scheme"], F.lit(":"))).otherwise("")
+    printed = F.concat(prefix, body)
+    mark = F.when(parts["force_query"], F.lit("?")).otherwise("")
     if rules.remove_query:
-        params = F.lit("")
+        printed = F.concat(printed, mark)
     elif rules.sort_query:
-        params = sorted_query(query(url))
+        tail = let(
+            sorted_query(parts["query"]),
+            lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(mark),
+        )
+        printed = F.concat(
+            printed, F.when(parts["query"] == "", mark).otherwise(tail)
+        )
     else:
-        params = query(url)
-    tail = F.when((params != "") | force_query(url), F.concat(F.lit("?"), params)).otherwise("")
-
-    printed = F.concat(prefix, body, tail)
+        printed = F.concat(
+            printed,
+            F.when(parts["query"] != "", F.concat(F.lit("?"), parts["query"])).otherwise(mark),
+        )
     if not rules.remove_fragment:
-        frag = fragment(url)
+        frag = parts["fragment"]
         printed = F.concat(
             printed,
             F.when(frag != "", F.concat(F.lit("#"), escaped_fragment(frag))).otherwise(""),
         )
-    if rules.lowercase:
-        printed = F.lower(printed)
-    return F.when(url_is_valid(url), printed)
+    return F.lower(printed) if rules.lowercase else printed
+
+
+def normalize_url(url: Column, rules: UrlRules = CRAWL_RULES) -> Column:
+    """Canonical spelling under ``rules``; NULL when the URL does not parse."""
+    return let(
+        url,
+        lambda u: let(parse_url(u), lambda p: F.when(p["valid"], _printed_url(p, rules))),
+    )
 
 
 def canonical_url(url: Column, rules: UrlRules = CRAWL_RULES) -> Column:

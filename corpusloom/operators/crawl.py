@@ -17,10 +17,12 @@ _BLOCK = 4096
 
 
 def _key(url: Column, rules: UrlRules | None) -> Column:
-    """What counts as the same address: canonical URL, or the exact one without fragment."""
-    if rules is not None:
-        return normalize_url(url, rules)
-    return F.regexp_replace(url, r"#[\s\S]*\z", "")
+    """What counts as the same address: canonical URL, or the exact one without fragment.
+
+    Exploding a single value keeps filters on the key from being evaluated twice.
+    """
+    exact = F.regexp_replace(url, r"#[\s\S]*\z", "")
+    return F.explode(F.array(exact if rules is None else normalize_url(url, rules))).alias("key")
 
 
 def crawl_bfs(
@@ -47,12 +49,12 @@ def crawl_bfs(
     blocked = edges.select(
         "src",
         div(F.col("pos"), _BLOCK).alias("block"),
-        _key(F.col("dst_url"), rules).alias("key"),
+        _key(F.col("dst_url"), rules),
     ).filter(F.col("key").isNotNull())
     graph = cut_lineage(blocked.distinct().repartition("src", "block"))
 
     blocks = graph.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
-    keyed = pages.select(_key(F.col("url"), rules).alias("key"), "idx", "url").filter(
+    keyed = pages.select(_key(F.col("url"), rules), "idx", "url").filter(
         F.col("key").isNotNull()
     )
     targets = cut_lineage(
@@ -62,7 +64,7 @@ def crawl_bfs(
         .repartition("key")
     )
 
-    wanted = seeds.select(_key(F.col("url"), rules).alias("key")).distinct()
+    wanted = seeds.select(_key(F.col("url"), rules)).distinct()
     rounds: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         found = targets.join(wanted, "key", "left_semi")

@@ -14,7 +14,12 @@ from corpusloom.operators.distributed import first_per_key, salted_lookup
 
 
 def with_canonical(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
-    return df.withColumn("canonical", normalize_url(F.col(url), rules))
+    """Add ``canonical``, NULL for unparsable URLs.
+
+    It leaves through a generator, below which no filter or join key test on it can be pushed, so a
+    URL is normalised once per row.
+    """
+    return df.select("*", F.explode(F.array(normalize_url(F.col(url), rules))).alias("canonical"))
 
 
 def _firsts(keyed: DataFrame) -> DataFrame:
@@ -120,12 +125,11 @@ def new_links_only(
     ``links`` has ``idx, pos, resolved, follow``; the smallest ``(idx, pos)`` speaks for a target.
     """
     targets = (
-        links.filter("follow")
-        .withColumn("canonical", normalize_url(F.col("resolved"), rules))
+        with_canonical(links.filter("follow"), rules, "resolved")
         .filter(F.col("canonical").isNotNull())
         .groupBy("canonical")
         .agg(F.min(F.struct("idx", "pos", "resolved")).alias("_link"))
         .select("canonical", "_link.*")
     )
-    known = seen.select(normalize_url(F.col(seen_url), rules).alias("canonical")).distinct()
+    known = with_canonical(seen.select(seen_url), rules, seen_url).select("canonical").distinct()
     return targets.join(known, "canonical", "left_anti")

@@ -30,72 +30,126 @@ REASONS = (
 )
 
 
-def _resolved_parts(df: DataFrame, base: Column, link: Column) -> DataFrame:
-    """Add the pieces of ``link`` resolved against ``base`` as ``_r_*`` columns.
+def _resolve(base: Column, link: Column) -> Column:
+    """Parts of ``link`` resolved against ``base``; both are parsed URLs."""
+    own = (link["scheme"] != "") | (link["authority"] != "")
+    bare = ~own & (link["path"] == "") & ~link["marked"]
+
+    def merge(paths: Column) -> Column:
+        ref, start = paths["ref"], paths["start"]
+        return (
+            F.when(paths["own"] | ref.startswith("/"), ref)
+            .when(ref == "", start)
+            .otherwise(F.concat(F.regexp_replace(start, r"[^/]*\z", ""), ref))
+        )
 
-    Done in steps: each step reads the columns of the one before, so no expression is repeated.
-    """
-    link_path = U.escaped_path(U.raw_path(link))
-    base_path = U.escaped_path(U.raw_path(base))
-    merged = (
-        F.when(link_path == "", base_path)
-        .when(link_path.startswith("/"), link_path)
-        .otherwise(F.concat(F.regexp_replace(base_path, r"[^/]*\z", ""), link_path))
+    paths = F.struct(
+        own.alias("own"),
+        U.escaped_path(link["path"]).alias("ref"),
+        U.escaped_path(base["path"]).alias("start"),
     )
-    own_root = (U.scheme(link) != "") | (U.authority(link) != "")
-    bare = (U.raw_path(link) == "") & ~U.has_query_mark(link)
-    step = df.withColumns(
-        {
-            "_own": own_root,
-            "_full": F.when(own_root, link_path).otherwise(merged),
-            "_bare": ~own_root & bare,
-            "_opaque": U.is_opaque(link),
-        }
-    )
-    own = F.col("_own")
-    return step.withColumns(
-        {
-            "_r_scheme": F.when(U.scheme(link) != "", U.scheme(link)).otherwise(U.scheme(base)),
-            "_r_authority": F.when(own, U.authority(link)).otherwise(U.authority(base)),
-            "_r_host": F.when(own, U.host(link)).otherwise(U.host(base)),
-            "_r_path": U.remove_dot_segments(F.col("_full")),
-            "_r_query": F.when(F.col("_bare"), U.query(base)).otherwise(U.query(link)),
-            "_r_mark": F.when(F.col("_bare"), U.query(base) != "").otherwise(
-                U.has_query_mark(link)
-            ),
-            "_r_fragment": F.when(
-                F.col("_bare") & (U.fragment(link) == ""), U.fragment(base)
-            ).otherwise(U.fragment(link)),
-        }
+    return F.struct(
+        F.when(link["scheme"] != "", link["scheme"]).otherwise(base["scheme"]).alias("scheme"),
+        F.when(own, link["authority"]).otherwise(base["authority"]).alias("authority"),
+        U.let(U.let(paths, merge), U.remove_dot_segments).alias("path"),
+        link["opaque"].alias("opaque"),
+        F.when(bare, base["query"]).otherwise(link["query"]).alias("query"),
+        F.when(bare, base["query"] != "").otherwise(link["marked"]).alias("marked"),
+        F.when(bare & (link["fragment"] == ""), base["fragment"])
+        .otherwise(link["fragment"])
+        .alias("fragment"),
+        (own & link["slashes"]).alias("slashes"),
+        (base["valid"] & link["valid"]).alias("valid"),
     )
 
 
-def _printed(link: Column, fragment: bool) -> Column:
-    """The resolved URL as text."""
-    scheme = F.when(F.col("_r_scheme") != "", F.concat("_r_scheme", F.lit(":"))).otherwise("")
+def _printed(parts: Column, fragment: bool) -> Column:
+    """A resolved URL as text; NULL when base or link does not parse."""
+    scheme = F.when(parts["scheme"] != "", F.concat(parts["scheme"], F.lit(":"))).otherwise("")
     slashes = F.when(
-        (F.col("_r_authority") != "")
-        | (F.col("_own") & link.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://") & (F.col("_r_path") != "")),
-        F.lit("//"),
+        (parts["authority"] != "") | (parts["slashes"] & (parts["path"] != "")), F.lit("//")
     ).otherwise("")
-    body = F.when(
-        F.col("_opaque"), F.regexp_extract(link, r"\A[^:]*:([^?#]*)", 1)
-    ).otherwise(F.concat(slashes, "_r_authority", "_r_path"))
-    query = F.when(F.col("_r_mark"), F.concat(F.lit("?"), "_r_query")).otherwise("")
+    body = F.when(parts["opaque"] != "", parts["opaque"]).otherwise(
+        F.concat(slashes, parts["authority"], parts["path"])
+    )
+    query = F.when(parts["marked"], F.concat(F.lit("?"), parts["query"])).otherwise("")
     printed = F.concat(scheme, body, query)
     if fragment:
+        frag = parts["fragment"]
         printed = F.concat(
             printed,
-            F.when(
-                F.col("_r_fragment") != "",
-                F.concat(F.lit("#"), U.escaped_fragment(F.col("_r_fragment"))),
-            ).otherwise(""),
+            F.when(frag != "", F.concat(F.lit("#"), U.escaped_fragment(frag))).otherwise(""),
         )
-    return printed
+    return F.when(parts["valid"], printed)
 
 
-def _drop_steps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+def resolve(base: Column, link: Column, fragment: bool = True) -> Column:
+    """RFC 3986 reference resolution; NULL when base or link does not parse.
+
+    ``fragment=False`` prints the address a crawler requests.
+    """
+    return U.let(
+        F.struct(U.parse_url(base).alias("base"), U.parse_url(link).alias("link")),
+        lambda x: U.let(_resolve(x["base"], x["link"]), lambda r: _printed(r, fragment)),
+    )
+
+
+def link_verdict(base: Column, link: Column) -> Column:
+    """Struct ``resolved, reason, follow``; ``reason`` is the first failing rule or NULL."""
+
+    def judge(x: Column) -> Column:
+        own, parsed, found = x["base"], x["link"], x["found"]
+        no_scheme = parsed["scheme"] == ""
+        malformed = no_scheme & (
+            F.contains(link, F.lit("://"))
+            | ((F.octet_length(link) > 10) & ~link.rlike(r"\A[/#?]|[./]"))
+        )
+        path = x["path"]
+        checks = (
+            ~parsed["valid"],
+            malformed,
+            ~no_scheme & (U.host_of(parsed["authority"]) == ""),
+            U.host_of(found["authority"]) != U.host_of(own["authority"]),
+            F.lower(path).rlike(rf"\.(?:{'|'.join(SKIP_EXTENSIONS)})\z"),
+            (found["fragment"] != "") & (path == U.path_of(own, F.lit(""), "empty")),
+            path.rlike("|".join(SKIP_PATHS)),
+        )
+        reason = F.when(checks[0], F.lit(REASONS[0]))
+        for check, label in zip(checks[1:], REASONS[1:]):
+            reason = reason.when(check, F.lit(label))
+        return U.let(
+            F.struct(_printed(found, False).alias("resolved"), reason.alias("reason")),
+            lambda v: F.struct(
+                v["resolved"].alias("resolved"),
+                v["reason"].alias("reason"),
+                v["reason"].isNull().alias("follow"),
+            ),
+        )
+
+    def with_path(x: Column) -> Column:
+        return U.let(
+            F.struct(
+                x["base"].alias("base"),
+                x["link"].alias("link"),
+                x["found"].alias("found"),
+                U.percent_decode(x["found"]["path"]).alias("path"),
+            ),
+            judge,
+        )
+
+    def with_target(x: Column) -> Column:
+        return U.let(
+            F.struct(
+                x["base"].alias("base"),
+                x["link"].alias("link"),
+                _resolve(x["base"], x["link"]).alias("found"),
+            ),
+            with_path,
+        )
+
+    return U.let(
+        F.struct(U.parse_url(base).alias("base"), U.parse_url(link).alias("link")), with_target
+    )
 
 
 def resolve_link(
@@ -105,48 +159,17 @@ def resolve_link(
     name: str = "resolved",
     fragment: bool = True,
 ) -> DataFrame:
-    """RFC 3986 reference resolution; NULL when base or link does not parse.
+    """Add the resolved link."""
+    return df.withColumn(name, resolve(F.col(base), F.col(link), fragment))
 
-    ``fragment=False`` prints the address a crawler requests.
-    """
-    parts = _resolved_parts(df, F.col(base), F.col(link))
-    fine = U.url_is_valid(F.col(base)) & U.url_is_valid(F.col(link))
-    return _drop_steps(parts.withColumn(name, F.when(fine, _printed(F.col(link), fragment))))
 
+def should_follow_link(df: DataFrame, base: str = "url", link: str = "href") -> DataFrame:
+    """Add ``resolved``, ``reason`` and ``follow``.
 
-def should_follow_link(
-    df: DataFrame, base: str = "url", link: str = "href", resolve: bool = True
-) -> DataFrame:
-    """Add ``resolved``, ``reason`` (first failing rule, NULL when followed) and ``follow``."""
-    base_col, link_col = F.col(base), F.col(link)
-    parts = _resolved_parts(df, base_col, link_col).withColumns(
-        {
-            "_decoded": F.try_url_decode(F.replace("_r_path", F.lit("+"), F.lit("%2B"))),
-            "_base_path": U.url_path(base_col, "empty"),
-        }
-    )
-    no_scheme = U.scheme(link_col) == ""
-    malformed = no_scheme & (
-        F.contains(link_col, F.lit("://"))
-        | ((F.octet_length(link_col) > 10) & ~link_col.rlike(r"\A[/#?]|[./]"))
-    )
-    checks = (
-        ~U.url_is_valid(link_col),
-        malformed,
-        ~no_scheme & (U.host(link_col) == ""),
-        F.col("_r_host") != U.host(base_col),
-        F.lower("_decoded").rlike(rf"\.(?:{'|'.join(SKIP_EXTENSIONS)})\z"),
-        (F.col("_decoded") == F.col("_base_path")) & (F.col("_r_fragment") != ""),
-        F.col("_decoded").rlike("|".join(SKIP_PATHS)),
-    )
-    reason = F.when(checks[0], F.lit(REASONS[0]))
-    for check, label in zip(checks[1:], REASONS[1:]):
-        reason = reason.when(check, F.lit(label))
-    out = parts.withColumn("reason", reason).withColumn("follow", F.col("reason").isNull())
-    if resolve:
-        fine = U.url_is_valid(base_col) & U.url_is_valid(link_col)
-        out = out.withColumn("resolved", F.when(fine, _printed(link_col, False)))
-    return _drop_steps(out)
+    The verdict leaves through a generator, below which no filter on it can be pushed: it is worked
+    out once per link even when followed links are filtered or joined afterwards.
+    """
+    return df.select("*", F.inline(F.array(link_verdict(F.col(base), F.col(link)))))
 
 
 def link_graph(pages: DataFrame, scope: str = "content") -> DataFrame:
