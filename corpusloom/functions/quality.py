@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numbers import div
 from corpusloom.functions.text import (
     ASCII_SPACE,
-    UNICODE_SPACE,
     count_words,
+    fields,
     fold_case,
     is_blank,
 )
@@ -108,7 +108,7 @@ def total_lines(text: Column) -> Column:
 
 def empty_lines(text: Column) -> Column:
     """Lines without any visible character: all lines minus those with one."""
-    visible = rf"[^{UNICODE_SPACE}][^\n]*"
+    visible = r"(?U)\S[^\n]*+"
     return total_lines(text) - F.regexp_count(text, F.lit(visible))
 
 
@@ -173,10 +173,7 @@ def quality_score(
 def detect_language(text: Column, words: Column | None = None) -> Column:
     """``en`` when more than one word in twenty is a common English one, else ``unknown``."""
     words = count_words(text) if words is None else words
-    token = "|".join(ENGLISH_WORDS)
-    common = F.regexp_count(
-        F.lower(text), F.lit(rf"(?<![^{UNICODE_SPACE}])(?:{token})(?![^{UNICODE_SPACE}])")
-    )
+    common = F.size(F.filter(fields(F.lower(text)), lambda word: word.isin(*ENGLISH_WORDS)))
     return F.when(common > div(words, 20), F.lit("en")).otherwise(F.lit("unknown"))
 
 

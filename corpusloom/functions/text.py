@@ -1,6 +1,7 @@
 """Whitespace, tokens and noise removal.
 
-Character classes are written out because Java, RE2 and Unicode disagree about ``\\s``.
+``\\s`` stands for Unicode White_Space only under ``(?U)``, where Java tests it by character type;
+the narrower ASCII class is written out.
 """
 
 from __future__ import annotations
@@ -10,11 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode White_Space set, and the ASCII class RE2 calls \s.
-UNICODE_SPACE = (
-    r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# What RE2 calls \s.
 ASCII_SPACE = r"\t\n\f\r "
 
 # Literal heads of the noise phrases.
@@ -44,18 +41,21 @@ def contains_any(text: Column, needles) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip Unicode white space at both ends."""
-    return F.regexp_replace(
-        text, rf"\A[{UNICODE_SPACE}]++|(?<![{UNICODE_SPACE}])[{UNICODE_SPACE}]++\z", ""
-    )
+    return F.regexp_extract(text, r"(?sU)\A\s*+(.*\S)", 1)
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"[^{UNICODE_SPACE}]")
+    return ~text.rlike(r"(?U)\S")
 
 
 def count_words(text: Column) -> Column:
     """Number of fields between runs of Unicode white space."""
-    return F.regexp_count(text, F.lit(rf"[^{UNICODE_SPACE}]+"))
+    return F.regexp_count(text, F.lit(r"(?U)\S++"))
+
+
+def fields(text: Column) -> Column:
+    """The fields themselves; an empty one may stand first or last."""
+    return F.split(text, r"(?U)\s+")
 
 
 def strip_noise(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numbers import div
 from corpusloom.functions.urls import UrlRules, normalize_url
 from corpusloom.operators.distributed import first_per_key
-from corpusloom.session import cut_lineage
+from corpusloom.session import store
 
 # Links of one page travel in blocks of this many, so a page with very many is several join keys.
 _BLOCK = 4096
@@ -36,13 +36,14 @@ def crawl_bfs(
 
     ``pages`` is ``idx, url``; ``edges`` is ``src`` (page idx), ``pos``, ``dst_url`` of followed
     links; ``seeds`` is ``url``. Markup is parsed before this point and never again: the edges are
-    written to the checkpoint folder once, laid out by source. Every round
+    written to the shared folder once. Every round
 
     * joins the frontier with the edges on (source, block of links),
     * collapses the targets to distinct keys before they shuffle, so a page everybody links to is
       one row per task,
     * drops known keys and looks the rest up among the pages, and
-    * checkpoints the new frontier, which bounds lineage and survives lost executors.
+    * writes the new frontier, which bounds lineage and survives lost executors. As a table of known
+      size it is broadcast to the edges while it is small and shuffled against them beyond that.
 
     The driver sees one boolean per round.
     """
@@ -51,17 +52,17 @@ def crawl_bfs(
         div(F.col("pos"), _BLOCK).alias("block"),
         _key(F.col("dst_url"), rules),
     ).filter(F.col("key").isNotNull())
-    graph = cut_lineage(blocked.distinct().repartition("src", "block"))
+    graph = store(blocked, "edges")
 
     blocks = graph.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
     keyed = pages.select(_key(F.col("url"), rules), "idx", "url").filter(
         F.col("key").isNotNull()
     )
-    targets = cut_lineage(
+    targets = store(
         first_per_key(keyed, ["key"], "idx")
         .join(blocks.withColumnRenamed("src", "idx"), "idx", "left")
-        .select("key", "idx", "url", F.coalesce("blocks", F.lit(0)).alias("blocks"))
-        .repartition("key")
+        .select("key", "idx", "url", F.coalesce("blocks", F.lit(0)).alias("blocks")),
+        "targets",
     )
 
     wanted = seeds.select(_key(F.col("url"), rules)).distinct()
@@ -71,7 +72,7 @@ def crawl_bfs(
         if rounds:
             known = reduce(DataFrame.unionByName, rounds)
             found = found.join(known.select("key"), "key", "left_anti")
-        frontier = cut_lineage(found.withColumn("depth", F.lit(depth)))
+        frontier = store(found.withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         rounds.append(frontier)

@@ -21,6 +21,7 @@ from corpusloom.operators.distributed import (
     salted_lookup,
 )
 from corpusloom.operators.page_tree import path_prefixes
+from corpusloom.session import store
 
 SORT_KEYS = ("index", "title", "url", "date")
 _KEPT = "array<struct<idx: long, key: string>>"
@@ -93,13 +94,17 @@ def build_tree(
         else F.lit(""),
     }.get(sort_by, F.lit(""))
     valid = U.url_is_valid(F.col("url"))
-    base = nodes.select(
-        "idx",
-        "url",
-        "title",
-        U.url_path(F.col("url"), "raw").alias("path"),
-        F.when(valid, U.host(F.col("url"))).alias("_host"),
-        key.alias("_key"),
+    # Read several times below, so written once.
+    base = store(
+        nodes.select(
+            "idx",
+            "url",
+            "title",
+            U.url_path(F.col("url"), "raw").alias("path"),
+            F.when(valid, U.host(F.col("url"))).alias("_host"),
+            key.alias("_key"),
+        ),
+        "crawl-nodes",
     )
     root = base.agg(
         F.min("idx").alias("idx"), F.min_by("_key", "idx").alias("key")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.session import cut_lineage
+from corpusloom.session import store
 
 SALTS = 64
 _ROW_BITS = 33
@@ -38,15 +38,14 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> D
     """Dense 0-based numbers in the total order ``order``.
 
     Range partitions are sorted and counted in parallel; only one count per partition meets in one
-    place. The checkpoint pins the partition bounds, which a second evaluation could draw
+    place. Storing the ranges pins their bounds, which a second evaluation could draw
     differently. ``order`` has to identify rows, so that no range grows beyond its share.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(
-        df.repartitionByRange(parts, *order)
+    ranged = store(
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "ranged",
     )
     part = F.shiftright("_at", _ROW_BITS)
     # One row per shuffle partition: the only thing ordered in a single task or broadcast here.

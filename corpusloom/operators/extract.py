@@ -33,7 +33,7 @@ def scan_pages(
     """Run the markup scan over Arrow batches and return ``idx, url`` and the asked-for fields.
 
     The markup itself stays behind: what leaves the Python worker is text and links only. A map
-    keeps the partitioning of its input, so no shuffle happens here; see :func:`spread_pages` for
+    keeps the partitioning of its input, so no shuffle happens here; see :func:`spread` for
     inputs in few large files.
     """
     unknown = set(fields) - set(_TYPES)
@@ -71,10 +71,13 @@ def scan_pages(
     return pages.select("idx", "url", "html").mapInArrow(batches, schema)
 
 
-def spread_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Even out pages over tasks when they sit in few files; batch only."""
-    parts = partitions or pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(parts)
+def spread(rows: DataFrame) -> DataFrame:
+    """Even out heavy rows over the cores when their scan has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass unchanged: no markup is shuffled there.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def extract_title(pages: DataFrame) -> DataFrame:

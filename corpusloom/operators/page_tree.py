@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls as U
 from corpusloom.operators.distributed import first_per_key, salted_lookup
+from corpusloom.session import store
 
 ROOT_TITLE = "Root"
 _ANCESTORS = "array<struct<idx: long, title: string>>"
@@ -37,21 +38,24 @@ def build_page_tree(pages: DataFrame, scope: str = "all") -> DataFrame:
     """
     if scope not in ("all", "host"):
         raise ValueError(f"scope must be 'all' or 'host', not {scope!r}")
-    host = U.host(F.col("url")) if scope == "host" else F.lit("")
-    nodes = pages.select(
-        "idx", "url", "title", U.url_path(F.col("url"), "empty").alias("path"), host.alias("_host")
+    host = [U.host(F.col("url")).alias("_host")] if scope == "host" else []
+    key = ["_host", "_prefix"] if host else ["_prefix"]
+    # Read four times below; titles may come from markup, which must not be parsed that often.
+    nodes = store(
+        pages.select("idx", "url", "title", U.url_path(F.col("url"), "empty").alias("path"), *host),
+        "page-nodes",
     )
     owners = first_per_key(
-        nodes.filter("path <> ''").select("_host", F.col("path").alias("_prefix"), "idx", "title"),
-        ["_host", "_prefix"],
+        nodes.filter("path <> ''").withColumn("_prefix", F.col("path")).select(*key, "idx", "title"),
+        key,
         "idx",
     ).withColumnsRenamed({"idx": "_anc", "title": "_anc_title"})
     wanted = nodes.select(
-        "idx", "_host", F.explode(path_prefixes(F.col("path"))).alias("_prefix")
+        "idx", *key[:-1], F.explode(path_prefixes(F.col("path"))).alias("_prefix")
     ).filter("_prefix <> ''")
     # The collected list is bounded by the number of slashes in one URL.
     chains = (
-        salted_lookup(wanted, owners, ["_host", "_prefix"], F.col("idx"))
+        salted_lookup(wanted, owners, key, F.col("idx"))
         .groupBy("idx")
         .agg(
             F.array_sort(

@@ -20,6 +20,7 @@ from corpusloom.operators.page_tree import (
     title_key,
 )
 from corpusloom.plans.render import header_row, json_string, rows, stack, text_of
+from corpusloom.session import store
 
 _LAST = (1 << 63) - 1
 _ROOT_TIME = "0001-01-01T00:00:00Z"
@@ -60,6 +61,11 @@ def node_directory(ancestors: Column, title: Column) -> Column:
     return _directory(F.concat(F.transform(ancestors, lambda a: a["title"]), F.array(title)))
 
 
+def _stored_tree(pages: DataFrame) -> DataFrame:
+    """The tree as a table, since a document reads it once per kind of row."""
+    return store(build_page_tree(pages), "page-tree")
+
+
 def _toc_rows(tree: DataFrame, file: str, part: int) -> DataFrame:
     return rows(
         tree.filter(~_hidden(F.col("title"))), file, part, _by_title(),
@@ -78,7 +84,7 @@ def render_hier_toc(pages: DataFrame) -> DataFrame:
 def render_hier_markdown(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
     """``documentation_hierarchical.md``: nested contents, then sections with nested headings."""
     file = "documentation_hierarchical.md"
-    tree = build_page_tree(pages)
+    tree = _stored_tree(pages)
     head = header_row(
         pages, file, 0, _no_key(), _counted(),
         "# Documentation Scrape Results (Hierarchical)\n\n",
@@ -104,7 +110,12 @@ def render_hier_index(
     pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
 ) -> DataFrame:
     """``index.md`` with nested links; ``literal`` links to the last directory name only."""
-    tree = build_page_tree(pages)
+    return _index_rows(pages, _stored_tree(pages), root_url, generated_at, literal)
+
+
+def _index_rows(
+    pages: DataFrame, tree: DataFrame, root_url: str, generated_at: Column, literal: bool
+) -> DataFrame:
     head = header_row(
         pages, "index.md", 0, _no_key(), _counted(),
         "# Documentation Index (Hierarchical)\n\n",
@@ -155,7 +166,10 @@ def render_hier_files(pages: DataFrame) -> DataFrame:
     The list of sub-sections is one row per child: a child knows its parent's directory from its own
     ancestors, so no parent has to hold its children.
     """
-    tree = build_page_tree(pages)
+    return _file_rows(pages, _stored_tree(pages))
+
+
+def _file_rows(pages: DataFrame, tree: DataFrame) -> DataFrame:
     paths = page_paths(tree).filter("is_final").select("idx", "file")
     parents = tree.filter("parent_idx IS NOT NULL").select(
         F.col("parent_idx").alias("idx"), F.lit(True).alias("_has_children")
@@ -199,11 +213,12 @@ def render_hier_files(pages: DataFrame) -> DataFrame:
 
 def render_hier_pages(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
     """One file per page in nested directories, with the nested ``index.md`` on top."""
-    index = render_hier_index(pages, root_url, generated_at)
+    tree = _stored_tree(pages)
+    index = _index_rows(pages, tree, root_url, generated_at, False)
     flat = index.withColumn(
         "sort_key", F.concat(F.array(F.lit("")), F.transform("sort_key", _sortable))
     )
-    files = render_hier_files(pages).withColumn(
+    files = _file_rows(pages, tree).withColumn(
         "sort_key", F.array(_padded(F.col("sort_key")))
     )
     return stack(flat, files)
@@ -221,7 +236,7 @@ def _sortable(step: Column) -> Column:
 def render_hier_text(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
     """``documentation_hierarchical.txt``: blocks indented by level."""
     file = "documentation_hierarchical.txt"
-    tree = build_page_tree(pages)
+    tree = _stored_tree(pages)
     head = header_row(
         pages, file, 0, _no_key(), _counted(),
         "DOCUMENTATION SCRAPE RESULTS (HIERARCHICAL)\n",
@@ -253,11 +268,11 @@ def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> D
     after all its descendants. Nesting needs no nested value and no recursion.
     """
     file = "documentation_hierarchical.json"
-    tree = build_page_tree(pages)
-    last_child = tree.groupBy(F.coalesce("parent_idx", F.lit(-1)).alias("_parent")).agg(
+    tree = _stored_tree(pages)
+    last_child = tree.groupBy(F.col("parent_idx").alias("_parent")).agg(
         F.max("idx").alias("_last")
     )
-    has_children = last_child.select(
+    has_children = last_child.filter(F.col("_parent").isNotNull()).select(
         F.col("_parent").alias("idx"), F.lit(True).alias("_has_children")
     )
     closing = last_child.select(F.col("_last").alias("idx"), F.lit(True).alias("_is_last"))
@@ -325,7 +340,7 @@ def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> D
 
 def render_hier_adjacency(pages: DataFrame) -> DataFrame:
     """The same tree as one row per node, for JSON lines."""
-    tree = build_page_tree(pages)
+    tree = _stored_tree(pages)
     return tree.join(pages.select("idx", "content", "timestamp", "depth"), "idx").select(
         "idx",
         "parent_idx",

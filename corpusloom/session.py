@@ -1,4 +1,4 @@
-"""Session defaults and the two ways the library cuts lineage or places scratch data."""
+"""Session defaults and the shared folder where intermediate tables are written."""
 
 from __future__ import annotations
 
@@ -42,10 +42,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a table below the checkpoint root and read it back.
+
+    It ends the lineage and outlives executors as a checkpoint does, and being columnar and of known
+    size it lets later reads prune columns and pick joins.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 def write_rendered(sections: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per ``file`` value; concatenating its parts by name gives the file."""
-    parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["file", *[c for c in ("part", "sort_key") if c in sections.columns]]
     (
-        sections.repartitionByRange(parts, *order)
+        sections.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("file", "text")
         .write.mode(mode)
