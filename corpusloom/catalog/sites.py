@@ -11,6 +11,7 @@ from corpusloom.operators import crawl as C
 from corpusloom.operators import dedup as D
 from corpusloom.operators import extract as E
 from corpusloom.operators import links as L
+from corpusloom.operators.extract import spread
 from corpusloom.plans.corpus import build_corpus
 from corpusloom.sources.readers import list_lines, read_pages
 
@@ -255,7 +256,8 @@ _LINKS_SQL = "WITH q AS (SELECT page_id AS idx, CAST(page_id AS VARCHAR) AS i, u
 
 def _links(s, sf):
     listed = F.array(*[F.expr(e) for e, _, _ in _LINK_KINDS])
-    return B.table(s, sf, "pages").select(
+    pages = spread(B.table(s, sf, "pages").select("page_id", "url"))
+    return pages.select(
         F.col("page_id").alias("idx"), "url", F.posexplode(listed).alias("pos", "href")
     )
 

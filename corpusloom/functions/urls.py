@@ -1,6 +1,6 @@
 """URL parsing, normalisation and reference resolution as column expressions.
 
-One regular expression splits a URL. The parts are bound once per row with :func:`let`, so nothing
+Plain string functions split a URL. The parts are bound once per row with :func:`let`, so nothing
 is parsed twice. Strings that are not URLs give NULL from :func:`normalize_url` and false from
 :func:`url_is_valid`.
 
@@ -16,20 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = (
-    r"\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
-    r"(?:(?:(?<=:)//|(?<!:)//(?!/))([^/?#]*))?"
-    r"([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?\z"
-)
-
+_SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 # What nearly every URL looks like; anything else is examined part by part.
 _ORDINARY = (
     r"\A(?:https?://[A-Za-z0-9.\-]+(?::[0-9]*)?)?(?:/[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]/]*)?"
     r"(?:\?[\x21\x22\x24-\x7E]*)?(?:#[\x21-\x24\x26-\x7E]*)?\z"
 )
-_HAS_SLASHES = r"\A[A-Za-z][A-Za-z0-9+.\-]*://"
-
 # Characters each component keeps unescaped when it is printed again (besides A-Za-z0-9-_.~).
 _KEEP_PATH = "$&+,/:;=@"
 _KEEP_FRAGMENT = "$&+,/:;=?@!()*"
@@ -73,27 +66,86 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _after(text: Column, head: Column, skip: int) -> Column:
+    """What follows ``head`` and ``skip`` more characters."""
+    return F.substring(text, F.length(head) + (skip + 1), F.lit(2147483647))
+
+
+def _cut(url: Column, use: Callable[[Column], Column]) -> Column:
+    """Split a URL with plain string functions, one step at a time, and hand ``use`` the pieces."""
+
+    def fragmentless(x: Column) -> Column:
+        bare = F.substring_index(x["front"], "?", 1)
+        return let(
+            F.struct(
+                x["front"].alias("front"),
+                bare.alias("bare"),
+                F.regexp_extract(bare, _SCHEME, 1).alias("scheme"),
+            ),
+            schemeless,
+        )
+
+    def schemeless(x: Column) -> Column:
+        named = x["scheme"] != ""
+        rest = F.when(named, _after(x["bare"], x["scheme"], 1)).otherwise(x["bare"])
+        return let(
+            F.struct(
+                x["front"].alias("front"),
+                x["bare"].alias("bare"),
+                x["scheme"].alias("scheme"),
+                rest.alias("rest"),
+            ),
+            rooted,
+        )
+
+    def rooted(x: Column) -> Column:
+        rest, named = x["rest"], x["scheme"] != ""
+        slashes = rest.startswith("//") & (named | ~rest.startswith("///"))
+        auth = F.when(slashes, F.substring_index(F.substring(rest, 3, 2147483647), "/", 1))
+        return let(
+            F.struct(
+                x["scheme"].alias("scheme"),
+                rest.alias("rest"),
+                slashes.alias("slashes"),
+                F.coalesce(auth, F.lit("")).alias("authority"),
+                F.contains(x["front"], F.lit("?")).alias("marked"),
+                F.when(
+                    F.contains(x["front"], F.lit("?")), _after(x["front"], x["bare"], 1)
+                ).otherwise("").alias("query"),
+                F.when(F.contains(url, F.lit("#")), _after(url, x["front"], 1))
+                .otherwise("")
+                .alias("fragment"),
+            ),
+            use,
+        )
+
+    return let(F.struct(F.substring_index(url, "#", 1).alias("front")), fragmentless)
+
+
 def parse_url(url: Column) -> Column:
-    """Struct of undecoded parts, parser flags and validity. ``url`` should be a cheap column."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(url, _SPLIT, group)
-
-    opaque = url.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:[^/?#]")
-    return F.struct(
-        F.lower(part(1)).alias("scheme"),
-        part(2).alias("authority"),
-        F.when(opaque, F.lit("")).otherwise(part(3)).alias("path"),
-        F.when(opaque, part(3)).otherwise(F.lit("")).alias("opaque"),
-        part(4).alias("query"),
-        part(5).alias("fragment"),
-        # A question mark, possibly with nothing after it, before any fragment.
-        (F.contains(url, F.lit("?")) & url.rlike(r"\A[^#?]*\?")).alias("marked"),
-        # A lone trailing question mark, which survives printing.
-        url.rlike(r"\A[^?#]*\?(?:#|\z)").alias("force_query"),
-        url.rlike(_HAS_SLASHES).alias("slashes"),
-        _is_valid(url).alias("valid"),
-    )
+    """Struct of undecoded parts, parser flags and validity; NULL parts for NULL."""
+
+    def parts(x: Column) -> Column:
+        opaque = (x["scheme"] != "") & (x["rest"] != "") & ~x["rest"].startswith("/")
+        path = F.when(x["slashes"], _after(x["rest"], x["authority"], 2)).otherwise(x["rest"])
+        return F.struct(
+            F.lower(x["scheme"]).alias("scheme"),
+            x["authority"].alias("authority"),
+            F.when(opaque, F.lit("")).otherwise(path).alias("path"),
+            F.when(opaque, x["rest"]).otherwise(F.lit("")).alias("opaque"),
+            x["query"].alias("query"),
+            x["fragment"].alias("fragment"),
+            # A question mark, possibly with nothing after it, before any fragment.
+            x["marked"].alias("marked"),
+            # A lone trailing question mark, which survives printing.
+            (x["marked"] & (x["query"] == "")).alias("force_query"),
+            (x["slashes"] & (x["scheme"] != "")).alias("slashes"),
+            F.when(url.rlike(_ORDINARY), F.lit(True))
+            .otherwise(~_is_broken(url, x, opaque))
+            .alias("valid"),
+        )
+
+    return _cut(url, parts)
 
 
 def host_of(authority: Column) -> Column:
@@ -107,7 +159,7 @@ def host_of(authority: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host of a URL; empty when there is none."""
-    return host_of(F.regexp_extract(url, _SPLIT, 2))
+    return let(url, lambda u: _cut(u, lambda x: host_of(x["authority"])))
 
 
 def percent_decode(text: Column) -> Column:
@@ -130,11 +182,8 @@ def _encode(text: Column, keep: str) -> Column:
     return encoded
 
 
-def _is_valid(url: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(url, _SPLIT, group)
-
-    auth = part(2)
+def _is_broken(url: Column, x: Column, opaque: Column) -> Column:
+    auth = x["authority"]
     user = F.regexp_extract(auth, r"\A(.*)@", 1)
     hostport = F.regexp_replace(auth, r"\A.*@", "")
     bad_user = ~user.rlike(r"\A[A-Za-z0-9\-._:~!$&'()*+,;=%@]*\z") | user.rlike(_BAD_ESCAPE)
@@ -144,21 +193,19 @@ def _is_valid(url: Column) -> Column:
             hostport.startswith("["), ~hostport.rlike(r"\A\[.*\](?::[0-9]*)?\z")
         ).otherwise(hostport.rlike(r":(?![0-9]*\z)[^:]*\z"))
     )
-    opaque = url.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:[^/?#]")
-    broken = (
+    return (
         url.rlike(r"\A[^#]*[\x00-\x1F\x7F]")
-        | url.rlike(r"\A(?![A-Za-z][A-Za-z0-9+.\-]*:)[^/?#]*:")
-        | (~opaque & part(3).rlike(_BAD_ESCAPE))
-        | part(5).rlike(_BAD_ESCAPE)
+        | ((x["scheme"] == "") & url.rlike(r"\A[^/?#]*:"))
+        | (~opaque & x["rest"].rlike(_BAD_ESCAPE) & ~auth.rlike(_BAD_ESCAPE))
+        | x["fragment"].rlike(_BAD_ESCAPE)
         | bad_user
         | bad_host
     )
-    return F.when(url.rlike(_ORDINARY), F.lit(True)).otherwise(~broken)
 
 
 def url_is_valid(url: Column) -> Column:
     """True for strings a URL parser accepts; NULL for NULL."""
-    return let(url, _is_valid)
+    return let(url, lambda u: let(parse_url(u), lambda p: p["valid"]))
 
 
 def path_of(parts: Column, raw: Column, on_error: str) -> Column:
@@ -189,7 +236,10 @@ def _trimmed_path(path: Column) -> Column:
 
     return (
         F.when(path == "/", path)
-        .when(path.rlike(_PLAIN_PATH), F.regexp_replace(path, r"/\z", ""))
+        .when(
+            path.rlike(_PLAIN_PATH),
+            F.when(path.endswith("/"), F.left(path, F.length(path) - 1)).otherwise(path),
+        )
         .otherwise(let(percent_decode(path), reprint))
     )
 
@@ -226,8 +276,13 @@ def sorted_query(text: Column) -> Column:
 
 def _printed_authority(auth: Column, remove_www: bool) -> Column:
     def name_of(text: Column) -> Column:
-        name = F.regexp_replace(text, r"\A(?i:www\.)", "") if remove_www else text
-        return F.when(name.rlike(r"[^\x00-\x7F]|%"), _encode(name, _KEEP_HOST)).otherwise(name)
+        odd = (F.octet_length(text) != F.length(text)) | F.contains(text, F.lit("%"))
+        printed = F.when(odd, _encode(text, _KEEP_HOST)).otherwise(text)
+        if not remove_www:
+            return printed
+        return F.when(
+            F.lower(F.left(text, F.lit(4))) == "www.", F.substring(printed, 5, 2147483647)
+        ).otherwise(printed)
 
     user = F.regexp_extract(auth, r"\A(.*)@", 1)
     first = _encode(percent_decode(F.regexp_extract(user, r"\A([^:]*)", 1)), _KEEP_USER)

@@ -95,16 +95,22 @@ def extract_content(pages: DataFrame) -> DataFrame:
     )
 
 
+def links_of(scanned: DataFrame, scope: str = "content") -> DataFrame:
+    """One row per link of scanned pages: their other columns, ``pos, href, in_boilerplate``."""
+    if scope not in ("raw", "content"):
+        raise ValueError(f"scope must be 'raw' or 'content', not {scope!r}")
+    others = [c for c in scanned.columns if c != "links"]
+    links = scanned.select(*others, F.inline("links"))
+    return links if scope == "raw" else links.filter(~F.col("in_boilerplate"))
+
+
 def extract_links(pages: DataFrame, scope: str = "content") -> DataFrame:
     """One row per ``a[href]``.
 
     ``content`` leaves out links inside stripped elements, as a crawler that strips before it
     follows does; ``raw`` gives every link of the page.
     """
-    if scope not in ("raw", "content"):
-        raise ValueError(f"scope must be 'raw' or 'content', not {scope!r}")
-    links = scan_pages(pages, ("links",)).select("idx", "url", F.inline("links"))
-    return links if scope == "raw" else links.filter(~F.col("in_boilerplate"))
+    return links_of(scan_pages(pages, ("links",)), scope)
 
 
 def link_count(pages: DataFrame) -> DataFrame:
@@ -118,11 +124,13 @@ def non_empty_content(df: DataFrame, column: str = "content") -> DataFrame:
     return df.filter(~is_blank(F.col(column)))
 
 
-def extract_pages(pages: DataFrame, keep_links: bool = False) -> DataFrame:
-    """Title and clean content of every page that has content."""
-    fields = ("title", "raw_text", "links") if keep_links else ("title", "raw_text")
-    scanned = scan_pages(pages, fields)
-    extra = ["links"] if keep_links else []
+def texts_of(scanned: DataFrame) -> DataFrame:
+    """Title and clean content of the scanned pages that have content."""
     return non_empty_content(
-        scanned.select("idx", "url", "title", clean_text(F.col("raw_text")).alias("content"), *extra)
+        scanned.select("idx", "url", "title", clean_text(F.col("raw_text")).alias("content"))
     )
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """Title and clean content of every page that has content."""
+    return texts_of(scan_pages(pages, ("title", "raw_text")))

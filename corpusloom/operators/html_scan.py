@@ -31,6 +31,10 @@ CONTENT_SELECTORS = (
 TITLE_SELECTORS = ("title", "h1", ".page-title", ".main-title", ".doc-title")
 NO_TITLE = "Untitled"
 
+# How many combinations of tag, class and id a scanner remembers.
+_KINDS = 4096
+_NOTHING: tuple = ()
+
 # Content shorter than this many bytes does not end the search.
 ENOUGH_BYTES = 100
 
@@ -144,6 +148,23 @@ def make_scanner(
     content_of = _Selectors(content_selectors)
     strip_of = _Selectors(strip_selectors)
     title_of = _Selectors(title_selectors)
+    # Few combinations of tag, class and id make up most of any corpus.
+    known: dict[tuple[str, str, str], tuple[bool, list[int], list[int]]] = {}
+
+    def kinds(tag: str, class_text: str, ident: str) -> tuple[bool, list[int], list[int]]:
+        key = (tag, class_text, ident)
+        found = known.get(key)
+        if found is None:
+            classes = class_text.split()
+            found = (
+                bool(strip_of.match(tag, classes, ident)),
+                title_of.match(tag, classes, ident),
+                content_of.match(tag, classes, ident),
+            )
+            if len(known) >= _KINDS:
+                known.clear()
+            known[key] = found
+        return found
 
     def scan(markup: str) -> Scan:
         markup = markup.replace("\r\n", "\n").replace("\r", "\n")
@@ -198,26 +219,31 @@ def make_scanner(
                 close(depth)
             if tag in _ENDS and (depth := find(*_ENDS[tag])) is not None:
                 close(depth)
-            attributes = _attributes(attribute_text) if attribute_text.strip() else {}
-            classes = attributes.get("class", "").split()
-            ident = attributes.get("id", "")
-            strips = bool(strip_of.match(tag, classes, ident))
-            if data_title is None and "data-title" in attributes:
-                data_title = _decode_attribute(attributes["data-title"])
-            if tag == "a" and "href" in attributes:
-                links.append(
-                    (_decode_attribute(attributes["href"]), bool(stripped or strips))
+            if attribute_text:
+                attributes = _attributes(attribute_text)
+                strips, titles, contents = kinds(
+                    tag, attributes.get("class", ""), attributes.get("id", "")
                 )
-            spans, heads = [], []
-            for rank in title_of.match(tag, classes, ident):
-                if title_spans[rank] is None:
-                    title_spans[rank] = [len(raw), -1]
-                    heads.append(title_spans[rank])
-            if not stripped and not strips:
-                for rank in content_of.match(tag, classes, ident):
-                    span = [len(kept), -1]
+                if data_title is None and "data-title" in attributes:
+                    data_title = _decode_attribute(attributes["data-title"])
+                if tag == "a" and "href" in attributes:
+                    links.append(
+                        (_decode_attribute(attributes["href"]), bool(stripped or strips))
+                    )
+            else:
+                strips, titles, contents = kinds(tag, "", "")
+            spans, heads = _NOTHING, _NOTHING
+            if titles:
+                heads = [[len(raw), -1] for rank in titles if title_spans[rank] is None]
+                fresh = [rank for rank in titles if title_spans[rank] is None]
+                for rank, span in zip(fresh, heads):
+                    title_spans[rank] = span
+            if contents and not stripped and not strips:
+                spans = [[len(kept), -1] for _ in contents]
+                for rank, span in zip(contents, spans):
                     content_spans[rank].append(span)
-                    spans.append(span)
+            if empty and not spans and not heads:
+                return
             stripped += strips
             stack.append((tag, strips, spans, heads))
             if empty:
@@ -248,7 +274,7 @@ def make_scanner(
                 break
             text(markup[at : match.start()], True)
             at = match.end()
-            slash, tag = match.group(1), match.group(2)
+            slash, tag, attribute_text, _ = match.groups()
             if tag is None:
                 continue
             if at == size and not match.group().endswith(">"):
@@ -257,7 +283,7 @@ def make_scanner(
             if slash:
                 close_tag(tag)
                 continue
-            open_tag(tag, match.group(3), tag in _VOID)
+            open_tag(tag, attribute_text, tag in _VOID)
             if tag in _END_TAG:
                 end = _END_TAG[tag].search(markup, at)
                 stop = end.start() if end else size

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import urls as U
 from corpusloom.functions.text import trim_space
 from corpusloom.operators.distributed import salted_lookup
-from corpusloom.operators.extract import extract_links
+from corpusloom.operators.extract import links_of, scan_pages
 
 # Endings of resolved paths that are not pages.
 SKIP_EXTENSIONS = (
@@ -95,7 +95,10 @@ def resolve(base: Column, link: Column, fragment: bool = True) -> Column:
 
 
 def link_verdict(base: Column, link: Column) -> Column:
-    """Struct ``resolved, reason, follow``; ``reason`` is the first failing rule or NULL."""
+    """Struct ``resolved, reason, follow``; ``reason`` is the first failing rule or NULL.
+
+    ``base`` is a parsed URL (:func:`corpusloom.functions.urls.parse_url`), ``link`` is text.
+    """
 
     def judge(x: Column) -> Column:
         own, parsed, found = x["base"], x["link"], x["found"]
@@ -147,9 +150,7 @@ def link_verdict(base: Column, link: Column) -> Column:
             with_path,
         )
 
-    return U.let(
-        F.struct(U.parse_url(base).alias("base"), U.parse_url(link).alias("link")), with_target
-    )
+    return U.let(F.struct(base.alias("base"), U.parse_url(link).alias("link")), with_target)
 
 
 def resolve_link(
@@ -169,12 +170,23 @@ def should_follow_link(df: DataFrame, base: str = "url", link: str = "href") ->
     The verdict leaves through a generator, below which no filter on it can be pushed: it is worked
     out once per link even when followed links are filtered or joined afterwards.
     """
-    return df.select("*", F.inline(F.array(link_verdict(F.col(base), F.col(link)))))
+    return _judged(df.withColumn("_base", U.let(F.col(base), U.parse_url)), link)
+
+
+def _judged(df: DataFrame, link: str) -> DataFrame:
+    verdict = F.array(link_verdict(F.col("_base"), F.col(link)))
+    return df.select(*[c for c in df.columns if c != "_base"], F.inline(verdict))
 
 
 def link_graph(pages: DataFrame, scope: str = "content") -> DataFrame:
     """Edges ``idx, url, pos, href, resolved, reason, follow`` of the link graph."""
-    return should_follow_link(extract_links(pages, scope).drop("in_boilerplate"))
+    return graph_of(scan_pages(pages, ("links",)), scope)
+
+
+def graph_of(scanned: DataFrame, scope: str = "content") -> DataFrame:
+    """The link graph of scanned pages; a page's own URL is parsed once, not once per link."""
+    based = scanned.select("idx", "url", U.let(F.col("url"), U.parse_url).alias("_base"), "links")
+    return _judged(links_of(based, scope).drop("in_boilerplate"), "href")
 
 
 def allowed_domain(df: DataFrame, seeds: DataFrame, url: str = "url", seed: str = "url") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.quality import QualityRules, QualityWeights
 from corpusloom.functions.urls import CRAWL_RULES, UrlRules
 from corpusloom.operators.crawl import crawl_bfs
-from corpusloom.operators.extract import extract_pages
-from corpusloom.operators.links import link_graph, robots_allowed
+from corpusloom.operators.extract import extract_pages, scan_pages, texts_of
+from corpusloom.operators.links import graph_of, robots_allowed
 from corpusloom.operators.quality import (
     analyze_content,
     language_filter,
@@ -17,6 +17,7 @@ from corpusloom.operators.quality import (
     quality_filter,
     skip_filter,
 )
+from corpusloom.session import store
 
 
 def scrape_with_quality(
@@ -30,7 +31,17 @@ def scrape_with_quality(
 
     ``skip=True`` also drops what :func:`corpusloom.functions.quality.should_skip` names.
     """
-    scored = analyze_content(extract_pages(pages), rules, weights)
+    return _good_pages(extract_pages(pages), timestamp, rules, weights, skip)
+
+
+def _good_pages(
+    texts: DataFrame,
+    timestamp: Column,
+    rules: QualityRules,
+    weights: QualityWeights = QualityWeights(),
+    skip: bool = False,
+) -> DataFrame:
+    scored = analyze_content(texts, rules, weights)
     kept = language_filter(quality_filter(scored, rules), rules.language)
     return page_metadata(skip_filter(kept, rules) if skip else kept, timestamp)
 
@@ -47,21 +58,25 @@ def build_corpus(
     robots: DataFrame | None = None,
     link_scope: str = "content",
 ) -> DataFrame:
-    """Pages a crawl from the seeds reaches: ``idx, title, url, content, timestamp, depth``."""
+    """Pages a crawl from the seeds reaches: ``idx, title, url, content, timestamp, depth``.
+
+    Markup is scanned once. The crawl then reads the stored links, and only pages it reached have
+    their stored text cleaned and scored.
+    """
     reachable = robots_allowed(pages, robots) if robots is not None else pages
-    edges = link_graph(reachable, link_scope).filter("follow").select(
-        F.col("idx").alias("src"), "pos", F.col("resolved").alias("dst_url")
-    )
+    scanned = store(scan_pages(reachable), "scanned")
+    edges = graph_of(scanned.select("idx", "url", "links"), link_scope).filter("follow")
     visited = crawl_bfs(
-        reachable.select("idx", "url"), edges, seeds, max_depth, url_rules if dedup else None
-    )
-    fetched = reachable.join(visited.select("idx", "depth"), "idx")
-    depths = fetched.select("idx", "depth")
-    texts = (
-        scrape_with_quality(fetched, timestamp, quality_rules)
-        if quality
-        else extract_pages(fetched)
-    )
+        scanned.select("idx", "url"),
+        edges.select(F.col("idx").alias("src"), "pos", F.col("resolved").alias("dst_url")),
+        seeds,
+        max_depth,
+        url_rules if dedup else None,
+    ).select("idx", "depth")
+    reached = scanned.select("idx", "url", "title", "raw_text").join(visited, "idx", "left_semi")
+    texts = texts_of(reached)
+    if quality:
+        texts = _good_pages(texts, timestamp, quality_rules)
     return texts.select("idx", "title", "url", "content", timestamp.alias("timestamp")).join(
-        depths, "idx"
+        visited, "idx"
     )
