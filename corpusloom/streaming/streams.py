@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.quality import PASS_SCORE, QualityRules
-from corpusloom.functions.urls import CRAWL_RULES, UrlRules, normalize_url
+from corpusloom.functions.urls import CRAWL_RULES, UrlRules
+from corpusloom.operators.dedup import with_canonical
+from corpusloom.operators.distributed import SALTS
 from corpusloom.operators.extract import extract_pages
 from corpusloom.operators.quality import analyze_content
 from corpusloom.session import scratch_path
@@ -23,20 +25,30 @@ def stream_dedup_urls(
     rows: DataFrame,
     rules: UrlRules = CRAWL_RULES,
     url: str = "url",
+    spread: str = "idx",
     event_time: str | None = None,
     delay: str = "1 hour",
 ) -> DataFrame:
     """The first arrival of each canonical URL; unparsable URLs never pass.
 
+    A stream cannot combine before its shuffle, so a URL seen very often would pile up on one task.
+    A first pass therefore de-duplicates by URL and bucket of ``spread``; at most ``SALTS`` rows of a
+    URL ever reach the second, which is by URL alone.
+
     With ``event_time`` a key is forgotten once the watermark has passed it, which bounds the
     state; without, every key is remembered.
     """
-    keyed = rows.withColumn("canonical", normalize_url(F.col(url), rules)).filter(
-        F.col("canonical").isNotNull()
-    )
+    keyed = with_canonical(rows, rules, url).filter(F.col("canonical").isNotNull())
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)))
     if event_time is None:
-        return keyed.dropDuplicates(["canonical"])
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["canonical"])
+        once = salted.dropDuplicates(["canonical", "_salt"]).dropDuplicates(["canonical"])
+    else:
+        once = (
+            salted.withWatermark(event_time, delay)
+            .dropDuplicatesWithinWatermark(["canonical", "_salt"])
+            .dropDuplicatesWithinWatermark(["canonical"])
+        )
+    return once.drop("_salt")
 
 
 def stream_quality_stats(scored: DataFrame) -> DataFrame:
