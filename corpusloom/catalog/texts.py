@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import bindings as B
 from corpusloom.functions import quality as Q
-from corpusloom.functions.text import count_words
+from corpusloom.functions.text import count_words, rfc3339
 from corpusloom.operators import profile as P
 from corpusloom.operators import quality as O
+from corpusloom.operators.extract import extract_pages
 from corpusloom.plans.corpus import scrape_with_quality
 
 QUERIES: dict = {}
@@ -321,13 +322,7 @@ for _name, _direction, _fn in (
         f"{_name}_site",
         f"{_X} SELECT idx, url, title, round(score, {_DIGITS}) AS score FROM s "
         f"ORDER BY s.score {_direction}, idx LIMIT 10",
-    )(lambda s, sf, fn=_fn: _ranked(fn(O.analyze_content(E_pages(s, sf)), 10)))
-
-
-def E_pages(s, sf):
-    from corpusloom.operators.extract import extract_pages
-
-    return extract_pages(B.pages(s, sf))
+    )(lambda s, sf, fn=_fn: _ranked(fn(O.analyze_content(extract_pages(B.pages(s, sf))), 10)))
 
 
 query(
@@ -361,8 +356,6 @@ query("language_counts", f"{_M} SELECT language, count(*) AS count FROM s GROUP
     "FROM st, tp, wp, ii",
 )
 def _quality_report(s, sf):
-    from corpusloom.functions.text import rfc3339
-
     def urls(name):
         return F.array_join(F.transform(name, lambda p: p["url"]), " ").alias(name)
 

@@ -170,10 +170,13 @@ def quality_score(
     )
 
 
-def detect_language(text: Column, words: Column | None = None) -> Column:
+def detect_language(
+    text: Column, words: Column | None = None, lowered: Column | None = None
+) -> Column:
     """``en`` when more than one word in twenty is a common English one, else ``unknown``."""
     words = count_words(text) if words is None else words
-    common = F.size(F.filter(fields(F.lower(text)), lambda word: word.isin(*ENGLISH_WORDS)))
+    low = F.lower(text) if lowered is None else lowered
+    common = F.size(F.filter(fields(low), lambda word: word.isin(*ENGLISH_WORDS)))
     return F.when(common > div(words, 20), F.lit("en")).otherwise(F.lit("unknown"))
 
 
@@ -199,10 +202,13 @@ def markdown_link_count(text: Column) -> Column:
     ).otherwise(F.lit(0))
 
 
-def is_navigation_page(title: Column, text: Column, words: Column | None = None) -> Column:
+def is_navigation_page(
+    title: Column, text: Column, words: Column | None = None, lowered: Column | None = None
+) -> Column:
     """Two points make a navigation page: hints in text 1, in title 2, many links 1."""
     words = count_words(text) if words is None else words
-    low_text, low_title = F.lower(text), F.lower(title)
+    low_text = F.lower(text) if lowered is None else lowered
+    low_title = F.lower(title)
     points = [F.contains(low_text, F.lit(hint)).cast("int") for hint in NAVIGATION_HINTS]
     points += [F.contains(low_title, F.lit(hint)).cast("int") * 2 for hint in NAVIGATION_HINTS]
     linked = (words > 0) & (
@@ -211,11 +217,11 @@ def is_navigation_page(title: Column, text: Column, words: Column | None = None)
     return reduce(add, points + [linked.cast("int")]) >= 2
 
 
-def blacklisted_patterns(text: Column, blacklist) -> Column:
+def blacklisted_patterns(text: Column, blacklist, lowered: Column | None = None) -> Column:
     """The blacklist entries found in the text, in blacklist order."""
     if not blacklist:
         return F.array().cast("array<string>")
-    low = F.lower(text)
+    low = F.lower(text) if lowered is None else lowered
     return F.array_compact(
         F.array(*[F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in blacklist])
     )
@@ -238,11 +244,15 @@ def _issue(kind: str, severity: str, description: Column | str) -> Column:
 
 
 def detect_issues(
-    title: Column, text: Column, rules: QualityRules = QualityRules(), words: Column | None = None
+    title: Column,
+    text: Column,
+    rules: QualityRules = QualityRules(),
+    words: Column | None = None,
+    lowered: Column | None = None,
 ) -> Column:
     """Ordered ``array<struct<type, severity, description>>``."""
     words = count_words(text) if words is None else words
-    found = blacklisted_patterns(text, rules.blacklist)
+    found = blacklisted_patterns(text, rules.blacklist, lowered)
     listed = F.concat(
         F.lit("Content contains blacklisted pattern"),
         F.when(F.size(found) > 1, F.lit("s: ")).otherwise(": "),

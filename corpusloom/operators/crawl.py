@@ -4,25 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import div
 from corpusloom.functions.urls import UrlRules, normalize_url
-from corpusloom.operators.distributed import first_per_key
+from corpusloom.operators.distributed import first_per_key, pinned
 from corpusloom.session import store
 
 # Links of one page travel in blocks of this many, so a page with very many is several join keys.
 _BLOCK = 4096
 
 
-def _key(url: Column, rules: UrlRules | None) -> Column:
-    """What counts as the same address: canonical URL, or the exact one without fragment.
-
-    Exploding a single value keeps filters on the key from being evaluated twice.
-    """
-    exact = F.regexp_replace(url, r"#[\s\S]*\z", "")
-    return F.explode(F.array(exact if rules is None else normalize_url(url, rules))).alias("key")
+def _keyed(df: DataFrame, url: str, rules: UrlRules | None) -> DataFrame:
+    """Add ``key``, what counts as the same address: canonical, or exact without fragment."""
+    exact = F.regexp_replace(F.col(url), r"#[\s\S]*\z", "")
+    key = exact if rules is None else normalize_url(F.col(url), rules)
+    return pinned(df, "key", key).filter(F.col("key").isNotNull())
 
 
 def crawl_bfs(
@@ -47,17 +45,11 @@ def crawl_bfs(
 
     The driver sees one boolean per round.
     """
-    blocked = edges.select(
-        "src",
-        div(F.col("pos"), _BLOCK).alias("block"),
-        _key(F.col("dst_url"), rules),
-    ).filter(F.col("key").isNotNull())
-    graph = store(blocked, "edges")
+    blocked = edges.select("src", div(F.col("pos"), _BLOCK).alias("block"), "dst_url")
+    graph = store(_keyed(blocked, "dst_url", rules).drop("dst_url"), "edges")
 
     blocks = graph.groupBy("src").agg((F.max("block") + 1).alias("blocks"))
-    keyed = pages.select(_key(F.col("url"), rules), "idx", "url").filter(
-        F.col("key").isNotNull()
-    )
+    keyed = _keyed(pages.select("idx", "url"), "url", rules)
     targets = store(
         first_per_key(keyed, ["key"], "idx")
         .join(blocks.withColumnRenamed("src", "idx"), "idx", "left")
@@ -65,7 +57,7 @@ def crawl_bfs(
         "targets",
     )
 
-    wanted = seeds.select(_key(F.col("url"), rules)).distinct()
+    wanted = _keyed(seeds.select("url"), "url", rules).select("key").distinct()
     rounds: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         found = targets.join(wanted, "key", "left_semi")

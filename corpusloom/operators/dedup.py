@@ -10,16 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import CRAWL_RULES, UrlRules, normalize_url
-from corpusloom.operators.distributed import first_per_key, salted_lookup
+from corpusloom.operators.distributed import first_per_key, pinned, salted_lookup
 
 
 def with_canonical(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
-    """Add ``canonical``, NULL for unparsable URLs.
-
-    It leaves through a generator, below which no filter or join key test on it can be pushed, so a
-    URL is normalised once per row.
-    """
-    return df.select("*", F.explode(F.array(normalize_url(F.col(url), rules))).alias("canonical"))
+    """Add ``canonical``, NULL for unparsable URLs."""
+    return pinned(df, "canonical", normalize_url(F.col(url), rules))
 
 
 def _firsts(keyed: DataFrame) -> DataFrame:

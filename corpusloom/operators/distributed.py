@@ -12,6 +12,16 @@ SALTS = 64
 _ROW_BITS = 33
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated exactly once per row.
+
+    It leaves through a generator over a single value. Filters and join-key tests on a plain column
+    would be pushed below its projection and evaluate the expression a second time; they cannot
+    pass a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the smallest ``order`` for each key; combines before the shuffle."""
     others = [c for c in df.columns if c not in keys]

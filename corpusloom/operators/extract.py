@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text, is_blank
+from corpusloom.operators.distributed import pinned
 from corpusloom.operators.html_scan import (
     CONTENT_SELECTORS,
     STRIP_SELECTORS,
@@ -126,9 +127,10 @@ def non_empty_content(df: DataFrame, column: str = "content") -> DataFrame:
 
 def texts_of(scanned: DataFrame) -> DataFrame:
     """Title and clean content of the scanned pages that have content."""
-    return non_empty_content(
-        scanned.select("idx", "url", "title", clean_text(F.col("raw_text")).alias("content"))
+    cleaned = pinned(
+        scanned.select("idx", "url", "title", "raw_text"), "content", clean_text(F.col("raw_text"))
     )
+    return non_empty_content(cleaned.drop("raw_text"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

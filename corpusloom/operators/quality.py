@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from corpusloom.functions import quality as Q
 from corpusloom.functions.numbers import div
 from corpusloom.functions.text import count_words, fold_case
+from corpusloom.operators.distributed import pinned
 
 
 def extract_metrics(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
-    """Add the metrics of a text as plain columns.
+    """Add the metrics of a text as plain columns."""
+    return _measured(df, title, content).drop("_lower")
 
-    Words and the folded text are computed once in a first step and read by the second.
+
+def _measured(df: DataFrame, title: str, content: str) -> DataFrame:
+    """Metrics and the lower-case text.
+
+    Words and both case-folded texts are computed once in a first step and read by the next.
     """
     text = F.col(content)
-    step = df.withColumns({"word_count": count_words(text), "_folded": fold_case(text)})
+    step = df.withColumns(
+        {"word_count": count_words(text), "_folded": fold_case(text), "_lower": F.lower(text)}
+    )
     step = step.withColumns(
         {
             "code_block_count": Q.code_block_count(text),
@@ -45,8 +53,9 @@ def analyze_content(
     content: str = "content",
 ) -> DataFrame:
     """Add a ``quality`` struct. Image and link counts are 0, as texts do not carry them."""
-    metrics = extract_metrics(df, title, content)
+    metrics = _measured(df, title, content)
     text, head, words = F.col(content), F.col(title), F.col("word_count")
+    low = F.col("_lower")
     quality = F.struct(
         Q.quality_score(
             words,
@@ -64,14 +73,14 @@ def analyze_content(
         "content_ratio",
         "has_title",
         "has_headers",
-        Q.is_navigation_page(head, text, words).alias("is_navigation_page"),
-        Q.detect_language(text, words).alias("language"),
-        Q.detect_issues(head, text, rules, words).alias("issues"),
+        Q.is_navigation_page(head, text, words, low).alias("is_navigation_page"),
+        Q.detect_language(text, words, low).alias("language"),
+        Q.detect_issues(head, text, rules, words, low).alias("issues"),
         Q.generate_tags(
             words, F.col("code_block_count"), F.col("header_count"), F.col("content_ratio")
         ).alias("tags"),
     )
-    return metrics.select(*df.columns, quality.alias("quality"))
+    return pinned(metrics, "quality", quality).select(*df.columns, "quality")
 
 
 def page_metadata(
