@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ MODEL_ROWS = 4_000_000
 SYMBOLS = 256
 #: The token that ends every text; no word is empty.
 END_TOKEN = b""
-_HELD_WORDS, _HELD_GRAMS, _RUN = 500_000, 4_000_000, 1 << 21
+_HELD_WORDS, _HELD_GRAMS, _RUN = 300_000, 2_000_000, 1 << 19
 
 
 def held_out():
@@ -103,10 +104,11 @@ class _Learn:
             self.keys, self.counts, self.held = [], [], 0
         if words:
             self.words = Counter()
+        times = pa.array([n for _, n in found], pa.int64())
         return {
-            "gram": [*keys.tolist(), *[None] * len(found)],
-            "word": [*[None] * len(keys), *[w for w, _ in found]],
-            "n": [*counts.tolist(), *[n for _, n in found]],
+            "gram": pa.concat_arrays([pa.array(keys), pa.nulls(len(found), pa.int64())]),
+            "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array([w for w, _ in found], pa.binary())]),
+            "n": pa.concat_arrays([pa.array(counts), times]),
         }
 
     def __call__(self, batch) -> dict:
@@ -133,7 +135,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         left, probe = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(left):
@@ -181,6 +183,9 @@ def build(leaves: np.ndarray, counts: np.ndarray, low: np.ndarray, low_counts: n
         else:
             level["excluded"] = np.zeros(len(contexts), np.int64)
         levels.append(level)
+    top = levels[-1]
+    n, sizes = top.pop("n"), (top["total"] + top["kinds"]).repeat(top["kinds"])
+    top["direct"] = np.log10(n / sizes) if len(n) else np.zeros(1)
     return levels
 
 
@@ -191,12 +196,7 @@ class Trie:
         self.levels = levels
         self.symbols = [Lookup(x["symbols"]) for x in levels]
         self.contexts = [Lookup(x["contexts"]) for x in levels]
-        top = levels[-1]
-        if len(top["symbols"]):
-            at = np.searchsorted(top["contexts"], top["symbols"] >> np.int64(8))
-            self.direct = np.log10(top["n"] / (top["total"] + top["kinds"])[at])
-        else:
-            self.direct = np.zeros(1)
+        self.direct = levels[-1]["direct"]
 
     def log10(self, windows: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each window, given the bytes before it."""
@@ -222,7 +222,8 @@ class Trie:
             fresh = level["kinds"][at] - kinds[rows]
             symbol = self.symbols[order].find(window[known] & _mask(order + 1))
             seen = symbol >= 0
-            out[rows[seen]] += np.log10(level["n"][symbol[seen]] / (total + fresh)[seen])
+            if seen.any():  # never at the longest context, whose symbols are answered directly
+                out[rows[seen]] += np.log10(level["n"][symbol[seen]] / (total + fresh)[seen])
             away = ~seen & (fresh > 0)
             out[rows[away]] += np.log10(fresh[away] / (total + fresh)[away])
             mass[rows], kinds[rows] = level["excluded"][at], level["kinds"][at]
