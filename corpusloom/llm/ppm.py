@@ -37,7 +37,7 @@ MODEL_ROWS = 4_000_000
 SYMBOLS = 256
 #: The token that ends every text; no word is empty.
 END_TOKEN = b""
-_HELD_WORDS, _HELD_GRAMS, _RUN = 300_000, 2_000_000, 1 << 19
+_HELD_WORDS, _HELD_GRAMS, _RUN = 200_000, 1_000_000, 1 << 19
 
 
 def held_out():
@@ -89,6 +89,7 @@ class _Learn:
     """Counts words and windows of a partition; large holdings leave as partial counts."""
 
     def __init__(self):
+        _BUILT.clear()
         self.words, self.keys, self.counts, self.held = Counter(), [], [], 0
 
     def _grams(self):
@@ -261,37 +262,42 @@ class _Score:
         self.row = TaskContext.get().partitionId() << 40
 
     def __call__(self, batch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("row", "score", "n_tokens", "n_known", "logs", "rare")}
+        out: dict[str, list] = {name: [] for name in ("row", "score", "n_tokens", "n_known", "logs")}
+        rare, times, ends = [], [], [0]
         for _, parts in _runs(batch):
             windows, sizes = grams(parts)
             logs = np.zeros(len(windows))
             mine = slice(None) if self.shards == 1 else np.flatnonzero(shard_of(windows, self.shards) == self.shard)
             logs[mine] = self.trie.log10(windows[mine])
-            ends = np.cumsum(sizes)
-            out["score"] += np.add.reduceat(logs, ends - sizes).tolist()
+            out["score"] += np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist()
             for part in parts:
                 out["row"].append(self.row)
                 self.row += 1
-                self._words(part, out)
-        first = self.shard == 0
+                if self.words is not None:
+                    counted = self._words(part, rare, times)
+                    ends.append(len(rare))
+                    for name, value in zip(("n_tokens", "n_known", "logs"), counted):
+                        out[name].append(value)
+        if self.words is None:
+            return {"row": out["row"], "score": out["score"]}
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
         own = {c: batch.column(c) for c in ("doc_id", "held_out")}
-        return out | own if first else {"row": out["row"], "score": out["score"]}
+        return out | own | {"rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)}
 
-    def _words(self, part: bytes, out: dict) -> None:
-        if self.words is None:
-            return
-        known, logs, rare, tokens = 0, 0.0, [], part.split()
+    def _words(self, part: bytes, rare: list, times: list) -> tuple[int, int, float]:
+        """Tokens, hot tokens and their log sum; the other words go to the lists with their counts."""
+        known, logs, tokens = 0, 0.0, part.split()
         found = Counter(tokens)
         found[END_TOKEN] = 1
         get = self.words.get
         for word, n in found.items():
             if (log := get(word)) is None:
-                rare.append({"word": word, "times": n})
+                rare.append(word)
+                times.append(n)
             else:
                 known += n
                 logs += n * log
-        for name, value in zip(("n_tokens", "n_known", "logs", "rare"), (len(tokens) + 1, known, logs, rare)):
-            out[name].append(value)
+        return len(tokens) + 1, known, logs
 
 
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
