@@ -17,8 +17,7 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,61 +116,52 @@ def compare(doc_id, text: str, chunks: dict, following: str, next_chunks: dict)
 
 @per_task
 class _Sorted:
-    """Goes along one sorted range; its last row and a copy of its first one leave as open ends."""
+    """Goes along sorted ranges; every row meets its successor, the last one the head of the next range."""
 
     def __init__(self):
-        self.place = TaskContext.get().partitionId()
         self.before = None
 
     def __call__(self, batch) -> dict:
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            row = (doc_id, text, chunk_set(text))
-            if self.before is None:
-                rows.append([0, self.place, text, doc_id, *[None] * (len(_COLUMNS) - 1)])
-            else:
-                rows.append([1, None, None, *compare(*self.before, *row[1:])])
-            self.before = row
-        return self._columns(rows)
-
-    def finish(self):
-        if self.before:
-            doc_id, text, _ = self.before
-            yield self._columns([[2, self.place, text, doc_id, *[None] * (len(_COLUMNS) - 1)]])
-
-    @staticmethod
-    def _columns(rows: list) -> dict:
-        return dict(zip(["end", "place", "text", *_COLUMNS], map(list, zip(*rows)))) if rows else {}
-
-
-def _ends(batch) -> dict:
-    rows = [
-        compare(i, t or "", chunk_set(t or ""), n or "", chunk_set(n or ""))
-        for i, t, n in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "following")])
-    ]
-    return dict(zip(_COLUMNS, map(list, zip(*rows))))
+        rows, names = [], ("range", "head", "doc_id")
+        for range_, head, doc_id, text in zip(*[batch.column(c).to_pylist() for c in names], texts(batch)):
+            chunks = chunk_set(text)
+            if self.before is not None and self.before[0] == range_:
+                rows.append(compare(*self.before[1:], text, chunks))
+            self.before = None if head else (range_, doc_id, text, chunks)
+        return dict(zip(_COLUMNS, map(list, zip(*rows)))) if rows else {}
+
+
+def _range_of(bounds: list[int]) -> Column:
+    """Number of the range of ``doc_id``; null ids come before all others."""
+    inside = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: F.col("doc_id") >= b))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(inside)
 
 
 def shift_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
-    Texts are shuffled once, into ranges of doc_id. Inside a range each row meets its successor; what is
-    left is one open row per range, which is joined to the first row of the next range that has any.
+    Ranges of doc_id come from its quantiles, one bound per partition. The first text of each range is sent to the end
+    of the range before it as well, so texts are shuffled once and no range needs another one's rows.
     """
-    ranged = (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 50 * parts)).first()[0] or []))
+    ranged = chosen.withColumn("range", _range_of(bounds))
+    # One row per range and only one of its texts: what is ordered in a single task here.
+    lowest = store(ranged.groupBy("range").agg(F.min("doc_id").alias("lowest")), "ranges")
+    first = ranged.withColumnRenamed("range", "_range").join(lowest, F.col("doc_id").eqNullSafe(F.col("lowest")))
+    first = store(first.where("range = _range").groupBy("range").agg(F.min("text").alias("text")), "range-heads")
+    in_order = Window.orderBy("range")
+    before = first.select("range", F.lag("range").over(in_order).alias("before"), F.max("range").over(Window.partitionBy()).alias("last"))
+    heads = first.join(before, "range").select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("before", "last").alias("range"), F.lit(True).alias("head")
     )
-    walked = store(map_batches(ranged, _Sorted, f"end int, place int, text string, {RESULT}"), "chunked")
-    # One row per range and no text: the only thing ordered in a single task.
-    firsts = walked.where("end = 0").select("place")
-    in_order = Window.orderBy("place")
-    follows = firsts.select(
-        "place",
-        F.coalesce(F.lead("place").over(in_order), F.min("place").over(Window.partitionBy())).alias("next"),
+    dealt = (
+        ranged.withColumn("head", F.lit(False))
+        .unionByName(heads)
+        .repartitionByRange(parts, "range")
+        .sortWithinPartitions("range", "head", "doc_id", "text")
     )
-    last = walked.where("end = 2").select("place", "doc_id", "text")
-    first = walked.where("end = 0").select(F.col("place").alias("next"), F.col("text").alias("following"))
-    open_rows = last.join(follows, "place").join(first, "next").select("doc_id", "text", "following")
-    return walked.where("end = 1").select(_COLUMNS).unionByName(map_batches(open_rows, _ends, RESULT))
+    return map_batches(dealt, _Sorted, RESULT)
