@@ -64,20 +64,21 @@ query("page_tree_height", f"{_P} SELECT max(true_level) AS height FROM t")(
 )
 
 
-@query(
-    "page_tree_nodes",
-    f"{_P} SELECT idx, title, row_number() OVER (ORDER BY ikey) - 1 AS position FROM t "
-    "WHERE title <> 'Root'",
-)
-def _page_tree_nodes(s, sf):
-    nodes = page_tree(s, sf).filter(F.col("title") != P.ROOT_TITLE)
-    return number_rows(
-        nodes.select("idx", "title", P.insertion_key(F.col("ancestors"), F.col("idx")).alias("k")),
-        [F.col("k")],
-    ).drop("k")
+def _nodes_query(name: str, where: str, literal: bool) -> None:
+    @query(
+        name,
+        f"{_P} SELECT idx, title, row_number() OVER (ORDER BY ikey) - 1 AS position FROM t {where}",
+    )
+    def _(s, sf):
+        nodes = P.page_tree_nodes(page_tree(s, sf), literal)
+        key = P.insertion_key(F.col("ancestors"), F.col("idx")).alias("k")
+        return number_rows(nodes.select("idx", "title", key), [F.col("k")]).drop("k")
+
 
+_nodes_query("page_tree_nodes", "", False)
+_nodes_query("page_tree_nodes_literal", "WHERE title <> 'Root'", True)
 
-query("page_tree_listing", f"{_P} SELECT idx, title FROM t WHERE title <> 'Root'")(
+query("page_tree_listing", f"{_P} SELECT idx, title FROM t")(
     lambda s, sf: P.page_tree_nodes(page_tree(s, sf)).select("idx", "title")
 )
 

@@ -31,10 +31,13 @@ _FOUND = "array<struct<n: int, path: string, idx: long, key: string>>"
 def tree_nodes(urls: DataFrame, contents: DataFrame) -> DataFrame:
     """URLs that have content; the first of equal URLs stays.
 
-    ``urls`` is ``idx, url``; ``contents`` is ``url, title`` and more.
+    ``urls`` is ``idx, url``; ``contents`` is ``url, title`` and more. Contents that repeat a URL
+    count as one, the largest by their columns in order.
     """
     unique = urls.groupBy("url").agg(F.min("idx").alias("idx"))
-    return unique.join(contents, "url")
+    others = [c for c in contents.columns if c != "url"]
+    single = contents.groupBy("url").agg(F.max(F.struct(*others)).alias("_row"))
+    return unique.join(single.select("url", "_row.*"), "url")
 
 
 def _top_only(path: Column) -> Column:
@@ -89,7 +92,8 @@ def build_tree(
     key = {
         "title": F.col("title"),
         "url": F.col("url"),
-        "date": F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        # Instants, not local times, which repeat when clocks go back.
+        "date": F.lpad((F.unix_micros("last_modified") + F.lit(1 << 62)).cast("string"), 20, "0")
         if "last_modified" in nodes.columns
         else F.lit(""),
     }.get(sort_by, F.lit(""))

@@ -35,10 +35,12 @@ def salted_lookup(
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` (unique on ``keys``) without piling a hot key onto one task.
 
-    Facts of one key are spread over ``SALTS`` buckets by ``spread``; the dim row is copied only to
-    the (key, bucket) pairs that occur, found by a distinct that collapses before its shuffle.
+    Facts of one key are spread over as many buckets as there are shuffle partitions, ``SALTS`` at
+    least, by ``spread``; the dim row is copied only to the (key, bucket) pairs that occur, found by a
+    distinct that collapses before its shuffle.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(max(SALTS, partitions))))
     wanted = salted.select(*keys, "_salt").distinct()
     copies = wanted.join(dim, keys, "inner")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

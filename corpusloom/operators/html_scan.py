@@ -8,6 +8,7 @@ scoring, link resolution and everything after it are column expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 from html.entities import html5
@@ -172,6 +173,7 @@ def make_scanner(
         kept: list[str] = []  # text outside stripped elements
         # open elements: (tag, strips, [content span], [title span])
         stack: list[tuple] = []
+        open_tags: Counter = Counter()
         stripped = 0
         content_spans: list[list[list[int]]] = [[] for _ in content_selectors]
         title_spans: list[list[int] | None] = [None for _ in title_selectors]
@@ -196,7 +198,8 @@ def make_scanner(
         def close(depth: int) -> None:
             nonlocal stripped
             while len(stack) > depth:
-                _, strips, spans, heads = stack.pop()
+                tag, strips, spans, heads = stack.pop()
+                open_tags[tag] -= 1
                 stripped -= strips
                 for span in spans:
                     span[1] = len(kept)
@@ -204,6 +207,8 @@ def make_scanner(
                     span[1] = len(raw)
 
         def find(tags, stops) -> int | None:
+            if not any(open_tags[tag] for tag in tags):
+                return None  # else every tag of a deep page would walk the whole stack
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in tags:
                     return depth
@@ -246,6 +251,7 @@ def make_scanner(
                 return
             stripped += strips
             stack.append((tag, strips, spans, heads))
+            open_tags[tag] += 1
             if empty:
                 close(len(stack) - 1)
 

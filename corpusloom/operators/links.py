@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls as U
 from corpusloom.functions.text import trim_space
-from corpusloom.operators.distributed import salted_lookup
+from corpusloom.operators.distributed import pinned, salted_lookup
 from corpusloom.operators.extract import links_of, scan_pages
 
 # Endings of resolved paths that are not pages.
@@ -192,7 +192,7 @@ def graph_of(scanned: DataFrame, scope: str = "content") -> DataFrame:
 def allowed_domain(df: DataFrame, seeds: DataFrame, url: str = "url", seed: str = "url") -> DataFrame:
     """Rows whose host is the host of a seed. A host may hold any share of the rows."""
     hosts = seeds.select(U.host(F.col(seed)).alias("_host")).distinct()
-    keyed = df.withColumn("_host", U.host(F.col(url)))
+    keyed = pinned(df, "_host", U.host(F.col(url)))
     return salted_lookup(keyed, hosts, ["_host"], F.col(url), "left_semi").drop("_host")
 
 
@@ -227,5 +227,5 @@ def robots_allowed(
 ) -> DataFrame:
     """Pages of hosts that are not closed; hosts without robots lines are open."""
     closed = disallowed_hosts(robots, literal).withColumnRenamed("host", "_host")
-    keyed = pages.withColumn("_host", U.host(F.col(url)))
+    keyed = pinned(pages, "_host", U.host(F.col(url)))
     return salted_lookup(keyed, closed, ["_host"], F.col(url), "left_anti").drop("_host")

@@ -121,11 +121,10 @@ def title_key(ancestors: Column, title: Column, idx: Column) -> Column:
     )
 
 
-def page_tree_nodes(tree: DataFrame) -> DataFrame:
-    """All nodes depth first in page order; pages titled like the root are skipped."""
-    return tree.filter(F.col("title") != ROOT_TITLE).orderBy(
-        insertion_key(F.col("ancestors"), F.col("idx"))
-    )
+def page_tree_nodes(tree: DataFrame, literal: bool = False) -> DataFrame:
+    """All nodes depth first in page order; ``literal`` skips pages titled like the root."""
+    shown = tree.filter(F.col("title") != ROOT_TITLE) if literal else tree
+    return shown.orderBy(insertion_key(F.col("ancestors"), F.col("idx")))
 
 
 def page_tree_height(tree: DataFrame) -> DataFrame:

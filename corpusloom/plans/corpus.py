@@ -9,7 +9,7 @@ from corpusloom.functions.quality import QualityRules, QualityWeights
 from corpusloom.functions.urls import CRAWL_RULES, UrlRules
 from corpusloom.operators.crawl import crawl_bfs
 from corpusloom.operators.extract import extract_pages, scan_pages, texts_of
-from corpusloom.operators.links import graph_of, robots_allowed
+from corpusloom.operators.links import allowed_domain, graph_of, robots_allowed
 from corpusloom.operators.quality import (
     analyze_content,
     language_filter,
@@ -61,13 +61,15 @@ def build_corpus(
     """Pages a crawl from the seeds reaches: ``idx, title, url, content, timestamp, depth``.
 
     Markup is scanned once. The crawl then reads the stored links, and only pages it reached have
-    their stored text cleaned and scored.
+    their stored text cleaned and scored. Only pages on hosts of the seeds, and on hosts whose robots
+    lines let them in, can be reached; both are decided on ``idx, url`` without the markup.
     """
-    reachable = robots_allowed(pages, robots) if robots is not None else pages
-    scanned = store(scan_pages(reachable), "scanned")
+    allowed = allowed_domain(pages.select("idx", "url"), seeds)
+    allowed = robots_allowed(allowed, robots) if robots is not None else allowed
+    scanned = store(scan_pages(pages), "scanned")
     edges = graph_of(scanned.select("idx", "url", "links"), link_scope).filter("follow")
     visited = crawl_bfs(
-        scanned.select("idx", "url"),
+        allowed.select("idx", "url"),
         edges.select(F.col("idx").alias("src"), "pos", F.col("resolved").alias("dst_url")),
         seeds,
         max_depth,

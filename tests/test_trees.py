@@ -94,7 +94,7 @@ def test_page_tree(spark, seed):
                 yield from walk(i)
 
     expected = [i for i in walk(None) if nodes[i][2] != "Root"]
-    assert [r.idx for r in P.page_tree_nodes(tree).collect()] == expected
+    assert [r.idx for r in P.page_tree_nodes(tree, literal=True).collect()] == expected
     assert P.page_tree_height(tree).first()[0] == max(depth(i) for i in range(len(nodes)))
 
 
