@@ -36,12 +36,15 @@ PENALTY = -7.0
 #: A text is rejected when no language has this share.
 SURE = 0.5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: ASCII characters other than lower-case letters become blanks.
+_BLANKS = {c: " " for c in range(128) if not chr(c).islower()}
 _CACHE = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return low.translate(_BLANKS).split() if low.isascii() else _WORD.findall(low)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -49,19 +52,23 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _counts(batch) -> dict:
-    counts: Counter = Counter()
+def _word_counts(batch) -> dict:
+    counts: dict = {}
     for lang, text in zip(batch.column("lang").to_pylist(), texts(batch)):
-        for word, n in Counter(words_of(text)).items():
-            counts[lang, 0, word] += n
-            for size in range(1, LONGEST + 1):
-                for gram in grams_of(word, size):
-                    counts[lang, size, gram] += n
-    keys = list(counts)
-    return {
-        "lang": [k[0] for k in keys], "size": [k[1] for k in keys],
-        "entry": [k[2] for k in keys], "n": list(counts.values()),
-    }
+        counts.setdefault(lang, Counter()).update(words_of(text))
+    rows = [(lang, word, n) for lang, found in counts.items() for word, n in found.items()]
+    return {"lang": [r[0] for r in rows], "entry": [r[1] for r in rows], "n": [r[2] for r in rows]}
+
+
+def _gram_counts(batch) -> dict:
+    counts: dict = {}
+    for lang, word, n in zip(*[batch.column(c).to_pylist() for c in ("lang", "entry", "n")]):
+        for size in range(1, LONGEST + 1):
+            found = counts.setdefault((lang, size), {})
+            for gram in grams_of(word, size):
+                found[gram] = found.get(gram, 0) + n
+    rows = [(lang, size, gram, n) for (lang, size), found in counts.items() for gram, n in found.items()]
+    return {name: [r[k] for r in rows] for k, name in enumerate(("lang", "size", "entry", "n"))}
 
 
 def held_out() -> F.Column:
@@ -74,8 +81,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out())
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = labelled.join(store(chosen, "langid-sample"), "doc_id").select("lang", "text")
-    counts = map_batches(sample, _counts, "lang string, size int, entry string, n long")
-    counts = store(counts.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")), "langid-counts")
+    words = map_batches(sample, _word_counts, "lang string, entry string, n long")
+    words = store(words.groupBy("lang", "entry").agg(F.sum("n").alias("n")), "langid-words")
+    # N-grams are cut once from each distinct word, weighted with its count.
+    grams = map_batches(words, _gram_counts, "lang string, size int, entry string, n long")
+    grams = grams.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
+    counts = words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(grams)
+    counts = store(counts, "langid-counts")
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
     kept = shares.where(F.col("share") >= LEAST_SHARE).select("lang", "size", "entry", "share").toArrow()
@@ -90,34 +102,62 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 
 @per_task
 class _Identify:
-    """Scores texts; words met before are remembered as rows of one growing table."""
+    """Scores texts; words met before are remembered as rows of one table, renewed when it is full."""
 
     def __init__(self, model, keep: bool):
-        self.langs, self.entries, self.keep = model.value["langs"], model.value["entries"], keep
-        self.known = {entry: row for (size, entry), row in self.entries.items() if size == 0}
-        self.base = len(self.known)
-
-    def backed_off(self, word: str) -> list[float]:
-        for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [r for g in grams_of(word, size) if (r := self.entries.get((size, g)))]
-            if rows:
-                return [sum(column) / len(rows) for column in zip(*rows)]
-        return [PENALTY] * len(self.langs)
+        self.langs, self.keep = model.value["langs"], keep
+        entries = model.value["entries"]
+        self.rows = np.array(list(entries.values()), float).reshape(len(entries), len(self.langs))
+        places = [{} for _ in range(LONGEST + 1)]
+        for place, (size, entry) in enumerate(entries):
+            places[size][entry] = place
+        self.words, self.grams = places[0], places[1:]
+        self.known, self.base, self.filled = dict(self.words), len(entries), len(entries)
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Per word the mean over its longest known n-grams."""
+        places, sizes = [], []
+        for word in words:
+            found: list = []
+            for size in range(min(LONGEST, len(word) + 2), 0, -1):
+                get = self.grams[size - 1].get
+                if found := [p for g in grams_of(word, size) if (p := get(g)) is not None]:
+                    break
+            places += found
+            sizes.append(len(found))
+        rows, counts = np.full((len(words), len(self.langs)), PENALTY), np.array(sizes)
+        known = np.flatnonzero(counts)
+        if len(known):
+            ends = np.cumsum(counts[known])
+            rows[known] = np.add.reduceat(self.rows[places], ends - counts[known]) / counts[known, None]
+        return rows
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each of these different words."""
+        places = list(map(self.known.get, words))
+        new = [k for k, place in enumerate(places) if place is None]
+        if new and self.filled > self.base and self.filled + len(new) > self.base + _CACHE:
+            self.known, self.filled = dict(self.words), self.base
+            places = list(map(self.known.get, words))
+            new = [k for k, place in enumerate(places) if place is None]
+        if new:
+            unseen, end = [words[k] for k in new], self.filled + len(new)
+            if end > len(self.rows):
+                more = np.zeros((max(len(self.rows), end - len(self.rows)), len(self.langs)))
+                self.rows = np.concatenate([self.rows, more])
+            self.rows[self.filled : end] = self.backed_off(unseen)
+            self.known.update(zip(unseen, range(self.filled, end)))
+            for k, place in zip(new, range(self.filled, end)):
+                places[k] = place
+            self.filled = end
+        return self.rows[places]
 
     def score(self, text: str) -> tuple[str, float]:
         found = Counter(words_of(text))
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.known) > self.base + _CACHE:
-            self.known = {e: r for (size, e), r in self.entries.items() if size == 0}
-        get, rows = self.known.get, []
-        for word in found:
-            row = get(word)
-            if row is None:
-                row = self.known[word] = self.backed_off(word)
-            rows.append(row)
         weight = np.fromiter(found.values(), float, len(found))
-        total = weight @ np.array(rows)
+        total = weight @ self.rows_of(list(found))
         best = int(total.argmax())
         share = 1.0 / np.exp(np.maximum((total - total[best]) * math.log(10), -700)).sum()
         return self.langs[best], float(share)
