@@ -1,8 +1,10 @@
 """Renderings that follow the page tree.
 
-Order keys are arrays of ancestors, so depth-first order is a sort. Pages titled "" or like the root
-are not printed, their children are. Page contents stay out of the tree's shuffles and join back on
-``idx`` at the end.
+Order keys are arrays of ancestors, so depth-first order is a sort. Every page is printed: one without a
+title goes by its URL, and siblings whose directory names are equal get their ``idx`` after it. With
+``literal=True`` pages titled "" or like the root are left out (their children are not), links in the index
+name the last directory only, and of pages with one path the last is kept. Page contents stay out of the
+tree's shuffles and join back on ``idx`` at the end.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ def _hidden(title: Column) -> Column:
     return title.isin("", ROOT_TITLE)
 
 
+def _printed(tree: DataFrame, literal: bool) -> DataFrame:
+    return tree.filter(~_hidden(F.col("title"))) if literal else tree
+
+
 def _by_title() -> Column:
     return title_key(F.col("ancestors"), F.col("title"), F.col("idx"))
 
@@ -38,9 +44,9 @@ def _no_key() -> Column:
     return F.array().cast("array<struct<title: string, idx: long>>")
 
 
-def _counted() -> Column:
-    """Pages not titled like the root, as the headers count them."""
-    return F.count_if(F.col("title") != ROOT_TITLE)
+def _counted(literal: bool) -> Column:
+    """Pages as the headers count them; ``literal`` leaves out those titled like the root."""
+    return F.count_if(F.col("title") != ROOT_TITLE) if literal else F.count("*")
 
 
 def _indent(level: Column) -> Column:
@@ -61,14 +67,59 @@ def node_directory(ancestors: Column, title: Column) -> Column:
     return _directory(F.concat(F.transform(ancestors, lambda a: a["title"]), F.array(title)))
 
 
-def _stored_tree(pages: DataFrame) -> DataFrame:
+def _tree(pages: DataFrame, literal: bool) -> DataFrame:
+    if not literal:
+        title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
+        pages = pages.withColumn("title", title)
+    return build_page_tree(pages)
+
+
+def _stored_tree(pages: DataFrame, literal: bool) -> DataFrame:
     """The tree as a table, since a document reads it once per kind of row."""
-    return store(build_page_tree(pages), "page-tree")
+    return store(_tree(pages, literal), "page-tree")
+
+
+def _placed_tree(pages: DataFrame, literal: bool) -> DataFrame:
+    """The stored tree with each node's directory ``name`` and its whole ``directory``."""
+    tree = _stored_tree(pages, literal)
+    if literal:
+        return tree.withColumns(
+            {
+                "name": safe_directory_name(F.col("title")),
+                "directory": node_directory(F.col("ancestors"), F.col("title")),
+            }
+        )
+    return store(tree.join(_directories(tree), "idx"), "placed-tree")
 
 
-def _toc_rows(tree: DataFrame, file: str, part: int) -> DataFrame:
+def _directories(tree: DataFrame) -> DataFrame:
+    """``idx, name, shared, directory``, no directory twice.
+
+    Siblings that share a name get ``.idx`` after it; safe names have no dot, so these are new ones.
+    """
+    plain = safe_directory_name(F.col("title"))
+    slot = F.concat(F.coalesce(F.col("parent_idx").cast("string"), F.lit("")), F.lit("/"), plain)
+    own = tree.select("idx", plain.alias("_plain"), slot.alias("_slot"))
+    sharing = own.groupBy("_slot").agg((F.count("*") > 1).alias("shared"))
+    numbered = F.concat("_plain", F.lit("."), F.col("idx").cast("string"))
+    named = salted_lookup(own, sharing, ["_slot"], F.col("idx")).select(
+        "idx", "shared", F.when(F.col("shared"), numbered).otherwise(F.col("_plain")).alias("name")
+    )
+    named = store(named, "node-names")
+    chain = F.concat(F.transform("ancestors", lambda a: a["idx"]), F.array("idx"))
+    steps = tree.select("idx", F.posexplode(chain).alias("_at", "_node"))
+    names = named.select(F.col("idx").alias("_node"), F.col("name").alias("_step"))
+    # The collected list is bounded by the number of slashes in one URL.
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_step")))
+    paths = salted_lookup(steps, names, ["_node"], F.col("idx")).groupBy("idx").agg(
+        F.array_join(F.transform(ordered, lambda x: x["_step"]), "/").alias("directory")
+    )
+    return named.join(paths, "idx")
+
+
+def _toc_rows(tree: DataFrame, file: str, part: int, literal: bool) -> DataFrame:
     return rows(
-        tree.filter(~_hidden(F.col("title"))), file, part, _by_title(),
+        _printed(tree, literal), file, part, _by_title(),
         text_of(
             _indent(F.col("true_level")), "- [", F.col("title"), "](#",
             make_anchor(F.col("title")), ")",
@@ -76,17 +127,19 @@ def _toc_rows(tree: DataFrame, file: str, part: int) -> DataFrame:
     )
 
 
-def render_hier_toc(pages: DataFrame) -> DataFrame:
+def render_hier_toc(pages: DataFrame, literal: bool = False) -> DataFrame:
     """The nested contents list alone."""
-    return _toc_rows(build_page_tree(pages), "documentation_hierarchical.md", 1)
+    return _toc_rows(_tree(pages, literal), "documentation_hierarchical.md", 1, literal)
 
 
-def render_hier_markdown(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
+def render_hier_markdown(
+    pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
+) -> DataFrame:
     """``documentation_hierarchical.md``: nested contents, then sections with nested headings."""
     file = "documentation_hierarchical.md"
-    tree = _stored_tree(pages)
+    tree = _stored_tree(pages, literal)
     head = header_row(
-        pages, file, 0, _no_key(), _counted(),
+        pages, file, 0, _no_key(), _counted(literal),
         "# Documentation Scrape Results (Hierarchical)\n\n",
         f"**Scraped from:** {root_url}  \n",
         "**Generated:** ", rfc3339(generated_at), "  \n",
@@ -94,7 +147,7 @@ def render_hier_markdown(pages: DataFrame, root_url: str, generated_at: Column)
     )
     toc_end = header_row(pages, file, 2, _no_key(), F.count("*"), "\n---\n")
     body = rows(
-        _with_content(pages, tree.filter(~_hidden(F.col("title")))), file, 3, _by_title(),
+        _with_content(pages, _printed(tree, literal)), file, 3, _by_title(),
         text_of(
             F.repeat(F.lit("#"), F.least(F.col("true_level") + 1, F.lit(6))),
             " ", F.col("title"), " {#", make_anchor(F.col("title")), "}\n\n",
@@ -103,33 +156,29 @@ def render_hier_markdown(pages: DataFrame, root_url: str, generated_at: Column)
             F.col("content"), "\n",
         ),
     )
-    return stack(head, _toc_rows(tree, file, 1), toc_end, body)
+    return stack(head, _toc_rows(tree, file, 1, literal), toc_end, body)
 
 
 def render_hier_index(
     pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
 ) -> DataFrame:
     """``index.md`` with nested links; ``literal`` links to the last directory name only."""
-    return _index_rows(pages, _stored_tree(pages), root_url, generated_at, literal)
+    return _index_rows(pages, _placed_tree(pages, literal), root_url, generated_at, literal)
 
 
 def _index_rows(
     pages: DataFrame, tree: DataFrame, root_url: str, generated_at: Column, literal: bool
 ) -> DataFrame:
     head = header_row(
-        pages, "index.md", 0, _no_key(), _counted(),
+        pages, "index.md", 0, _no_key(), _counted(literal),
         "# Documentation Index (Hierarchical)\n\n",
         f"**Scraped from:** {root_url}  \n",
         "**Generated:** ", rfc3339(generated_at), "  \n",
         "**Total Pages:** ", F.col("n"), "\n\n## Structure\n",
     )
-    target = (
-        safe_directory_name(F.col("title"))
-        if literal
-        else node_directory(F.col("ancestors"), F.col("title"))
-    )
+    target = F.col("name" if literal else "directory")
     entries = rows(
-        tree.filter(~_hidden(F.col("title"))), "index.md", 1, _by_title(),
+        _printed(tree, literal), "index.md", 1, _by_title(),
         text_of(
             _indent(F.col("true_level")), "- [", F.col("title"), "](", target, "/index.md)"
         ),
@@ -137,17 +186,29 @@ def _index_rows(
     return stack(head, entries)
 
 
-def page_paths(tree: DataFrame) -> DataFrame:
-    """Output file of every visible page, and whether others share it.
+def page_paths(pages: DataFrame, literal: bool = False) -> DataFrame:
+    """``idx, file, path_collision, is_final``: output file of every printed page.
 
-    Of pages with one path the last in depth-first order survives (``is_final``).
+    Each page has a file of its own; ``path_collision`` tells that siblings share its plain name. With
+    ``literal`` pages share files, and the last in depth-first order survives (``is_final``).
     """
-    placed = tree.filter(~_hidden(F.col("title"))).select(
-        "idx",
-        F.concat(node_directory(F.col("ancestors"), F.col("title")), F.lit("/index.md")).alias(
-            "file"
-        ),
-        insertion_key(F.col("ancestors"), F.col("idx")).alias("_key"),
+    tree = _placed_tree(pages, literal)
+    return _last_of_path(tree) if literal else _own_files(tree)
+
+
+def _file() -> Column:
+    return F.concat("directory", F.lit("/index.md")).alias("file")
+
+
+def _own_files(tree: DataFrame) -> DataFrame:
+    return tree.select(
+        "idx", _file(), F.col("shared").alias("path_collision"), F.lit(True).alias("is_final")
+    )
+
+
+def _last_of_path(tree: DataFrame) -> DataFrame:
+    placed = _printed(tree, True).select(
+        "idx", _file(), insertion_key(F.col("ancestors"), F.col("idx")).alias("_key")
     )
     owners = placed.groupBy("file").agg(
         F.count("*").alias("_sharing"), F.max_by("idx", "_key").alias("_final")
@@ -160,17 +221,17 @@ def page_paths(tree: DataFrame) -> DataFrame:
     )
 
 
-def render_hier_files(pages: DataFrame) -> DataFrame:
+def render_hier_files(pages: DataFrame, literal: bool = False) -> DataFrame:
     """``<directories>/index.md`` per page.
 
-    The list of sub-sections is one row per child: a child knows its parent's directory from its own
-    ancestors, so no parent has to hold its children.
+    The list of sub-sections is one row per child, so no parent has to hold its children.
     """
-    return _file_rows(pages, _stored_tree(pages))
+    return _file_rows(pages, _placed_tree(pages, literal), literal)
 
 
-def _file_rows(pages: DataFrame, tree: DataFrame) -> DataFrame:
-    paths = page_paths(tree).filter("is_final").select("idx", "file")
+def _file_rows(pages: DataFrame, tree: DataFrame, literal: bool) -> DataFrame:
+    files = _last_of_path(tree).filter("is_final") if literal else _own_files(tree)
+    paths = files.select("idx", "file")
     parents = tree.filter("parent_idx IS NOT NULL").select(
         F.col("parent_idx").alias("idx"), F.lit(True).alias("_has_children")
     ).distinct()
@@ -190,15 +251,13 @@ def _file_rows(pages: DataFrame, tree: DataFrame) -> DataFrame:
             F.when(F.col("_has_children"), F.lit("\n## Sub-sections\n")).otherwise(""),
         ),
     )
-    children = tree.filter("parent_idx IS NOT NULL").select(
-        "idx", "parent_idx", "title", "ancestors"
-    )
+    children = tree.filter("parent_idx IS NOT NULL").select("idx", "parent_idx", "title", "name")
     kept_parents = paths.withColumnRenamed("idx", "parent_idx")
     listed = rows(
         salted_lookup(children, kept_parents, ["parent_idx"], F.col("idx")),
         F.col("file"), 1, position,
         text_of(
-            "- [", F.col("title"), "](", safe_directory_name(F.col("title")), "/index.md)"
+            "- [", F.col("title"), "](", F.col("name"), "/index.md)"
         ),
     )
     tail = rows(
@@ -211,21 +270,25 @@ def _file_rows(pages: DataFrame, tree: DataFrame) -> DataFrame:
     return stack(head, listed, tail)
 
 
-def render_hier_pages(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
+def render_hier_pages(
+    pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
+) -> DataFrame:
     """One file per page in nested directories, with the nested ``index.md`` on top."""
-    tree = _stored_tree(pages)
-    index = _index_rows(pages, tree, root_url, generated_at, False)
+    tree = _placed_tree(pages, literal)
+    index = _index_rows(pages, tree, root_url, generated_at, literal)
     flat = index.withColumn(
         "sort_key", F.concat(F.array(F.lit("")), F.transform("sort_key", _sortable))
     )
-    files = _file_rows(pages, tree).withColumn(
+    files = _file_rows(pages, tree, literal).withColumn(
         "sort_key", F.array(_padded(F.col("sort_key")))
     )
     return stack(flat, files)
 
 
 def _padded(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 19, "0")
+    """A string that sorts like the number, negative ones included."""
+    shift = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.lpad((number.cast("decimal(20,0)") + shift).cast("string"), 20, "0")
 
 
 def _sortable(step: Column) -> Column:
@@ -233,12 +296,14 @@ def _sortable(step: Column) -> Column:
     return F.concat(step["title"], F.lit("\x00"), _padded(step["idx"]))
 
 
-def render_hier_text(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
+def render_hier_text(
+    pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
+) -> DataFrame:
     """``documentation_hierarchical.txt``: blocks indented by level."""
     file = "documentation_hierarchical.txt"
-    tree = _stored_tree(pages)
+    tree = _stored_tree(pages, literal)
     head = header_row(
-        pages, file, 0, _no_key(), _counted(),
+        pages, file, 0, _no_key(), _counted(literal),
         "DOCUMENTATION SCRAPE RESULTS (HIERARCHICAL)\n",
         "===========================================\n\n",
         f"Scraped from: {root_url}\n",
@@ -248,7 +313,7 @@ def render_hier_text(pages: DataFrame, root_url: str, generated_at: Column) -> D
     indent = _indent(F.col("true_level"))
     rule = F.repeat(F.lit("="), F.greatest(F.lit(80) - F.col("true_level") * 2, F.lit(0)))
     body = rows(
-        _with_content(pages, tree.filter(~_hidden(F.col("title")))), file, 1, _by_title(),
+        _with_content(pages, _printed(tree, literal)), file, 1, _by_title(),
         text_of(
             indent, rule, "\n",
             indent, "TITLE: ", F.col("title"), "\n",
@@ -261,14 +326,17 @@ def render_hier_text(pages: DataFrame, root_url: str, generated_at: Column) -> D
     return stack(head, body)
 
 
-def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> DataFrame:
+def render_hier_json(
+    pages: DataFrame, root_url: str, generated_at: Column, literal: bool = False
+) -> DataFrame:
     """``documentation_hierarchical.json``: the nested document as opening and closing rows.
 
     A node opens at its order key and closes at the key followed by the largest position, hence
-    after all its descendants. Nesting needs no nested value and no recursion.
+    after all its descendants. Nesting needs no nested value and no recursion. All pages are there with the
+    titles they have; ``literal`` only leaves those titled like the root out of the total.
     """
     file = "documentation_hierarchical.json"
-    tree = _stored_tree(pages)
+    tree = _stored_tree(pages, True)
     last_child = tree.groupBy(F.col("parent_idx").alias("_parent")).agg(
         F.max("idx").alias("_last")
     )
@@ -301,7 +369,7 @@ def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> D
         field, '"level": ', F.col("level"), ",\n",
         field, '"path": ', json_string(F.col("path")), ",\n",
         field, '"timestamp": "', rfc3339(F.col("timestamp")), '",\n',
-        field, '"title": ', json_string(F.col("title")), ",\n",
+        field, '"title": ', json_string(F.coalesce("title", F.lit(""))), ",\n",
         field, '"url": ', json_string(F.col("url")), "\n",
         brace, "}", F.when(F.col("_is_last"), F.lit("")).otherwise(","),
     )
@@ -331,7 +399,7 @@ def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> D
         '  "root_url": ', json_string(F.lit(root_url)),
         ',\n  "scraped_at": "', rfc3339(generated_at), '",\n  "total_pages": ',
     )
-    total = pages.agg(_counted().alias("n"))
+    total = pages.agg(_counted(literal).alias("n"))
     foot = foot.withColumn(
         "text", F.concat("text", total.scalar().cast("string"), F.lit("\n}"))
     )
@@ -340,7 +408,7 @@ def render_hier_json(pages: DataFrame, root_url: str, generated_at: Column) -> D
 
 def render_hier_adjacency(pages: DataFrame) -> DataFrame:
     """The same tree as one row per node, for JSON lines."""
-    tree = _stored_tree(pages)
+    tree = _stored_tree(pages, True)
     return tree.join(pages.select("idx", "content", "timestamp", "depth"), "idx").select(
         "idx",
         "parent_idx",

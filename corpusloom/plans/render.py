@@ -222,8 +222,9 @@ def render_output(
     output_type: str = "single",
     hierarchical: bool = False,
     renumber: bool = True,
+    literal: bool = False,
 ) -> DataFrame:
-    """Pick a renderer; anything but ``single`` means one file per page."""
+    """Pick a renderer; anything but ``single`` means one file per page. ``literal`` is for hierarchical ones."""
     if output_format not in FORMATS:
         raise ValueError(f"unsupported output format: {output_format}")
     # Imported here because the hierarchical renderers build on this module.
@@ -237,10 +238,10 @@ def render_output(
             "text": H.render_hier_text,
             "json": H.render_hier_json,
         }
-    else:
-        pick = {
-            "markdown": render_markdown_single if single else render_markdown_pages,
-            "text": render_text_single if single else render_text_pages,
-            "json": render_json,
-        }
+        return pick[output_format](dense, root_url, generated_at, literal)
+    pick = {
+        "markdown": render_markdown_single if single else render_markdown_pages,
+        "text": render_text_single if single else render_text_pages,
+        "json": render_json,
+    }
     return pick[output_format](dense, root_url, generated_at)

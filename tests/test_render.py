@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def test_hier_json(pages, now):
     assert nested(data["hierarchy"]) == ["Root", [
         ["Guide", [["Root", [["Deep Page", []]]], ["About", []], ["About", []]]], ["Other", []],
     ]]
-    assert data["total_pages"] == 5
+    assert data["total_pages"] == 6
     plain = json.dumps(data, indent=2, ensure_ascii=False)
     assert text == plain.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026") + "\n"
 
@@ -111,23 +112,56 @@ def test_hier_json(pages, now):
 def test_hier_markdown(pages, now):
     text = files(H.render_hier_markdown(pages, ROOT, now))["documentation_hierarchical.md"]
     toc = text.split("## Table of Contents\n\n")[1].split("\n\n---")[0]
+    about = ["    - [About](#about)"] * 2
     assert toc.split("\n") == [
-        "  - [Guide](#guide)", "    - [About](#about)", "    - [About](#about)",
-        "      - [Deep Page](#deep-page)", "  - [Other](#other)",
+        "  - [Guide](#guide)", *about, "    - [Root](#root)", "      - [Deep Page](#deep-page)", "  - [Other](#other)",
     ]
-    assert "\n#### Deep Page {#deep-page}\n" in text and "**Total Pages:** 5" in text
+    assert "\n#### Deep Page {#deep-page}\n" in text and "**Total Pages:** 6" in text
+    literal = files(H.render_hier_markdown(pages, ROOT, now, literal=True))["documentation_hierarchical.md"]
+    toc = literal.split("## Table of Contents\n\n")[1].split("\n\n---")[0]
+    assert toc.split("\n") == ["  - [Guide](#guide)", *about, "      - [Deep Page](#deep-page)", "  - [Other](#other)"]
+    assert "**Total Pages:** 5" in literal
+
+
+def linked(made, start="index.md"):
+    """Files that can be reached from ``start`` by the links in it, relative to its folder."""
+    folder = start.rpartition("/")[0]
+    targets = re.findall(r"^ *- \[.*\]\((.*)\)$", made[start], re.M)
+    return {f"{folder}/{t}" if folder else t for t in targets}
 
 
 def test_hier_pages(pages, now):
     made = files(H.render_hier_pages(pages, ROOT, now))
+    own = {"guide", "guide/root", "guide/root/deep_page", "guide/about.3", "guide/about.4", "other"}
+    assert set(made) == {"index.md", *[f"{d}/index.md" for d in own]}
+    assert linked(made) == set(made) - {"index.md"}
+    assert linked(made, "guide/index.md") == {f"guide/{d}/index.md" for d in ("root", "about.3", "about.4")}
+    assert made["guide/about.3/index.md"].endswith("\nz\n") and made["guide/about.4/index.md"].endswith("\ny\n")
+
+
+def test_hier_pages_literal(pages, now):
+    made = files(H.render_hier_pages(pages, ROOT, now, literal=True))
     assert sorted(made) == ["guide/about/index.md", "guide/deep_page/index.md", "guide/index.md", "index.md", "other/index.md"]
     assert made["guide/index.md"].split("## Sub-sections\n\n")[1].startswith(
         "- [Root](root/index.md)\n- [About](about/index.md)\n- [About](about/index.md)\n\n---\n\nSay"
     )
     assert made["guide/about/index.md"].endswith("\ny\n")  # the later of two pages with one path
-    assert "    - [About](guide/about/index.md)\n" in made["index.md"]
-    literal = files(H.render_hier_index(pages, ROOT, now, literal=True))["index.md"]
-    assert "    - [About](about/index.md)\n" in literal
+    assert "    - [About](about/index.md)\n" in made["index.md"]
+
+
+def test_pages_without_title_and_negative_positions(spark, now):
+    rows = [
+        (-2, None, "https://h/a", "first", WHEN, 1), (-10, "", "https://h/b", "second", WHEN, 1),
+        (7, "Root", "https://h/a/c", "third", WHEN, 1), (8, "", "https://h/b", "again", WHEN, 1),
+    ]
+    pages = spark.createDataFrame(rows, "idx long, title string, url string, content string, timestamp timestamp, depth int")
+    text = files(H.render_hier_markdown(pages, ROOT, now))["documentation_hierarchical.md"]
+    assert all(r[3] in text and f"[{r[1] or r[2]}]" in text for r in rows) and "**Total Pages:** 4" in text
+    made = files(H.render_hier_pages(pages, ROOT, now))
+    assert len(made) == 5 and linked(made) == set(made) - {"index.md"}
+    assert files(H.render_hier_text(pages, ROOT, now))["documentation_hierarchical.txt"].count("TITLE: ") == 4
+    data = json.loads(files(H.render_hier_json(pages, ROOT, now))["documentation_hierarchical.json"])
+    assert data["total_pages"] == 4 and len(data["hierarchy"]["children"]) == 3
 
 
 def test_hier_text(pages, now):
