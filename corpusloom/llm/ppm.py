@@ -187,7 +187,14 @@ def build(leaves: np.ndarray, counts: np.ndarray, low: np.ndarray, low_counts: n
     top = levels[-1]
     n, sizes = top.pop("n"), (top["total"] + top["kinds"]).repeat(top["kinds"])
     top["direct"] = np.log10(n / sizes) if len(n) else np.zeros(1)
-    return levels
+    keys = ("symbols", "contexts", "direct")
+    return [{name: x if name in keys else _narrow(x) for name, x in level.items()} for level in levels]
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same counts in the smallest signed type that has room for all of them."""
+    largest = int(counts.max(initial=0))
+    return counts.astype(next(t for t in (np.int16, np.int32, np.int64) if largest <= np.iinfo(t).max))
 
 
 class Trie:
@@ -219,6 +226,7 @@ class Trie:
             context = self.contexts[order].find((window >> np.int64(8)) & _mask(order))
             known = np.flatnonzero(context >= 0)
             at, rows = context[known], left[known]
+            # Sums are taken in 64 bits: both subtrahends are.
             total = level["total"][at] - mass[rows]
             fresh = level["kinds"][at] - kinds[rows]
             symbol = self.symbols[order].find(window[known] & _mask(order + 1))
