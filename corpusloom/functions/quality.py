@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import div
+from corpusloom.functions.urls import let
 from corpusloom.functions.text import (
     ASCII_SPACE,
     count_words,
-    fields,
     fold_case,
     is_blank,
 )
@@ -55,6 +54,11 @@ ENGLISH_WORDS = (
 PASS_SCORE = 0.4
 SKIP_SCORE = 0.3
 
+# A whole field that is one of the words; the first letter is tested before the look behind.
+_ENGLISH = (
+    rf"(?U)(?=[{''.join(sorted({w[0] for w in ENGLISH_WORDS}))}])(?<!\S)"
+    rf"(?:{'|'.join(ENGLISH_WORDS)})(?!\S)"
+)
 _FENCE = r"```[\s\S]*?```"
 _FENCE_PARTS = r"```([0-9A-Za-z_]*)\n([\s\S]*?)```"
 _HEADER = rf"(?dm)^#{{1,6}}[{ASCII_SPACE}]+.+"
@@ -120,22 +124,30 @@ def has_title(title: Column) -> Column:
     return ~title.isin("", "Untitled")
 
 
+def _present(phrases, text: Column) -> Column:
+    """The phrases that are substrings of the text, in their order."""
+    listed = F.array(*[F.lit(p) for p in phrases])
+    return let(text, lambda t: F.filter(listed, lambda phrase: F.contains(t, phrase)))
+
+
 def content_ratio(text: Column, folded: Column | None = None) -> Column:
     """Share of bytes outside boilerplate phrases.
 
     A phrase is only searched with its pattern where a plain substring test on the folded text
-    finds it, which most texts fail.
+    finds it, which most texts fail. Phrases are array entries, as thirteen branches written out make
+    generated methods too long for the JVM to compile.
     """
     folded = fold_case(text) if folded is None else folded
     size = F.octet_length(text)
-    matched = [
-        F.when(
-            F.contains(folded, F.lit(phrase)),
-            size - F.octet_length(F.regexp_replace(text, f"(?iu){phrase}", "")),
-        ).otherwise(F.lit(0))
-        for phrase in BOILERPLATE
-    ]
-    rest = F.greatest(size - reduce(add, matched), F.lit(0))
+    found = _present(BOILERPLATE, folded)
+    matched = F.aggregate(
+        found,
+        F.lit(0),
+        lambda total, phrase: total
+        + size
+        - F.octet_length(F.regexp_replace(text, F.concat(F.lit("(?iu)"), phrase), F.lit(""))),
+    )
+    rest = F.greatest(size - matched, F.lit(0))
     return F.when(size == 0, F.lit(0.0)).otherwise(rest.cast("double") / size)
 
 
@@ -176,7 +188,7 @@ def detect_language(
     """``en`` when more than one word in twenty is a common English one, else ``unknown``."""
     words = count_words(text) if words is None else words
     low = F.lower(text) if lowered is None else lowered
-    common = F.size(F.filter(fields(low), lambda word: word.isin(*ENGLISH_WORDS)))
+    common = F.regexp_count(low, F.lit(_ENGLISH))
     return F.when(common > div(words, 20), F.lit("en")).otherwise(F.lit("unknown"))
 
 
@@ -209,12 +221,11 @@ def is_navigation_page(
     words = count_words(text) if words is None else words
     low_text = F.lower(text) if lowered is None else lowered
     low_title = F.lower(title)
-    points = [F.contains(low_text, F.lit(hint)).cast("int") for hint in NAVIGATION_HINTS]
-    points += [F.contains(low_title, F.lit(hint)).cast("int") * 2 for hint in NAVIGATION_HINTS]
+    in_text, in_title = (F.size(_present(NAVIGATION_HINTS, low)) for low in (low_text, low_title))
     linked = (words > 0) & (
         markdown_link_count(text).cast("double") / F.greatest(words, F.lit(1)) > 0.3
     )
-    return reduce(add, points + [linked.cast("int")]) >= 2
+    return in_text + in_title * 2 + linked.cast("int") >= 2
 
 
 def blacklisted_patterns(text: Column, blacklist, lowered: Column | None = None) -> Column:
@@ -227,8 +238,8 @@ def blacklisted_patterns(text: Column, blacklist, lowered: Column | None = None)
     )
 
 
-def is_blacklisted(text: Column, blacklist) -> Column:
-    low = F.lower(text)
+def is_blacklisted(text: Column, blacklist, lowered: Column | None = None) -> Column:
+    low = F.lower(text) if lowered is None else lowered
     return reduce(
         lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in blacklist], F.lit(False)
     )
@@ -252,12 +263,15 @@ def detect_issues(
 ) -> Column:
     """Ordered ``array<struct<type, severity, description>>``."""
     words = count_words(text) if words is None else words
-    found = blacklisted_patterns(text, rules.blacklist, lowered)
-    listed = F.concat(
-        F.lit("Content contains blacklisted pattern"),
-        F.when(F.size(found) > 1, F.lit("s: ")).otherwise(": "),
-        F.array_join(found, ", "),
-    )
+
+    def blacklisted(found: Column) -> Column:
+        listed = F.concat(
+            F.lit("Content contains blacklisted pattern"),
+            F.when(F.size(found) > 1, F.lit("s: ")).otherwise(": "),
+            F.array_join(found, ", "),
+        )
+        return F.when(F.size(found) > 0, _issue("blacklisted_content", "warning", listed))
+
     checks = [
         F.when(
             words < rules.min_word_count,
@@ -274,7 +288,7 @@ def detect_issues(
         checks.append(
             F.when(is_blank(text), _issue("empty_content", "error", "Page has no content"))
         )
-    checks.append(F.when(F.size(found) > 0, _issue("blacklisted_content", "warning", listed)))
+    checks.append(let(blacklisted_patterns(text, rules.blacklist, lowered), blacklisted))
     return F.array_compact(F.array(*checks))
 
 

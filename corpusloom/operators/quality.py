@@ -52,13 +52,17 @@ def analyze_content(
     title: str = "title",
     content: str = "content",
 ) -> DataFrame:
-    """Add a ``quality`` struct. Image and link counts are 0, as texts do not carry them."""
+    """Add a ``quality`` struct. Image and link counts are 0, as texts do not carry them.
+
+    Score and counts are computed once per row. Navigation, language, issues and tags are only computed where they
+    are read; pin ``quality`` before filters on them if it is read again.
+    """
     metrics = _measured(df, title, content)
-    text, head, words = F.col(content), F.col(title), F.col("word_count")
+    text, head, words = F.col(content), F.col(title), F.col("_core.word_count")
     low = F.col("_lower")
-    quality = F.struct(
+    core = F.struct(
         Q.quality_score(
-            words,
+            F.col("word_count"),
             F.col("code_block_count"),
             F.col("header_count"),
             F.col("content_ratio"),
@@ -73,24 +77,48 @@ def analyze_content(
         "content_ratio",
         "has_title",
         "has_headers",
+        "header_count",
+    )
+    quality = F.struct(
+        *[
+            F.col(f"_core.{name}").alias(name)
+            for name in (
+                "score",
+                "word_count",
+                "code_block_count",
+                "image_count",
+                "link_count",
+                "empty_line_ratio",
+                "content_ratio",
+                "has_title",
+                "has_headers",
+            )
+        ],
         Q.is_navigation_page(head, text, words, low).alias("is_navigation_page"),
         Q.detect_language(text, words, low).alias("language"),
         Q.detect_issues(head, text, rules, words, low).alias("issues"),
         Q.generate_tags(
-            words, F.col("code_block_count"), F.col("header_count"), F.col("content_ratio")
+            words,
+            F.col("_core.code_block_count"),
+            F.col("_core.header_count"),
+            F.col("_core.content_ratio"),
         ).alias("tags"),
     )
-    return pinned(metrics, "quality", quality).select(*df.columns, "quality")
+    return pinned(metrics, "_core", core).select(*df.columns, quality.alias("quality"))
 
 
 def page_metadata(
-    df: DataFrame, last_modified: Column, content_type: str = "text/html", content: str = "content"
+    df: DataFrame,
+    last_modified: Column,
+    content_type: str = "text/html",
+    content: str = "content",
+    words: Column | None = None,
 ) -> DataFrame:
-    """Add the ``metadata`` struct of a page."""
+    """Add the ``metadata`` struct of a page; ``words`` is its word count where that is known."""
     return df.withColumn(
         "metadata",
         F.struct(
-            count_words(F.col(content)).alias("word_count"),
+            (count_words(F.col(content)) if words is None else words).alias("word_count"),
             last_modified.alias("last_modified"),
             F.lit(content_type).alias("content_type"),
         ),

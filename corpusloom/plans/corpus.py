@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.quality import QualityRules, QualityWeights
 from corpusloom.functions.urls import CRAWL_RULES, UrlRules
 from corpusloom.operators.crawl import crawl_bfs
+from corpusloom.operators.distributed import pinned
 from corpusloom.operators.extract import extract_pages, scan_pages, texts_of
 from corpusloom.operators.links import allowed_domain, graph_of, robots_allowed
 from corpusloom.operators.quality import (
@@ -42,8 +43,11 @@ def _good_pages(
     skip: bool = False,
 ) -> DataFrame:
     scored = analyze_content(texts, rules, weights)
+    if rules.language or skip:  # filters read what is only computed on demand
+        scored = pinned(scored.withColumnRenamed("quality", "_quality"), "quality", F.col("_quality")).drop("_quality")
     kept = language_filter(quality_filter(scored, rules), rules.language)
-    return page_metadata(skip_filter(kept, rules) if skip else kept, timestamp)
+    kept = skip_filter(kept, rules) if skip else kept
+    return page_metadata(kept, timestamp, words=F.col("quality.word_count"))
 
 
 def build_corpus(
