@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tasks import map_batches, per_task, texts
+from corpusloom.llm.tasks import map_batches, per_task, small_batches, texts
 from corpusloom.session import store
 
 ORDER = 5
@@ -311,7 +311,8 @@ class _Score:
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gram, n) and (word, c) over all training rows."""
     training = docs.where(~held_out()).select("text")
-    partial = store(map_batches(training, _Learn, "gram long, word binary, n long"), "ppm-counts")
+    with small_batches(docs.sparkSession):
+        partial = store(map_batches(training, _Learn, "gram long, word binary, n long"), "ppm-counts")
     leaves = partial.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
     words = partial.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
     return store(leaves, "ppm-trie"), store(words, "ppm-words")
@@ -342,7 +343,8 @@ def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
         part = _arrays(leaves.where(_shard_column(shards) == shard))
         model = spark.sparkContext.broadcast(build(*part, *low))
         args = (model, hot_words if shard == 0 else None, shard, shards)
-        done = store(map_batches(chosen, _Score, f"{fields}, {more}" if shard == 0 else fields, *args), "ppm-scores")
+        with small_batches(spark):
+            done = store(map_batches(chosen, _Score, f"{fields}, {more}" if shard == 0 else fields, *args), "ppm-scores")
         scored = done if scored is None else _added(scored, done)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     known = rare.join(words, "word", "left").groupBy("row").agg(
