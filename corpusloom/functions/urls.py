@@ -35,6 +35,11 @@ _ENCODED_PATH = r"\A[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/]*\z"
 _ENCODED_FRAGMENT = r"\A[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/?]*\z"
 
 
+# An absolute URL whose parts all print as themselves; the host has more than www. in it.
+_SIMPLE = r"\Ahttps?://(?:[Ww]{3}\.)?+[A-Za-z0-9.\-]+(?::[0-9]*)?(?:/[A-Za-z0-9\-_.~$&+,/:;=@]*)?"
+_SIMPLE_FRAGMENT = r"(?:#[\x21-\x24\x26-\x7E]*)?"
+
+
 @dataclass(frozen=True)
 class UrlRules:
     """Which normalisation steps to apply."""
@@ -337,11 +342,26 @@ def _printed_url(parts: Column, rules: UrlRules) -> Column:
 
 
 def normalize_url(url: Column, rules: UrlRules = CRAWL_RULES) -> Column:
-    """Canonical spelling under ``rules``; NULL when the URL does not parse."""
-    return let(
-        url,
-        lambda u: let(parse_url(u), lambda p: F.when(p["valid"], _printed_url(p, rules))),
-    )
+    """Canonical spelling under ``rules``; NULL when the URL does not parse.
+
+    Most URLs have nothing to decode or encode and no query; they skip the parser.
+    """
+    simple = _SIMPLE + (_SIMPLE_FRAGMENT if rules.remove_fragment else "") + r"\z"
+
+    def printed(u: Column) -> Column:
+        parsed = let(parse_url(u), lambda p: F.when(p["valid"], _printed_url(p, rules)))
+        return F.when(u.rlike(simple), _printed_simple(u, rules)).otherwise(parsed)
+
+    return let(url, printed)
+
+
+def _printed_simple(url: Column, rules: UrlRules) -> Column:
+    text = F.substring_index(url, "#", 1)
+    if rules.remove_www:
+        text = F.regexp_replace(text, r"\A(https?://)[Ww]{3}\.", "$1")
+    if rules.remove_trailing:
+        text = F.regexp_replace(text, r"\A(https?://[^/]++/.*)/\z", "$1")
+    return F.lower(text) if rules.lowercase else text
 
 
 def canonical_url(url: Column, rules: UrlRules = CRAWL_RULES) -> Column:

@@ -138,3 +138,7 @@ def test_blacklist_may_be_empty(spark):
     df = spark.createDataFrame([(1, "u", "T", GOOD)], "idx long, url string, title string, content string")
     rules = Q.QualityRules(min_score=0.1, blacklist=())
     assert O.quality_filter(O.analyze_content(df, rules), rules).count() == 1
+
+
+def test_long_s_counts_as_an_s(spark):
+    assert values(spark, ["ſubscribe now"], Q.content_ratio) == [4 / 14]

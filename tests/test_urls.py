@@ -124,3 +124,16 @@ def test_resolve(spark):
     )
     for row in df.select("*", resolve(F.col("base"), F.col("link")).alias("found")).collect():
         assert row.found == row.expected, row
+
+
+def test_simple_urls_agree_with_the_parser(spark):
+    """A query mark sends a URL through the parser; without it the short way is taken."""
+    hosts = ("h.example", "www.h.example", "WWW.a:80", "www.", "www.www.a", ":80", "")
+    paths = ("", "/", "//", "/a/", "/a//", "/A/b.html", "/../")
+    urls = [f"{s}{h}{p}" for s in ("http://", "https://") for h in hosts for p in paths]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    short, parsed = (
+        U.normalize_url(x, U.UrlRules(remove_query=True, remove_www=True, remove_trailing=True))
+        for x in (F.col("url"), F.concat("url", F.lit("?q=1")))
+    )
+    assert df.where(~short.eqNullSafe(parsed)).count() == 0
