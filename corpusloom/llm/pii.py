@@ -4,8 +4,8 @@ Detectors run on the text as it is, which gives the base spans. Then transducers
 full-width forms become the ASCII characters they look like, invisible characters go, runs of spelled digits become
 digits, spelled plus signs, at signs and dots become the characters. Each rewriting
 is a list of (source start, source end, new text) edits, so a normalised position maps back to the source characters
-it came from. The same detectors run on the normalised text around each edit; what they find there and the base
-spans do not cover is added.
+it came from. The same detectors run on the normalised text around each edit; what they find there and no base span
+of its kind holds whole is added, beside the base span where that is a fragment of it.
 
 All patterns take linear time. Nulls: a null text is empty and has no spans. Repeated rows give a row each; an empty
 table gives an empty result; other columns are ignored, or kept by ``redact``.
@@ -213,7 +213,8 @@ def normalise(text: str) -> Rewritten | None:
 
 
 def _covered(span: Span, taken: list[Span]) -> bool:
-    return any(a < span[2] and span[1] < b for _, a, b in taken)
+    """Whether one of ``taken`` holds all of the span; a fragment of it does not cover it."""
+    return any(a <= span[1] and span[2] <= b for _, a, b in taken)
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

@@ -118,6 +118,21 @@ def test_disguised(text, kind, source):
     assert source not in pii.redacted(text) and f"<{kind.upper()}>" in pii.redacted(text)
 
 
+@pytest.mark.parametrize(
+    ("source", "kind"),
+    [
+        ("аlice@example.com", "email"), ("аliсe@example.com", "email"), ("alice@example.cоm", "email"),
+        ("alice@example.co dot uk", "email"), ("192.168.1.1２", "ip"), ("+44 20 7946 09 five eight nine", "phone"),
+        ("4111 1111 1111 1111 zero zero three", "card"),
+    ],
+)
+def test_disguise_beside_a_base_fragment(source, kind):
+    text = f"see {source}, ok"
+    base, added = pii.find(text)
+    assert base and (kind, 4, 4 + len(source)) in added
+    assert pii.redacted(text) == f"see <{kind.upper()}>, ok"
+
+
 def test_base_cases():
     for text in ("a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "x@y@z.w", "999.1.1.1 1.1.1.256", "4111 1111-1111 1111 1", "+1 2345678 +12"):
         assert pii.detect(text) == plain_base(text)
