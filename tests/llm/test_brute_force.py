@@ -70,6 +70,13 @@ def test_encoders_agree(text):
     assert packing.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\x85"])
+def test_encoding_of_a_very_long_blank_run(space):
+    slow, _ = packing._encoders("byte_bpe_50k")
+    text = "word" + space * 1_000_000 + "x"
+    assert packing.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
