@@ -6,8 +6,10 @@ page. Density sums add the densities of a node's children (text of its own count
 the core. The smallest density on its way up to the body is the threshold: on that way, branches beside it that reach
 the threshold belong to the text as well. A core inside an article or main element stands for all of it.
 
-Elements that are never text (scripts, styles, forms, menus, headers, footers, asides, and those whose class, id or role
-names an advert, a notice, a side bar or reader comments) take no part.
+Elements that are never text (scripts, styles, forms, menus, headers, footers, asides, and those whose role says so) take
+no part. Neither do those whose class or id names an advert, a notice, a side bar or reader comments, as a whole or as a
+known compound, unless they are headings, hold an article or main element, or, on a page without these, hold most of the
+unlinked text.
 
 Nulls: a null or empty page gives an empty text. Pages cut off in the middle of a tag lose that tag. Repeated rows give
 a row each; an empty table gives an empty result; other columns are ignored. No step is deeper than a loop,
@@ -45,6 +47,23 @@ NOISE = frozenset(
     "nav navigation breadcrumb breadcrumbs topbar toolbar masthead footer header comment comments disqus respond reply replies "
     "commentlist share sharing social related recommended pagination pager skip-link search searchbox".split()
 )
+#: First parts of compound names and what follows them where the whole is no text.
+_COMPOUNDS = (
+    ("site main primary secondary top bottom global left right mobile", "nav navigation navbar menu footer sidebar masthead"),
+    ("site main global top mobile", "header banner"),
+    ("ad ads advert advertisement sponsor sponsored promo banner", "container wrapper box slot unit banner block area link links top bottom left right sidebar label space placeholder widget"),
+    ("cookie cookies consent gdpr", "notice banner bar consent popup overlay message warning law info modal wall"),
+    ("newsletter subscribe subscription signup login", "form box signup popup modal banner widget block wrapper section container link overlay"),
+    ("comment comments respond reply replies", "list area form section wrapper container box body content meta reply thread respond widget"),
+    ("share sharing social", "buttons button bar links icons share sharing box list menu widget nav follow"),
+    ("related recommended", "posts articles stories content links items news list widget"),
+    ("search", "form box bar field input widget toggle overlay"),
+    ("nav navigation navbar menu breadcrumb breadcrumbs footer sidebar widget widgets pagination pager toolbar masthead topbar", "bar menu list links link wrapper container area widget widgets inner item items left right top bottom nav content main primary secondary"),
+    ("header", "bar menu nav links top wrapper container inner widget"),
+    ("modal popup overlay", "dialog content overlay window wrapper container backdrop box"),
+)
+COMPOUNDS = frozenset(f"{a}-{b}" for firsts, seconds in _COMPOUNDS for a in firsts.split() for b in seconds.split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split()
 )
@@ -53,10 +72,12 @@ _TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S
 )
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[\s_]+")
+_JOINT = re.compile(r"[-_]+")
+_NUMBER = re.compile(r"(?:-?[0-9]+(?:x[0-9]+)?)+$")
 
 
-def _noise(name: str, attributes: str) -> bool:
+def _dropped(name: str, attributes: str) -> bool:
+    """Whether the element's own name, role or aria-hidden says that it is never text."""
     if name in DROPPED:
         return True
     if "=" not in attributes:
@@ -65,9 +86,18 @@ def _noise(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id"):
-            for part in _PART.split(value):
-                if part in NOISE or name not in CONTAINERS and not NOISE.isdisjoint(part.split("-")):
+    return False
+
+
+def _suspect(name: str, attributes: str) -> bool:
+    """Whether a class or id, as a whole or as a known compound, names an advert, a menu or the like."""
+    if "=" not in attributes or name in HEADINGS:
+        return False
+    for m in _MARK.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                token = _NUMBER.sub("", _JOINT.sub("-", token).strip("-"))
+                if token in NOISE or name not in CONTAINERS and token in COMPOUNDS:
                     return True
     return False
 
@@ -84,7 +114,11 @@ class Page:
         self.stack = [(0, "body", False)]
         self.open: dict[str, int] = {}
         self.left_out = 0
+        #: Elements whose class or id names them as no text.
+        self.suspects: list[int] = []
         self._read(html)
+        if self.suspects:
+            self._leave_out()
 
     def _read(self, html: str) -> None:
         at, size = 0, len(html)
@@ -141,7 +175,7 @@ class Page:
             while furthest and len(self.stack) > furthest:
                 self._pop()
         self._border(name)
-        silent = _noise(name, attributes)
+        silent = _dropped(name, attributes)
         self.left_out += silent
         if self.left_out:
             node = self.stack[-1][0]
@@ -149,9 +183,41 @@ class Page:
             node = len(self.name)
             self.name.append(name)
             self.parent.append(self.stack[-1][0])
+            if _suspect(name, attributes):
+                self.suspects.append(node)
         self.stack.append((node, name, silent))
         self.open[name] = self.open.get(name, 0) + 1
 
+    def _leave_out(self) -> None:
+        """Take out the suspects that hold no article or main element and, where the page has none, little text.
+
+        Little is at most half of the page's unlinked text.
+        """
+        size = len(self.name)
+        in_link, suspect = [False] * size, set(self.suspects)
+        for node in range(1, size):
+            in_link[node] = self.name[node] == "a" or in_link[self.parent[node]]
+        plain, holds = [0] * size, [False] * size
+        for node, text in self.pieces:
+            if text and not in_link[node]:
+                plain[node] += len(" ".join(text.split()))
+        for node in range(size - 1, 0, -1):
+            up = self.parent[node]
+            plain[up] += plain[node]
+            holds[up] |= holds[node] or self.name[node] in CONTAINERS and node not in suspect
+        gone, place = [False] * size, [0] * size
+        parent, name = [-1], ["body"]
+        for node in range(1, size):
+            up = self.parent[node]
+            little = holds[0] or plain[node] * 2 <= plain[0]
+            gone[node] = gone[up] or node in suspect and not holds[node] and little
+            if not gone[node]:
+                place[node] = len(name)
+                name.append(self.name[node])
+                parent.append(place[up])
+        self.pieces = [(place[node], text) for node, text in self.pieces if not gone[node]]
+        self.parent, self.name = parent, name
+
     def core(self) -> set[int]:
         """The tops of the subtrees that make up the main text."""
         size = len(self.name)

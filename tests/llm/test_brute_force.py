@@ -266,6 +266,26 @@ def test_density_layouts():
     assert density.extract("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
 
 
+LINES = [f"paragraph {k} " + "of some words " * 12 + "end" for k in range(8)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+@pytest.mark.parametrize("flags", ["content no-sidebar", "has-sidebar", "page with-footer", "no_sidebar", "sidebar", "main-sidebar"])
+@pytest.mark.parametrize("inner", ["%s", "<article>%s</article>", "<main>%s</main>"])
+def test_density_keeps_flagged_wrappers(flags, inner):
+    page = f'<body><div class="menu">Home news</div><div class="{flags}">{inner % PARAGRAPHS}</div><div class="site-footer">foot</div></body>'
+    assert density.extract(page).split("\n") == LINES
+
+
+def test_density_keeps_slugs():
+    half = PARAGRAPHS[: len(PARAGRAPHS) // 8 * 3]
+    page = f"""<body><div id=content><div class="post-header"><h2 id="related-work">Related work</h2>{half}</div>
+    <h3 id="comments">Comment syntax</h3><section id="search-trees">{half}</section><section id="comment-syntax">{half}</section>
+    <div class="comments-area"><p>left out</p></div><div class="nav__list">also out</div></div></body>"""
+    text = density.extract(page)
+    assert text.count("paragraph 0 ") == 3 and "Related work" in text and "Comment syntax" in text and "out" not in text
+
+
 def test_languages(result, docs):
     langs = {r.doc_id: r.lang for r in docs.collect()}
     rows = result("op7_word_backoff")
