@@ -12,7 +12,8 @@ known compound, unless they are headings, hold an article or main element, or, o
 unlinked text.
 
 Nulls: a null or empty page gives an empty text. Pages cut off in the middle of a tag lose that tag. Repeated rows give
-a row each; an empty table gives an empty result; other columns are ignored. No step is deeper than a loop,
+a row each; an empty table gives an empty result; other columns are ignored. A head without its end tag ends where
+something stands that cannot be in a head. No step is deeper than a loop,
 so nesting depth is not limited.
 """
 
@@ -33,6 +34,8 @@ DROPPED = frozenset("nav header footer aside form button dialog menu head audio
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp wbr br img".split()
 )
+#: What can stand in a head; anything else ends one that is open.
+IN_HEAD = frozenset("title base basefont bgsound link meta script style noscript noframes template head html".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Element -> (open elements that its start ends, elements beyond which it does not look).
 ENDS = {
@@ -125,11 +128,15 @@ class Page:
         while at < size:
             tag = _TAG.search(html, at)
             stop = tag.start() if tag else size
+            if self.open.get("head") and html[at:stop].strip():
+                self._close("head")
             if stop > at and not self.left_out:
                 self.pieces.append((self.stack[-1][0], unescape(html[at:stop])))
             if not tag:
                 return
             at, name = tag.end(), (tag[2] or "").lower()
+            if name and not tag[1] and name not in IN_HEAD and self.open.get("head"):
+                self._close("head")
             if not name or name in ("html", "body"):
                 continue
             if tag[1]:

@@ -266,6 +266,12 @@ def test_density_layouts():
     assert density.extract("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
 
 
+@pytest.mark.parametrize("start", ["<body><p>", "<p>", "<div>", "<body>", "", "<img src=x>", "<link rel=x><script>a<b</script><meta name=y><body class=z>"])
+def test_density_of_a_head_without_end(start):
+    assert density.extract(f"<html><head><title>t</title>{start}text of the page") == "text of the page"
+    assert density.extract(f"<html><head><title>t</title></head>{start}text of the page") == "text of the page"
+
+
 LINES = [f"paragraph {k} " + "of some words " * 12 + "end" for k in range(8)]
 PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LINES)
 
