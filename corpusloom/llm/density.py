@@ -4,7 +4,8 @@ A page becomes a tree of elements. Each node has the characters and tags below i
 composite density is the characters per tag, adjusted by the logarithm of how little of it is links relative to the
 page. Density sums add the densities of a node's children (text of its own counts as a child). The node with the largest sum is
 the core. The smallest density on its way up to the body is the threshold: on that way, branches beside it that reach
-the threshold belong to the text as well. A core inside an article or main element stands for all of it.
+the threshold belong to the text as well, and so does text that stands directly in a node of the way, with the inline
+elements in it. A core inside an article or main element stands for all of it.
 
 Elements that are never text (scripts, styles, forms, menus, headers, footers, asides, and those whose role says so) take
 no part. Neither do those whose class or id names an advert, a notice, a side bar or reader comments, as a whole or as a
@@ -225,8 +226,8 @@ class Page:
         self.pieces = [(place[node], text) for node, text in self.pieces if not gone[node]]
         self.parent, self.name = parent, name
 
-    def core(self) -> set[int]:
-        """The tops of the subtrees that make up the main text."""
+    def core(self) -> tuple[set[int], set[int]]:
+        """The tops of the subtrees that make up the main text, and the nodes of which only the own text belongs to it."""
         size = len(self.name)
         chars, tags, link_chars, link_tags, own = ([0] * size for _ in range(5))
         for node, text in self.pieces:
@@ -246,7 +247,8 @@ class Page:
                 link_tags[up] += link_tags[node] + (self.name[node] == "a")
         share = link_chars[0] / max(chars[0], 1)
         density = [_composite(*x, share) for x in zip(chars, tags, link_chars, link_tags)]
-        total = [_composite(x, 0, 0, 0, share) for x in own]
+        own_density = [_composite(x, 0, 0, 0, share) for x in own]
+        total = own_density[:]
         for node in range(1, size):
             total[self.parent[node]] += density[node]
         best = max(range(size), key=lambda n: (total[n], -n))
@@ -255,21 +257,38 @@ class Page:
             way.append(self.parent[way[-1]])
         for node in reversed(way):
             if self.name[node] in CONTAINERS:
-                return {n for n in range(size) if self.name[n] in CONTAINERS and self.parent[n] == self.parent[node]}
+                return {n for n in range(size) if self.name[n] in CONTAINERS and self.parent[n] == self.parent[node]}, set()
         threshold = min([density[n] for n in way])
         on_way = set(way)
         beside = {n for n in range(1, size) if self.parent[n] in on_way and n not in on_way and density[n] >= threshold}
-        return beside | {best}
+        return beside | {best}, {n for n in way[1:] if own[n] and own_density[n] >= threshold}
+
+    def _with_own(self, nodes: set[int]) -> set[int]:
+        """Places of the pieces of the nodes' own text, with the inline elements in the same blocks of it."""
+        holder = list(range(len(self.name)))
+        for node in range(1, len(holder)):
+            if self.name[node] in INLINE:
+                holder[node] = holder[self.parent[node]]
+        places, block, found = set(), [], False
+        for at, (node, text) in enumerate([*self.pieces, (0, None)]):
+            if text is None:
+                places.update(block if found else ())
+                block, found = [], False
+            elif node in nodes or holder[node] in nodes:
+                block.append(at)
+                found = found or node in nodes and bool(text.strip())
+        return places
 
     def text(self) -> str:
         """The blocks of the main text, one per line."""
-        chosen = self.core()
+        chosen, partly = self.core()
         inside = [False] * len(self.name)
         for node in range(len(self.name)):
             inside[node] = node in chosen or node > 0 and inside[self.parent[node]]
         blocks, block = [], []
-        for node, text in self.pieces:
-            if text is None or not inside[node]:
+        with_own = self._with_own(partly) if partly else ()
+        for at, (node, text) in enumerate(self.pieces):
+            if text is None or not (inside[node] or at in with_own):
                 blocks.append("".join(block))
                 block = []
             elif text:

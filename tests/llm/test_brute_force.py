@@ -292,6 +292,17 @@ def test_density_keeps_slugs():
     assert text.count("paragraph 0 ") == 3 and "Related work" in text and "Comment syntax" in text and "out" not in text
 
 
+def test_density_keeps_bare_text_on_the_way():
+    lead = "lead " * 50 + "<b>with</b> an <i>inline</i> part " + "lead " * 30
+    plain = " ".join(re.sub("<[^>]*>", "", lead).split())
+    section = "".join(f"<p>{'w' * 200}</p>" for _ in range(10))
+    for page in ("<div id=c>%s<br><br><div class=s>%s</div></div>", "<div id=c><div class=s>%s</div>%s</div>", "%s<div><div>%s</div></div>"):
+        parts = (section, lead) if page.endswith("</div>%s</div>") else (lead, section)
+        lines = density.extract("<body>" + page % parts + "<div><a href=1>one</a> | <a href=2>two</a></div>").split("\n")
+        assert sorted(lines) == sorted([plain, *["w" * 200] * 10])
+    assert "tiny" not in density.extract(f"<body>tiny<div id=c><div>{section}</div></div></body>")
+
+
 def test_languages(result, docs):
     langs = {r.doc_id: r.lang for r in docs.collect()}
     rows = result("op7_word_backoff")
