@@ -1,8 +1,8 @@
 """Offset-preserving detection of plain and disguised personal data.
 
 Detectors run on the text as it is, which gives the base spans. Then transducers rewrite disguises: homoglyphs and
-full-width forms become the ASCII characters they look like, invisible characters go, runs of spelled digits become
-digits, spelled plus signs, at signs and dots become the characters. Each rewriting
+full-width forms become the ASCII characters they look like, invisible characters go, runs of spelled digits (fewer than
+three where they adjoin a plus sign, digits or a dotted number) become digits, spelled plus signs, at signs and dots become the characters. Each rewriting
 is a list of (source start, source end, new text) edits, so a normalised position maps back to the source characters
 it came from. The same detectors run on the normalised text around each edit; what they find there and no base span
 of its kind holds whole is added, beside the base span where that is a fragment of it.
@@ -53,21 +53,34 @@ SPELLED = {
     "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4",
     "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "deux": "2", "trois": "3", "quatre": "4",
     "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "zwo": "2", "fünf": "5", "fu\u0308nf": "5", "fuenf": "5", "un": "1", "zéro": "0", "ze\u0301ro": "0",
 }
 _STANDS_FOR = str.maketrans({k: v for k, v in LOOKALIKES.items()})
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "]")
 _GONE = re.compile(f"[{INVISIBLE}]+")
-_ONE = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9])"
+_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+_ONE = f"(?:{_WORD}|[0-9])"
+_ANY_WORD = re.compile(rf"(?i)(?<!\w){_WORD}(?!\w)")
 #: Three or more single digits in a row, at least one of them in letters; checked when it is rewritten.
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:{_ONE}[ ,\-]{{1,2}}){{2,}}{_ONE}(?!\w)")
 _SPELLED_ONE = re.compile(rf"(?i){_ONE}")
+#: Digit words in a row, however few; rewritten where they adjoin a plus sign or digits.
+_WORDS = re.compile(rf"(?i)(?<![\w@]){_WORD}(?!\w)(?:[ ,\-]{{1,2}}{_WORD}(?!\w))*+(?!@)")
+_GAP = re.compile(r"[ \-]{0,2}|\.|[ \-]?[()][ \-]?")
+#: An article with a further word behind it: right behind a number that is no digit.
+_ARTICLE = re.compile(r"(?i)(?:one|un|uno|oh) +[^\W0-9_]")
+_PLUS_BEFORE = re.compile(r"(?i)(?:\+|(?<!\w)plus)[ \-]{0,2}\(?\Z")
+_DIGIT_BEFORE = re.compile(rf"[0-9](?:{_GAP.pattern})\Z")
+_DIGIT_BEHIND = re.compile(rf"(?:{_GAP.pattern})[0-9]")
+_OCTET = rf"(?:[0-9]{{1,3}}|{_ONE}(?:[ ,\-]{{1,2}}{_ONE}){{0,2}})"
+_OCTETS = re.compile(rf"(?i)(?<![\w.@]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w@])")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[ \-]{1,2}(?=[0-9(])")
 _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
 _BRACKETED_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+.\-]){_OPEN}(?:at|@){_CLOSE}(?=[a-z0-9])")
 _BRACKETED_DOT = re.compile(rf"(?i)(?<=[a-z0-9\-]){_OPEN}(?:dot|\.){_CLOSE}(?=[a-z0-9])")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9\-]) +dot +(?=[a-z0-9])")
-#: A bare "at" counts only before a name that goes on with a dot it had to spell or bracket.
-_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+\-]) +at +(?=[a-z0-9\-]+(?: +dot +|{_OPEN}(?:dot|\.){_CLOSE})[a-z0-9])")
+#: A bare "at" counts only before a name that goes on, maybe after plain labels, with a dot it had to spell or bracket.
+_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+\-]) +at +(?=[a-z0-9\-]++(?:\.[a-z0-9\-]++)*+(?: +dot +|{_OPEN}(?:dot|\.){_CLOSE})[a-z0-9])")
 _AROUND = 256
 
 Span = tuple[str, int, int]
@@ -187,14 +200,53 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def normalise(text: str) -> Rewritten | None:
-    """The rewritten text, or None where nothing is disguised."""
+def _octets(text: str) -> list[tuple[int, int, str]]:
+    """Four dotted numbers of one to three digits, of which some are in letters."""
+    edits = []
+    for m in _OCTETS.finditer(text):
+        if any(c.isalpha() for c in m[0]):
+            parts = [_SPELLED_ONE.findall(p) for p in m[0].split(".")]
+            edits.append((m.start(), m.end(), ".".join("".join([SPELLED.get(x.lower(), x) for x in p]) for p in parts)))
+    return edits
+
+
+def _adjoining(text: str) -> list[tuple[int, int, str]]:
+    """Digit words next to a plus sign, to digits or to other such words.
+
+    A word right behind a number is its last digit, unless it can be an article and the sentence goes on.
+    """
+    runs = [m.span() for m in _WORDS.finditer(text)]
+    near = [
+        bool(
+            _DIGIT_BEFORE.search(text, max(0, a - 4), a) and not _ARTICLE.match(text, a) or _PLUS_BEFORE.search(text[max(0, a - 8) : a])
+            or _DIGIT_BEHIND.match(text, b)
+        )
+        for a, b in runs
+    ]
+    joined = [_GAP.fullmatch(text, a[1], b[0]) is not None for a, b in zip(runs, runs[1:])]
+    for k in range(1, len(runs)):
+        near[k] |= near[k - 1] and joined[k - 1]
+    for k in range(len(runs) - 2, -1, -1):
+        near[k] |= near[k + 1] and joined[k]
+    edits = []
+    for (a, b), is_near in zip(runs, near):
+        # Not the end of a mail address.
+        if is_near and "@" not in text[max(0, a - 64) : a].rpartition(" ")[2]:
+            edits.append((a, b, "".join([SPELLED[x.lower()] for x in re.findall(r"[^ ,\-]+", text[a:b]) if x.lower() in SPELLED])))
+    return edits
+
+
+def normalise(text: str) -> list[Rewritten]:
+    """The rewritten texts, none where nothing is disguised.
+
+    The first has spelled digits rewritten in runs of three or more, the second, if it differs, fewer as well where they
+    adjoin a number: what the shorter ones break up is still found in the first.
+    """
     odd = not text.isascii() and _ODD.search(text)
     signs = "[" in text or "(" in text or "{" in text or "<" in text
     low = text.lower()
-    spelled = not SPELLED.keys().isdisjoint(low.replace("-", " ").replace(",", " ").split())
-    if not (odd or signs or "dot" in low or spelled):
-        return None
+    if not (odd or signs or "dot" in low or "plus" in low or _ANY_WORD.search(text)):
+        return []
     now = Rewritten(text)
     if odd:
         marks = [(m.start(), m.end(), m[0].translate(_STANDS_FOR)) for m in _ODD.finditer(text) if m[0] not in INVISIBLE]
@@ -207,9 +259,13 @@ def normalise(text: str) -> Rewritten | None:
         now = now.apply([(m.start(), m.end(), new) for m in rule.finditer(now.text)])
     now = now.apply([(m.start(), m.end(), ".") for m in _BRACKETED_DOT.finditer(now.text)])
     now = now.apply([(m.start(), m.end(), ".") for m in _BARE_DOT.finditer(now.text)])
-    now = now.apply(_spelled(now.text))
-    now = now.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)])
-    return now if now.edited else None
+    long = now.apply(_spelled(now.text))
+    wide = now.apply(_octets(now.text))
+    wide = wide.apply(_spelled(wide.text))
+    wide = wide.apply(_adjoining(wide.text))
+    both = [long] if wide.text == long.text else [long, wide]
+    both = [x.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(x.text)]) for x in both]
+    return [x for x in both if x.edited]
 
 
 def _covered(span: Span, taken: list[Span]) -> bool:
@@ -220,9 +276,15 @@ def _covered(span: Span, taken: list[Span]) -> bool:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans); positions are code points of the source."""
     base = detect(text)
-    now = normalise(text)
-    if now is None:
+    added = [span for now in normalise(text) for span in _around_edits(now)]
+    if not added:
         return base, []
+    by_kind = {k: [s for s in base if s[0] == k] for k in KINDS}
+    return base, sorted({s for s in added if not _covered(s, by_kind[s[0]])}, key=_order)
+
+
+def _around_edits(now: Rewritten) -> list[Span]:
+    """What stands around the edits of a rewritten text, as spans of the source."""
     added: list[Span] = []
     edits = sorted(now.edited)
     # A span is found in what stands around an edit, widened to blanks; neighbours are taken together.
@@ -239,8 +301,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             end += 1
         for kind, a, b in detect(now.text[start:end]):
             added.append((kind, now.source(start + a)[0], now.source(start + b - 1)[1]))
-    by_kind = {k: [s for s in base if s[0] == k] for k in KINDS}
-    return base, sorted({s for s in added if not _covered(s, by_kind[s[0]])}, key=_order)
+    return added
 
 
 def _order(span: Span) -> tuple:

@@ -140,6 +140,29 @@ def test_disguise_beside_a_base_fragment(source, kind):
     assert pii.redacted(text) == f"see <{kind.upper()}>, ok"
 
 
+@pytest.mark.parametrize(
+    ("source", "kind"),
+    [
+        ("plus 44 20 7946 0958", "phone"), ("plus one 415 555 0100", "phone"), ("plus four nine 151 2345678", "phone"),
+        ("+four nine 151 2345678", "phone"), ("+44 20 7946 095 eight", "phone"), ("plus 44 two zero 7946 0958", "phone"),
+        ("plus vier neun drei null fünf fuenf zwo eins drei vier", "phone"), ("plus trois trois un zéro cinq un six un un huit", "phone"),
+        ("one nine two dot one six eight dot zero dot one", "ip"), ("10 dot zero dot zero dot one two", "ip"),
+        ("alice at mail.example dot com", "email"), ("alice at mx.mail.example (dot) com", "email"),
+    ],
+)
+def test_disguises_of_few_words(source, kind):
+    text = f"see {source}, ok"
+    assert (kind, 4, 4 + len(source)) in pii.find(text)[1]
+    assert pii.redacted(text) == f"see <{kind.upper()}>, ok"
+
+
+def test_few_words_add_nothing_to_prose():
+    for text in ("one of 12 or two. 1999. One, plus one", "bob@example4.one two", "12 one two@example.com", "call +44 20 7946 0958. One more", "au +1 (848) 555-1373 Un an"):
+        assert pii.find(text)[1] == []
+    card = "one " + "".join(chr(0xFF10 + int(d)) for d in "4111111111111111")
+    assert ("card", 4, 20) in pii.find(card)[1]
+
+
 def test_base_cases():
     for text in ("a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "x@y@z.w", "999.1.1.1 1.1.1.256", "4111 1111-1111 1111 1", "+1 2345678 +12"):
         assert pii.detect(text) == plain_base(text)
