@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import chunking, crf, decontam, density, langid, licenses, packing, pii, ppm, simhash
+from corpusloom.llm import chunking, clusters, crf, decontam, density, langid, licenses, packing, pfor, pii, ppm, simhash
+from corpusloom.llm import sql, whitening
+from corpusloom.session import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,9 +57,24 @@ def op10_gray_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_hadamard_clusters(spark, folder):
+    return clusters.cluster(_table(spark, folder, "embeddings"))
+
+
+def op12_feast_whitening(spark, folder):
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_patched_blocks(spark, folder):
+    files = scratch_path(spark, "token-ids")
+    pfor.write_ids(_table(spark, folder, "documents"), files)
+    return pfor.read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_harmonic_packing, op2_offset_pii, op3_content_chunks, op4_containment_search, op5_ppm_score, op6_text_density,
     op7_word_backoff, op8_license_scan, op9_line_field, op10_gray_simhash,
+    op11_hadamard_clusters, op12_feast_whitening, op13_patched_blocks,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_hadamard_clusters": sql.CLUSTERS}
