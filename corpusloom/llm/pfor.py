@@ -54,28 +54,46 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
-def pack_blocks(ids: np.ndarray) -> list[bytes]:
-    """The bytes of every block of ``ids``; the last one is filled up with its minimum."""
+def _layout(widths: np.ndarray, exceptions: np.ndarray) -> np.ndarray:
+    """Where every block starts, and after the last of them the end."""
+    sizes = _HEAD.itemsize + BLOCK // 8 * widths.astype(np.int64) + 5 * exceptions.astype(np.int64)
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _exceptions(starts: np.ndarray, widths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every exception: its block, the byte of its position, the first byte of its high bits."""
+    block = np.repeat(np.arange(len(counts)), counts)
+    rank = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = starts[block] + _HEAD.itemsize + BLOCK // 8 * widths[block].astype(np.int64)
+    return block, first + rank, first + counts[block] + 4 * rank
+
+
+def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The blocks of ``ids`` and the start of each; the last one is filled up with its minimum."""
     count = -(-len(ids) // BLOCK)
     rows = np.full(count * BLOCK, ids[(count - 1) * BLOCK :].min(), np.uint32)
     rows[: len(ids)] = ids
     rows = rows.reshape(count, BLOCK)
-    minimum = rows.min(axis=1)
-    over = rows - minimum[:, None]
+    heads = np.empty(count, _HEAD)
+    heads["minimum"] = rows.min(axis=1)
+    over = rows - heads["minimum"][:, None]
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    widths = _bits(np.partition(over, rank, axis=1)[:, rank])
-    high = over >> widths[:, None].astype(np.uint32)  # no shift reaches 32: wider blocks are clipped below
-    high[widths == 32] = 0
-    blocks: list[bytes] = [b""] * count
+    widths = heads["width"] = _bits(np.partition(over, rank, axis=1)[:, rank])
+    high = (over.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    counts = np.count_nonzero(high, axis=1)
+    heads["exceptions"] = counts
+    starts = _layout(widths, counts)
+    out = np.empty(starts[-1], np.uint8)
+    out[starts[:-1, None] + np.arange(_HEAD.itemsize)] = heads.view(np.uint8).reshape(count, -1)
     for width in np.unique(widths).tolist():
         mine = np.flatnonzero(widths == width)
-        bits = (over[mine][:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-        packed = np.packbits(bits.reshape(len(mine), BLOCK * width).astype(np.uint8), axis=1, bitorder="little")
-        for at, low in zip(mine.tolist(), packed):
-            places = np.flatnonzero(high[at])
-            head = np.array([(minimum[at], width, len(places))], _HEAD).tobytes()
-            blocks[at] = head + low.tobytes() + places.astype(np.uint8).tobytes() + high[at, places].astype("<u4").tobytes()
-    return blocks
+        bits = np.unpackbits(over[mine].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+        packed = np.packbits(bits.reshape(len(mine), BLOCK * width), axis=1, bitorder="little")
+        out[starts[mine, None] + _HEAD.itemsize + np.arange(packed.shape[1])] = packed
+    block, places, values = _exceptions(starts, widths, counts)
+    _, out[places] = at = np.nonzero(high)
+    out[values[:, None] + np.arange(4)] = high[at].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), starts[:-1]
 
 
 def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -83,18 +101,17 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     heads = raw[starts[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD).ravel()
     out = np.empty((len(starts), BLOCK), np.uint32)
-    widths = heads["width"]
+    widths, counts = heads["width"], heads["exceptions"].astype(np.int64)
     for width in np.unique(widths).tolist():
         mine = np.flatnonzero(widths == width)
-        size = BLOCK // 8 * width
-        packed = raw[starts[mine, None] + _HEAD.itemsize + np.arange(size)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(mine), BLOCK, width)
-        out[mine] = bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-    for at in np.flatnonzero(heads["exceptions"]).tolist():
-        width, count = int(widths[at]), int(heads["exceptions"][at])
-        first = int(starts[at]) + _HEAD.itemsize + BLOCK // 8 * width
-        places = raw[first : first + count]
-        out[at, places] |= np.frombuffer(data, "<u4", count, first + count) << np.uint32(width)
+        packed = raw[starts[mine, None] + _HEAD.itemsize + np.arange(BLOCK // 8 * width)]
+        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(mine) * BLOCK, width)
+        low = np.zeros((len(bits), 4), np.uint8)
+        low[:, : -(-width // 8)] = np.packbits(bits, axis=1, bitorder="little")
+        out[mine] = low.view("<u4").reshape(-1, BLOCK)
+    block, places, values = _exceptions(starts, widths, counts)
+    high = raw[values[:, None] + np.arange(4)].view("<u4").ravel()
+    out[block, raw[places]] |= high << widths[block].astype(np.uint32)
     return (out + heads["minimum"][:, None].astype(np.uint32)).ravel()
 
 
@@ -121,9 +138,8 @@ class Writer:
         ids = np.concatenate(self.held)
         self.held, self.waiting = [ids[upto:]], len(ids) - upto
         for at in range(0, upto, _RUN):
-            blocks = pack_blocks(ids[at : min(at + _RUN, upto)])
-            self.starts += (self.at + np.cumsum([0, *map(len, blocks[:-1])])).tolist()
-            data = b"".join(blocks)
+            data, starts = pack_blocks(ids[at : min(at + _RUN, upto)])
+            self.starts.append(self.at + starts)
             self.stream.write(data)
             self.at += len(data)
 
@@ -131,9 +147,10 @@ class Writer:
         """Write what is left and the tables; the size of the file."""
         if self.waiting:
             self._flush(self.waiting)
-        tables = [(self.starts, "<u8"), (self.named, "u1"), (self.doc_ids, "<i8"), (self.lengths, "<u8")]
+        starts = np.concatenate([np.zeros(0, np.int64), *self.starts])
+        tables = [(starts, "<u8"), (self.named, "u1"), (self.doc_ids, "<i8"), (self.lengths, "<u8")]
         tail = b"".join(np.array(values, kind).tobytes() for values, kind in tables)
-        tail += _FOOTER.pack(self.ids, len(self.starts), len(self.lengths), self.at, MAGIC)
+        tail += _FOOTER.pack(self.ids, len(starts), len(self.lengths), self.at, MAGIC)
         self.stream.write(tail)
         self.stream.close()
         return self.at + len(tail)
