@@ -27,8 +27,8 @@ SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
 TRUST = 0.95
 STEPS, RATE, SHRINK = 200, 0.05, 1e-3
-#: Lines of a document beyond this many are fitted in a chain of their own; predictions always see whole documents.
-FIT_CHAIN = 512
+#: Longer chains are worked on in segments side by side, with exact messages between them.
+SEGMENT = 512
 
 #: Byte classes counted per line.
 _CLASSES = ("letter", "upper", "digit", "blank", "stop", "mark", "wide")
@@ -85,34 +85,72 @@ def line_features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 N_FEATURES = 3 * OWN + 3
 
 
-def marginals(odds: np.ndarray, change: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of every line, and the expected transitions (2 x 2) summed over all chains.
-
-    ``odds`` are the lines' scores for good over bad, ``change`` the log weights from label to label. All chains go
-    one step at a time, the longest ones first, so each step is one vector operation.
+def _transfers(unary: np.ndarray, step: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The matrix of every segment from the label of its first line to that of its last, up to a factor."""
+    out = np.zeros((len(starts), 2, 2))
+    out[:, [0, 1], [0, 1]] = unary[starts]
+    for t in range(1, int(lengths.max(initial=0))):
+        on = np.flatnonzero(lengths > t)
+        out[on] = (out[on] @ step) * unary[starts[on] + t][:, None, :]
+        out[on] /= out[on].sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def _segments(unary: np.ndarray, step: np.ndarray, counts: np.ndarray):
+    """Starts, lengths and chains of the segments, with what enters each from before and comes back from behind."""
+    chain = np.repeat(np.arange(len(counts)), -(-counts // SEGMENT))
+    own = np.arange(len(chain)) - np.searchsorted(chain, chain)
+    starts = (np.cumsum(counts) - counts)[chain] + own * SEGMENT
+    lengths = np.minimum(counts[chain] - own * SEGMENT, SEGMENT)
+    enter, leave = np.ones((len(chain), 2)), np.ones((len(chain), 2))
+    joined = np.flatnonzero(np.diff(chain) == 0)  # segments with another one of their chain behind
+    if len(joined):
+        part = np.union1d(joined, joined + 1)
+        matrices = dict(zip(part.tolist(), _transfers(unary, step, starts[part], lengths[part])))
+        for k in joined.tolist():
+            message = enter[k] @ matrices[k] @ step
+            enter[k + 1] = message / message.sum()
+        for k in joined[::-1].tolist():
+            message = step @ (matrices[k + 1] @ leave[k + 1])
+            leave[k] = message / message.sum()
+    return starts, lengths, chain, enter, leave, joined
+
+
+def marginals(odds: np.ndarray, change: np.ndarray, counts: np.ndarray, weights=None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of every line, and the expected transitions (2 x 2) summed over all chains, each with its weight.
+
+    ``odds`` are the lines' scores for good over bad, ``change`` the log weights from label to label. All chains, long
+    ones as segments, go one step at a time, the longest first, so each step is one vector operation.
     """
-    starts = np.cumsum(counts) - counts
-    order = np.argsort(-counts, kind="stable")
-    starts, lengths = starts[order], counts[order]
+    weights = np.ones(len(counts)) if weights is None else weights
     unary = np.stack([np.zeros_like(odds), odds], axis=1)
     unary -= unary.max(axis=1, keepdims=True)
     unary, step = np.exp(unary), np.exp(change - change.max())
+    starts, lengths, chain, enter, leave, joined = _segments(unary, step, counts)
+    order = np.argsort(-lengths, kind="stable")
+    begins, sizes, shares = starts[order], lengths[order], weights[chain[order]]
     ahead, back = unary.copy(), np.ones_like(unary)
-    longest = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(longest + 1), side="left")  # chains longer than t
+    ahead[starts] *= enter
+    back[starts + lengths - 1] = leave
+    longest = int(sizes[0]) if len(sizes) else 0
+    active = np.searchsorted(-sizes, -np.arange(longest + 1), side="left")  # segments longer than t
     for t in range(longest):
-        rows = starts[: active[t]] + t
+        rows = begins[: active[t]] + t
         if t:
             ahead[rows] = (ahead[rows - 1] @ step) * unary[rows]
         ahead[rows] /= ahead[rows].sum(axis=1, keepdims=True)
+
+    def expected(rows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        joint = ahead[rows][:, :, None] * step * (unary[rows + 1] * back[rows + 1])[:, None, :]
+        return (joint / joint.sum(axis=(1, 2), keepdims=True) * shares[:, None, None]).sum(axis=0)
+
     pairs = np.zeros((2, 2))
     for t in range(longest - 2, -1, -1):
-        rows = starts[: active[t + 1]] + t
-        weight = unary[rows + 1] * back[rows + 1]
-        back[rows] = weight @ step.T
-        joint = ahead[rows][:, :, None] * step * weight[:, None, :]
-        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        rows = begins[: active[t + 1]] + t
+        back[rows] = (unary[rows + 1] * back[rows + 1]) @ step.T
+        pairs += expected(rows, shares[: active[t + 1]])
         back[rows] /= back[rows].sum(axis=1, keepdims=True)
+    pairs += expected(starts[joined] + lengths[joined] - 1, weights[chain[joined]])
     both = ahead * back
     return both[:, 1] / both.sum(axis=1), pairs
 
@@ -127,19 +165,22 @@ def fit_chains(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) ->
     scaled = features / scale
     owner = np.repeat(np.arange(len(counts)), counts)
     weight = 1.0 / np.maximum(np.bincount(labels, minlength=2), 1)[labels] / counts
-    weight = weight / weight.sum() * 1.0
+    weight /= weight.sum()
+    each = weight * counts / np.maximum(counts - 1, 1)  # of a document's transitions, which are one fewer
+    each /= max(each @ (counts - 1), 1e-12)
     target = np.where(labels[owner] == 1, TRUST, 1 - TRUST)
     inner = np.ones(len(owner), bool)
     inner[np.cumsum(counts) - counts] = False
     after = np.flatnonzero(inner)
     p, q = target[after - 1], target[after]
-    wanted = np.array([[(1 - p) @ (1 - q), (1 - p) @ q], [p @ (1 - q), p @ q]]) / len(owner)
+    share = each[owner[after]]
+    wanted = np.array([[(share * a) @ b for b in (1 - q, q)] for a in (1 - p, p)])
     theta, change = np.zeros(features.shape[1]), np.zeros((2, 2))
     pace = [np.zeros_like(theta), np.zeros_like(change)]
     size = [np.zeros_like(theta), np.zeros_like(change)]
     for t in range(1, STEPS + 1):
-        good, pairs = marginals(scaled @ theta, change, counts)
-        slopes = [scaled.T @ ((target - good) * weight[owner]) - SHRINK * theta, wanted - pairs / len(owner) - SHRINK * change]
+        good, pairs = marginals(scaled @ theta, change, counts, each)
+        slopes = [scaled.T @ ((target - good) * weight[owner]) - SHRINK * theta, wanted - pairs - SHRINK * change]
         for k, (value, slope) in enumerate(zip((theta, change), slopes)):
             pace[k] = 0.9 * pace[k] + 0.1 * slope
             size[k] = 0.999 * size[k] + 0.001 * slope**2
@@ -171,14 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     lines = map_batches(sample, _sampled, "doc_id long, quality int, features binary").toArrow().sort_by("doc_id")
     if not lines.num_rows:
         return {"theta": None, "change": None}
-    chains, labels_of = [], []
-    for raw, label in zip(lines.column("features").to_pylist(), lines.column("quality").to_pylist()):
-        rows = np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES)
-        for at in range(0, len(rows), FIT_CHAIN):
-            chains.append(rows[at : at + FIT_CHAIN])
-            labels_of.append(int(label == 1))
-    counts = np.array([len(c) for c in chains], np.int64)
-    return fit_chains(np.concatenate(chains).astype(float), counts, np.array(labels_of))
+    chains = [np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES) for raw in lines.column("features").to_pylist()]
+    labels_of = (lines.column("quality").to_numpy() == 1).astype(np.int64)
+    return fit_chains(np.concatenate(chains).astype(float), np.array([len(c) for c in chains], np.int64), labels_of)
 
 
 def _sampled(batch) -> dict:

@@ -5,10 +5,10 @@ composite density is the characters per tag, adjusted by the logarithm of how li
 page. Density sums add the densities of a node's children (text of its own counts as a child). The node with the largest sum is
 the core. The smallest density on its way up to the body is the threshold: on that way, branches beside it that reach
 the threshold belong to the text as well, and so does text that stands directly in a node of the way, with the inline
-elements in it. A core inside an article or main element stands for all of it.
+elements in it.
 
-Elements that are never text (scripts, styles, forms, menus, headers, footers, asides, and those whose role says so) take
-no part. Neither do those whose class or id names an advert, a notice, a side bar or reader comments, as a whole or as a
+Elements that are never text (scripts, styles, forms, menus, headers, footers, asides, hidden ones, and those whose role
+says so) take no part. Neither do those whose class or id names an advert, a notice, a side bar or reader comments, as a whole or as a
 known compound, unless they are headings, hold an article or main element, or, on a page without these, hold most of the
 unlinked text.
 
@@ -21,6 +21,7 @@ so nesting depth is not limited.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 from math import e, log
 
@@ -30,10 +31,13 @@ from corpusloom.llm.tasks import map_batches
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe template svg math noembed noframes xmp select object canvas".split())
+RAW = frozenset("script style noscript textarea title iframe template noframes select".split())
+#: Raw text that is shown as it is written.
+VERBATIM = frozenset(("xmp", "plaintext"))
 DROPPED = frozenset("nav header footer aside form button dialog menu head audio video datalist fieldset label".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp wbr br img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp wbr br img "
+    "object canvas svg g text tspan textpath math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mfenced semantics".split()
 )
 #: What can stand in a head; anything else ends one that is open.
 IN_HEAD = frozenset("title base basefont bgsound link meta script style noscript noframes template head html".split())
@@ -58,6 +62,7 @@ _COMPOUNDS = (
     ("ad ads advert advertisement sponsor sponsored promo banner", "container wrapper box slot unit banner block area link links top bottom left right sidebar label space placeholder widget"),
     ("cookie cookies consent gdpr", "notice banner bar consent popup overlay message warning law info modal wall"),
     ("newsletter subscribe subscription signup login", "form box signup popup modal banner widget block wrapper section container link overlay"),
+    ("user reader readers visitor guest post page article blog site facebook fb disqus", "comments replies responses thread"),
     ("comment comments respond reply replies", "list area form section wrapper container box body content meta reply thread respond widget"),
     ("share sharing social", "buttons button bar links icons share sharing box list menu widget nav follow"),
     ("related recommended", "posts articles stories content links items news list widget"),
@@ -75,15 +80,19 @@ ROLES = frozenset(
 _TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S
 )
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_JOINT = re.compile(r"[-_]+")
+_MARK = re.compile(r"""\b(class|id|role|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_JOINT = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/>]|$)", re.I)
 _NUMBER = re.compile(r"(?:-?[0-9]+(?:x[0-9]+)?)+$")
 
 
 def _dropped(name: str, attributes: str) -> bool:
-    """Whether the element's own name, role or aria-hidden says that it is never text."""
+    """Whether the element's own name, role or state says that it is never text."""
     if name in DROPPED:
         return True
+    if "hidden" in attributes.lower() and _HIDDEN.search(_QUOTED.sub("", attributes)):
+        return True
     if "=" not in attributes:
         return False
     for m in _MARK.finditer(attributes):
@@ -99,8 +108,8 @@ def _suspect(name: str, attributes: str) -> bool:
         return False
     for m in _MARK.finditer(attributes):
         if m[1].lower() in ("class", "id"):
-            for token in (m[2] or m[3] or m[4] or "").lower().split():
-                token = _NUMBER.sub("", _JOINT.sub("-", token).strip("-"))
+            for token in (m[2] or m[3] or m[4] or "").split():
+                token = _NUMBER.sub("", _JOINT.sub("-", token).strip("-").lower())
                 if token in NOISE or name not in CONTAINERS and token in COMPOUNDS:
                     return True
     return False
@@ -114,9 +123,9 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.name, self.pieces = [-1], ["body"], []
-        #: Open elements: (node, name, takes no part).
+        #: Open elements: (node, name, takes no part), and by name their depths.
         self.stack = [(0, "body", False)]
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}
         self.left_out = 0
         #: Elements whose class or id names them as no text.
         self.suspects: list[int] = []
@@ -145,19 +154,29 @@ class Page:
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else size
+            elif name in VERBATIM:
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                if not self.left_out:
+                    node = self.stack[-1][0]
+                    self.pieces += [(node, None), (node, html[at : end.start() if end else size]), (node, None)]
+                at = end.end() if end else size
             elif name in VOID:
                 if not self.left_out:
                     self.pieces.append((self.stack[-1][0], None if name == "hr" else " " if name == "br" else ""))
             else:
                 self._start(name, tag[3])
 
+    def _inline(self, name: str) -> bool:
+        """Whether the element flows with the text around it, as all parts of a formula or drawing do."""
+        return name in INLINE or bool(self.open.get("svg") or self.open.get("math"))
+
     def _border(self, name: str) -> None:
-        if not self.left_out and name not in INLINE:
+        if not self.left_out and not self._inline(name):
             self.pieces.append((self.stack[-1][0], None))
 
     def _pop(self) -> str:
         _, name, silent = self.stack.pop()
-        self.open[name] -= 1
+        self.open[name].pop()
         self.left_out -= silent
         self._border(name)
         return name
@@ -170,17 +189,14 @@ class Page:
             self._border(name)
 
     def _start(self, name: str, attributes: str) -> None:
-        if name not in INLINE and self.open.get("p"):
+        if self.open.get("p") and not self._inline(name):
             self._close("p")
         ends, bounds = ENDS.get(name, ((), ()))
-        if any([self.open.get(x) for x in ends]):
-            depth = len(self.stack) - 1
-            furthest = 0
-            while depth and self.stack[depth][1] not in bounds:
-                if self.stack[depth][1] in ends:
-                    furthest = depth
-                depth -= 1
-            while furthest and len(self.stack) > furthest:
+        if held := [places for x in ends if (places := self.open.get(x))]:
+            bound = max([places[-1] for x in bounds if (places := self.open.get(x))], default=0)
+            # The outermost one above the innermost border, found by bisection.
+            above = [places[k] for places in held if (k := bisect_right(places, bound)) < len(places)]
+            while above and len(self.stack) > min(above):
                 self._pop()
         self._border(name)
         silent = _dropped(name, attributes)
@@ -193,8 +209,8 @@ class Page:
             self.parent.append(self.stack[-1][0])
             if _suspect(name, attributes):
                 self.suspects.append(node)
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append((node, name, silent))
-        self.open[name] = self.open.get(name, 0) + 1
 
     def _leave_out(self) -> None:
         """Take out the suspects that hold no article or main element and, where the page has none, little text.
@@ -255,9 +271,6 @@ class Page:
         way = [best]
         while way[-1]:
             way.append(self.parent[way[-1]])
-        for node in reversed(way):
-            if self.name[node] in CONTAINERS:
-                return {n for n in range(size) if self.name[n] in CONTAINERS and self.parent[n] == self.parent[node]}, set()
         threshold = min([density[n] for n in way])
         on_way = set(way)
         beside = {n for n in range(1, size) if self.parent[n] in on_way and n not in on_way and density[n] >= threshold}

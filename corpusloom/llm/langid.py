@@ -5,9 +5,8 @@ its relative frequency in each language; a word no language knows falls back to
 n-grams that any language knows, one character shorter at a time. A text's language has the best mean over its
 words; the score is that language's share after exponentiation over the words' total.
 
-The model has every word and n-gram whose share in some language is at least ``LEAST_SHARE``, so it holds
-at most 1 / LEAST_SHARE entries of a length per language. It is fitted on the ``SAMPLE_ROWS`` labelled
-training rows that come first by hash of doc_id; languages with fewer rows stay as they are.
+The model is fitted on the ``SAMPLE_ROWS`` labelled training rows that come first by hash of doc_id, and holds every
+word and n-gram of theirs; the sample is what bounds it.
 
 Nulls: a null or letterless text gives ``und`` with score 0. Rows without doc_id or lang are not
 learned from. Ties go to the language that is first by name. A table without training rows predicts ``und``.
@@ -20,6 +19,8 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,9 @@ from corpusloom.llm.tasks import map_batches, per_task, texts
 from corpusloom.session import store
 
 SAMPLE_ROWS = 20_000
-LEAST_SHARE = 2.0**-17
 LONGEST = 5
 UNKNOWN = "und"
-#: Log10 given to a language that lacks an entry others have.
+#: Log10 given to a language that lacks an entry others have; lower where an entry is as rare as that.
 PENALTY = -7.0
 #: A text is rejected when no language has this share.
 SURE = 0.5
@@ -77,7 +77,11 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Counts per language on executors; what passes the share limit comes back as a model."""
+    """Counts per language on executors; they come back as a model.
+
+    It has ``langs``, and for every place ``sizes`` (0: words, else the length of n-grams), ``entries`` and
+    ``rows``, the log frequency in each language.
+    """
     labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out())
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = labelled.join(store(chosen, "langid-sample"), "doc_id").select("lang", "text")
@@ -88,16 +92,24 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     grams = grams.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     counts = words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(grams)
     counts = store(counts, "langid-counts")
-    totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    shares = counts.join(totals, ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
-    kept = shares.where(F.col("share") >= LEAST_SHARE).select("lang", "size", "entry", "share").toArrow()
-    rows = list(zip(*[kept.column(c).to_pylist() for c in ("lang", "size", "entry", "share")]))
-    langs = sorted({r[0] for r in rows})
-    model = {"langs": langs, "entries": {}}
-    for lang, size, entry, share in rows:
-        row = model["entries"].setdefault((size, entry), [PENALTY] * len(langs))
-        row[langs.index(lang)] = math.log10(share)
-    return model
+    return _model(counts.toArrow().sort_by([("size", "ascending"), ("entry", "ascending"), ("lang", "ascending")]))
+
+
+def _model(counts: pa.Table) -> dict:
+    """Log frequencies from the counts of (lang, size, entry), sorted by size and entry."""
+    langs = sorted(set(counts.column("lang").to_pylist()))
+    if not langs:
+        return {"langs": [], "sizes": np.zeros(0, np.int8), "entries": pa.array([], pa.string()), "rows": np.zeros((0, 0))}
+    lang = pc.index_in(counts.column("lang"), pa.array(langs)).to_numpy()
+    size, n = counts.column("size").to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(float)
+    entry = counts.column("entry").combine_chunks()
+    fresh = np.ones(len(size), bool)
+    fresh[1:] = (np.diff(size) != 0) | pc.not_equal(entry[1:], entry[:-1]).to_numpy(zero_copy_only=False)
+    group = lang * (LONGEST + 1) + size
+    share = np.log10(n / np.bincount(group, n)[group])
+    rows = np.full((int(fresh.sum()), len(langs)), min(PENALTY, share.min() - 1))
+    rows[np.cumsum(fresh) - 1, lang] = share
+    return {"langs": langs, "sizes": size[fresh].astype(np.int8), "entries": entry.filter(pa.array(fresh)), "rows": rows}
 
 
 @per_task
@@ -105,14 +117,14 @@ class _Identify:
     """Scores texts; words met before are remembered as rows of one table, renewed when it is full."""
 
     def __init__(self, model, keep: bool):
-        self.langs, self.keep = model.value["langs"], keep
-        entries = model.value["entries"]
-        self.rows = np.array(list(entries.values()), float).reshape(len(entries), len(self.langs))
-        places = [{} for _ in range(LONGEST + 1)]
-        for place, (size, entry) in enumerate(entries):
-            places[size][entry] = place
+        self.keep = keep
+        self.langs, sizes, entries, self.rows = [model.value[k] for k in ("langs", "sizes", "entries", "rows")]
+        self.unknown = float(self.rows.min()) if len(self.rows) else PENALTY
+        ends = np.searchsorted(sizes, np.arange(LONGEST + 2)).tolist()
+        places = [dict(zip(entries[a:b].to_pylist(), range(a, b))) for a, b in zip(ends, ends[1:])]
         self.words, self.grams = places[0], places[1:]
-        self.known, self.base, self.filled = dict(self.words), len(entries), len(entries)
+        # Words met only here come after the model's rows.
+        self.met, self.base, self.filled = {}, len(sizes), len(sizes)
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """Per word the mean over its longest known n-grams."""
@@ -125,7 +137,7 @@ class _Identify:
                     break
             places += found
             sizes.append(len(found))
-        rows, counts = np.full((len(words), len(self.langs)), PENALTY), np.array(sizes)
+        rows, counts = np.full((len(words), len(self.langs)), self.unknown), np.array(sizes)
         known = np.flatnonzero(counts)
         if len(known):
             ends = np.cumsum(counts[known])
@@ -134,19 +146,23 @@ class _Identify:
 
     def rows_of(self, words: list[str]) -> np.ndarray:
         """A row of log frequencies for each of these different words."""
-        places = list(map(self.known.get, words))
-        new = [k for k, place in enumerate(places) if place is None]
-        if new and self.filled > self.base and self.filled + len(new) > self.base + _CACHE:
-            self.known, self.filled = dict(self.words), self.base
-            places = list(map(self.known.get, words))
-            new = [k for k, place in enumerate(places) if place is None]
+        places = list(map(self.words.get, words))
+        away = [k for k, place in enumerate(places) if place is None]
+        if self.filled > self.base and self.filled + len(away) > self.base + _CACHE:
+            self.met, self.filled = {}, self.base
+        new = []
+        for k in away:
+            if (place := self.met.get(words[k])) is None:
+                new.append(k)
+            else:
+                places[k] = place
         if new:
             unseen, end = [words[k] for k in new], self.filled + len(new)
             if end > len(self.rows):
                 more = np.zeros((max(len(self.rows), end - len(self.rows)), len(self.langs)))
                 self.rows = np.concatenate([self.rows, more])
             self.rows[self.filled : end] = self.backed_off(unseen)
-            self.known.update(zip(unseen, range(self.filled, end)))
+            self.met.update(zip(unseen, range(self.filled, end)))
             for k, place in zip(new, range(self.filled, end)):
                 places[k] = place
             self.filled = end

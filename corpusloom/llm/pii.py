@@ -4,8 +4,8 @@ Detectors run on the text as it is, which gives the base spans. Then transducers
 full-width forms become the ASCII characters they look like, invisible characters go, runs of spelled digits (fewer than
 three where they adjoin a plus sign, digits or a dotted number) become digits, spelled plus signs, at signs and dots become the characters. Each rewriting
 is a list of (source start, source end, new text) edits, so a normalised position maps back to the source characters
-it came from. The same detectors run on the normalised text around each edit; what they find there and no base span
-of its kind holds whole is added, beside the base span where that is a fragment of it.
+it came from. The same detectors run on the whole normalised text; what they find there that touches an edit and no base
+span of its kind holds whole is added, beside the base span where that is a fragment of it.
 
 All patterns take linear time. Nulls: a null text is empty and has no spans. Repeated rows give a row each; an empty
 table gives an empty result; other columns are ignored, or kept by ``redact``.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
@@ -46,6 +47,12 @@ INVISIBLE = "­​‌‍⁠﻿"
 LOOKALIKES |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
 for _zero in (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
     LOOKALIKES |= {chr(_zero + k): str(k) for k in range(10)}
+# Bold, script, circled and like letters, as far as Unicode says which letter each stands for.
+LOOKALIKES |= {
+    chr(c): plain
+    for c in (*range(0x1D400, 0x1D6A4), *range(0x24B6, 0x24EA))
+    if (plain := unicodedata.normalize("NFKC", chr(c))).isascii()
+}
 # Spelled digits and signs.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
@@ -56,7 +63,8 @@ SPELLED = {
     "zwo": "2", "fünf": "5", "fu\u0308nf": "5", "fuenf": "5", "un": "1", "zéro": "0", "ze\u0301ro": "0",
 }
 _STANDS_FOR = str.maketrans({k: v for k, v in LOOKALIKES.items()})
-_ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "]")
+#: The mathematical letters and digits as one range: a class of single characters beyond the first plane is searched one by one.
+_ODD = re.compile("[" + "".join([re.escape(c) for c in LOOKALIKES if c <= "\uffff"]) + INVISIBLE + "\U0001d400-\U0001d7ff]")
 _GONE = re.compile(f"[{INVISIBLE}]+")
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _ONE = f"(?:{_WORD}|[0-9])"
@@ -75,13 +83,24 @@ _DIGIT_BEHIND = re.compile(rf"(?:{_GAP.pattern})[0-9]")
 _OCTET = rf"(?:[0-9]{{1,3}}|{_ONE}(?:[ ,\-]{{1,2}}{_ONE}){{0,2}})"
 _OCTETS = re.compile(rf"(?i)(?<![\w.@]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w@])")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[ \-]{1,2}(?=[0-9(])")
-_OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
-_BRACKETED_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+.\-]){_OPEN}(?:at|@){_CLOSE}(?=[a-z0-9])")
-_BRACKETED_DOT = re.compile(rf"(?i)(?<=[a-z0-9\-]){_OPEN}(?:dot|\.){_CLOSE}(?=[a-z0-9])")
-_BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9\-]) +dot +(?=[a-z0-9])")
+# At signs and dots in words.
+_OTHER_ATS, _DOTS = ("arroba", "arobase", "\u00e4t", "a\u0308t"), ("dot", "punto", "point", "punkt")
+_OTHER_AT, _DOT = [f"(?:{'|'.join(words)})" for words in (_OTHER_ATS, _DOTS)]
+_AT = f"(?:at|{_OTHER_AT})"
+_BREAK = r"(?: ++|\n)"
+_OPEN, _CLOSE = r"[ ]{0,2}[\[({<][ ]?", r"[ ]?[\])}>][ ]{0,2}"
+_BRACKETED_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+.\-]){_OPEN}(?:{_AT}|@){_CLOSE}(?=[a-z0-9])")
+_BRACKETED_DOT = re.compile(rf"(?i)(?<=[a-z0-9\-]){_OPEN}(?:{_DOT}|\.){_CLOSE}(?=[a-z0-9])")
+_BARE_DOT = re.compile(rf"(?i)(?<=[a-z0-9\-]){_BREAK}dot{_BREAK}(?=[a-z0-9])")
+#: A host behind an at sign that was disguised: its dots may be spelled in any of the languages or stand apart.
+_HOST_DOT = rf"{_BREAK}{_DOT}{_BREAK}|{_OPEN}(?:{_DOT}|\.){_CLOSE}| \. (?=(?-i:[a-z]{{2}}))"
+_HOST = re.compile(rf"[A-Za-z0-9\-]++(?:(?:(?i:{_HOST_DOT})|\.)[A-Za-z0-9\-]++)++")
+_HOST_DOTS = re.compile(rf"(?i){_HOST_DOT}")
 #: A bare "at" counts only before a name that goes on, maybe after plain labels, with a dot it had to spell or bracket.
-_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+\-]) +at +(?=[a-z0-9\-]++(?:\.[a-z0-9\-]++)*+(?: +dot +|{_OPEN}(?:dot|\.){_CLOSE})[a-z0-9])")
-_AROUND = 256
+_SPELLED_DOT = rf"(?:{_BREAK}{_DOT}{_BREAK}|{_OPEN}(?:{_DOT}|\.){_CLOSE})[a-z0-9]"
+_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+\-]){_BREAK}at{_BREAK}(?=[a-z0-9\-]++(?:\.[a-z0-9\-]++)*+{_SPELLED_DOT})")
+#: The words of the other languages for it are no common words, so a plain dot will do.
+_BARE_OTHER_AT = re.compile(rf"(?i)(?<=[a-z0-9_%+\-]){_BREAK}{_OTHER_AT}{_BREAK}(?=[a-z0-9\-]++(?:\.[a-z0-9]|{_SPELLED_DOT}))")
 
 Span = tuple[str, int, int]
 
@@ -236,6 +255,15 @@ def _adjoining(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _host_dots(now: Rewritten) -> list[tuple[int, int, str]]:
+    """The dots of hosts behind at signs that were edited in."""
+    edits = []
+    for place in sorted({a for a, _ in now.edited if now.text[a : a + 1] == "@"}):
+        if host := _HOST.match(now.text, place + 1):
+            edits += [(m.start(), m.end(), ".") for m in _HOST_DOTS.finditer(now.text, host.start(), host.end())]
+    return edits
+
+
 def normalise(text: str) -> list[Rewritten]:
     """The rewritten texts, none where nothing is disguised.
 
@@ -245,7 +273,7 @@ def normalise(text: str) -> list[Rewritten]:
     odd = not text.isascii() and _ODD.search(text)
     signs = "[" in text or "(" in text or "{" in text or "<" in text
     low = text.lower()
-    if not (odd or signs or "dot" in low or "plus" in low or _ANY_WORD.search(text)):
+    if not (odd or signs or any([x in low for x in ("dot", "plus", *_OTHER_ATS)]) or _ANY_WORD.search(text)):
         return []
     now = Rewritten(text)
     if odd:
@@ -255,10 +283,18 @@ def normalise(text: str) -> list[Rewritten]:
             now.edited = [(a, b) for a, b, _ in marks]
         now = now.apply([(m.start(), m.end(), "") for m in _GONE.finditer(now.text)])
     # Longer disguises last, as they may stand on characters that were mended before.
-    for rule, new in ((_BRACKETED_AT, "@"), (_BARE_AT, "@")):
-        now = now.apply([(m.start(), m.end(), new) for m in rule.finditer(now.text)])
-    now = now.apply([(m.start(), m.end(), ".") for m in _BRACKETED_DOT.finditer(now.text)])
-    now = now.apply([(m.start(), m.end(), ".") for m in _BARE_DOT.finditer(now.text)])
+    # Rules that look at every blank run only where the text has their words.
+    low = low if now.text == text else now.text.lower()
+    spelled = any([x in low for x in _DOTS])
+    for rule, there in (
+        (_BRACKETED_AT, signs or odd), (_BARE_AT, (signs or odd or spelled) and "at" in low), (_BARE_OTHER_AT, any([x in low for x in _OTHER_ATS]))
+    ):
+        if there:
+            now = now.apply([(m.start(), m.end(), "@") for m in rule.finditer(now.text)])
+    now = now.apply(_host_dots(now))
+    for rule, there in ((_BRACKETED_DOT, signs or odd), (_BARE_DOT, "dot" in low)):
+        if there:
+            now = now.apply([(m.start(), m.end(), ".") for m in rule.finditer(now.text)])
     long = now.apply(_spelled(now.text))
     wide = now.apply(_octets(now.text))
     wide = wide.apply(_spelled(wide.text))
@@ -276,31 +312,25 @@ def _covered(span: Span, taken: list[Span]) -> bool:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans); positions are code points of the source."""
     base = detect(text)
-    added = [span for now in normalise(text) for span in _around_edits(now)]
+    added = [span for now in normalise(text) for span in _at_edits(now)]
     if not added:
         return base, []
     by_kind = {k: [s for s in base if s[0] == k] for k in KINDS}
     return base, sorted({s for s in added if not _covered(s, by_kind[s[0]])}, key=_order)
 
 
-def _around_edits(now: Rewritten) -> list[Span]:
-    """What stands around the edits of a rewritten text, as spans of the source."""
-    added: list[Span] = []
+def _at_edits(now: Rewritten) -> list[Span]:
+    """What the whole rewritten text holds that touches an edit, as spans of the source."""
     edits = sorted(now.edited)
-    # A span is found in what stands around an edit, widened to blanks; neighbours are taken together.
-    at = 0
-    while at < len(edits):
-        start, end = max(0, edits[at][0] - _AROUND), edits[at][1] + _AROUND
-        at += 1
-        while at < len(edits) and edits[at][0] - _AROUND <= end:
-            end = max(end, edits[at][1] + _AROUND)
-            at += 1
-        while start > 0 and now.text[start - 1] not in " \n\t":
-            start -= 1
-        while end < len(now.text) and now.text[end] not in " \n\t":
-            end += 1
-        for kind, a, b in detect(now.text[start:end]):
-            added.append((kind, now.source(start + a)[0], now.source(start + b - 1)[1]))
+    starts, ends, furthest = [a for a, _ in edits], [], 0
+    for _, end in edits:
+        furthest = max(furthest, end)
+        ends.append(furthest)
+    added: list[Span] = []
+    for kind, a, b in detect(now.text):
+        before = bisect_right(starts, b)
+        if before and ends[before - 1] >= a:
+            added.append((kind, now.source(a)[0], now.source(b - 1)[1]))
     return added
 
 

@@ -59,6 +59,10 @@ def _fingerprints(batch) -> dict:
     return {"doc_id": batch.column("doc_id"), "mark": marks}
 
 
+def _marked_rows(batch) -> dict:
+    return {"_digest": batch.column("_digest"), **_fingerprints(batch)}
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint as a signed long, a row per row of ``docs``."""
     return map_batches(docs.select("doc_id", "text"), _fingerprints, "doc_id long, mark long")
@@ -234,26 +238,39 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("mark"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, a row per row of ``docs``."""
-    marked = store(fingerprints(docs), "fingerprints")
+def _known(marked: DataFrame) -> DataFrame:
+    """mark, root (smallest mark of its component) and component_id (smallest doc_id there)."""
     by_mark = store(marked.groupBy("mark").agg(F.min("doc_id").alias("id")), "marks")
     roots = components(links(by_mark.select("mark")))
     named = store(
         by_mark.join(roots, "mark", "left").select("mark", "id", F.coalesce("root", "mark").alias("root")), "named"
     )
     smallest = store(named.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
-    known = store(named.join(smallest, "root").select("mark", "component_id"), "known")
-    return marked.join(known, "mark").select(
+    return store(named.join(smallest, "root").select("mark", "root", "component_id"), "known")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, a row per row of ``docs``."""
+    marked = store(fingerprints(docs), "fingerprints")
+    return marked.join(_known(marked), "mark").select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id; all its columns stay.
+    """One row of each group of near copies, the smallest by doc_id and then by a digest of all columns.
 
-    doc_id names a document: rows that repeat one count once. Rows without doc_id stay.
+    Rows are linked by their texts alone: rows that share a doc_id but not a text stay as long as nothing
+    links them, and of rows that are the same in every column one stays. Rows without doc_id stay.
     """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(store(kept, "representatives"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    names = [c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names)
+    digest = F.sha2(F.to_json(F.struct(*names)), 256)
+    rows = plain.where("doc_id IS NOT NULL").withColumn("_digest", digest)
+    marked = map_batches(rows.select("doc_id", "_digest", "text"), _marked_rows, "doc_id long, _digest string, mark long")
+    marked = store(marked, "fingerprints")
+    least = marked.join(_known(marked), "mark").groupBy("root").agg(F.min(F.struct("doc_id", "_digest")).alias("row"))
+    kept = store(least.select("row.*"), "representatives")
+    # Equal rows are made one before they are shuffled, so that many of them are no hot key.
+    chosen = rows.dropDuplicates(["doc_id", "_digest"]).join(kept, ["doc_id", "_digest"], "left_semi")
+    return chosen.select(names).unionByName(plain.where("doc_id IS NULL")).toDF(*docs.columns)
