@@ -8,7 +8,7 @@ scoring, link resolution and everything after it are column expressions.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 from html import unescape
 from html.entities import html5
@@ -171,9 +171,9 @@ def make_scanner(
         markup = markup.replace("\r\n", "\n").replace("\r", "\n")
         raw: list[str] = []  # all text, in order
         kept: list[str] = []  # text outside stripped elements
-        # open elements: (tag, strips, [content span], [title span])
-        stack: list[tuple] = []
-        open_tags: Counter = Counter()
+        # open elements: (tag, strips, [content span], [title span]); None where one ended below others
+        stack: list[tuple | None] = []
+        depths: defaultdict[str, list[int]] = defaultdict(list)  # where the elements of each tag are
         stripped = 0
         content_spans: list[list[list[int]]] = [[] for _ in content_selectors]
         title_spans: list[list[int] | None] = [None for _ in title_selectors]
@@ -195,26 +195,29 @@ def make_scanner(
             if not stripped:
                 kept.append(piece)
 
-        def close(depth: int) -> None:
+        def finish(element: tuple | None) -> None:
             nonlocal stripped
-            while len(stack) > depth:
-                tag, strips, spans, heads = stack.pop()
-                open_tags[tag] -= 1
-                stripped -= strips
-                for span in spans:
-                    span[1] = len(kept)
-                for span in heads:
-                    span[1] = len(raw)
+            if element is None:
+                return
+            tag, strips, spans, heads = element
+            depths[tag].pop()  # elements of one tag end in the order of their depth
+            stripped -= strips
+            for span in spans:
+                span[1] = len(kept)
+            for span in heads:
+                span[1] = len(raw)
+
+        def close(depth: int) -> None:
+            while len(stack) > depth or stack and stack[-1] is None:
+                finish(stack.pop())
+
+        def innermost(tags) -> int:
+            return max([places[-1] for tag in tags if (places := depths.get(tag))], default=-1)
 
         def find(tags, stops) -> int | None:
-            if not any(open_tags[tag] for tag in tags):
-                return None  # else every tag of a deep page would walk the whole stack
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in tags:
-                    return depth
-                if stack[depth][0] in stops:
-                    return None
-            return None
+            """Depth of the innermost of ``tags`` unless one of ``stops`` is further in."""
+            depth = innermost(tags)
+            return depth if depth >= 0 and depth >= innermost(stops) else None
 
         def open_tag(tag: str, attribute_text: str, empty: bool) -> None:
             nonlocal stripped, data_title, body_start
@@ -250,13 +253,12 @@ def make_scanner(
             if empty and not spans and not heads:
                 return
             stripped += strips
+            depths[tag].append(len(stack))
             stack.append((tag, strips, spans, heads))
-            open_tags[tag] += 1
             if empty:
                 close(len(stack) - 1)
 
         def close_tag(tag: str) -> None:
-            nonlocal stripped
             if tag in ("html", "body", "head"):
                 return
             stops = () if tag in _CELL_SCOPE or tag in ("tr", "tbody") else _CELL_SCOPE
@@ -266,11 +268,9 @@ def make_scanner(
             if tag not in _FORMATTING or depth == len(stack) - 1:
                 close(depth)
                 return
-            # A misnested formatting element ends alone.
-            above = stack[depth + 1 :]
-            del stack[depth + 1 :]
-            close(depth)
-            stack.extend(above)
+            # A misnested formatting element ends alone; the depths of those above it stay as they are.
+            finish(stack[depth])
+            stack[depth] = None
 
         at, size = 0, len(markup)
         while at < size:

@@ -144,3 +144,34 @@ def test_words(spark):
         "text string, n int",
     )
     assert df.filter(count_words(F.col("text")) != F.col("n")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [lambda n: "<b>" * n + "<i>" * n + "</b>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li></li>" * n, lambda n: "<p>" + "<span>" * n + "<p>" * n],
+    ids=["formatting", "list items", "paragraphs"],
+)
+def test_scan_takes_linear_time(page):
+    import time
+
+    from corpusloom.operators.html_scan import make_scanner
+
+    scan = make_scanner()
+
+    def seconds(n):
+        begun = time.process_time()
+        scan(page(n))
+        return time.process_time() - begun
+
+    seconds(2_000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.05)
+
+
+def test_misnested_formatting_ends_alone():
+    from corpusloom.operators.html_scan import make_scanner
+
+    scan = make_scanner(content_selectors=("b", "i"), strip_selectors=("i",))
+    found = scan("<p>x<b>one<i>two</b>three<b>four</b></i>five</p>")
+    assert found.content == "one" and found.body == "xonefive"
+    scan = make_scanner(content_selectors=("i",), strip_selectors=())
+    assert scan("<p>x<b>one<i>two</b>three</i>four</p><i>five").content == "twothreefive"
