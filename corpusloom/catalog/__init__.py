@@ -1,8 +1,8 @@
 """Every operator bound to the test tables, with its SQL twin."""
 
-from corpusloom.catalog import documents, sites, streams, texts, trees
+from corpusloom.catalog import corpora, documents, sites, streams, texts, trees
 
-MODULES = (sites, texts, trees, documents, streams)
+MODULES = (sites, corpora, texts, trees, documents, streams)
 
 
 def all_queries() -> dict:

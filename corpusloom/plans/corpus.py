@@ -64,13 +64,13 @@ def build_corpus(
 ) -> DataFrame:
     """Pages a crawl from the seeds reaches: ``idx, title, url, content, timestamp, depth``.
 
-    Markup is scanned once. The crawl then reads the stored links, and only pages it reached have
-    their stored text cleaned and scored. Only pages on hosts of the seeds, and on hosts whose robots
-    lines let them in, can be reached; both are decided on ``idx, url`` without the markup.
+    Only pages on hosts of the seeds, and on hosts whose robots lines let them in, can be reached; both are
+    decided on ``idx, url`` without the markup, and only their markup is scanned, once. The crawl then reads the
+    stored links, and only pages it reached have their stored text cleaned and scored.
     """
     allowed = allowed_domain(pages.select("idx", "url"), seeds)
-    allowed = robots_allowed(allowed, robots) if robots is not None else allowed
-    scanned = store(scan_pages(pages), "scanned")
+    allowed = store(robots_allowed(allowed, robots) if robots is not None else allowed, "allowed")
+    scanned = store(scan_pages(pages.join(allowed.select("idx"), "idx", "left_semi")), "scanned")
     edges = graph_of(scanned.select("idx", "url", "links"), link_scope).filter("follow")
     visited = crawl_bfs(
         allowed.select("idx", "url"),

@@ -53,6 +53,39 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table of as many buckets by ``keys`` as there are shuffle partitions, which can grow.
+
+    Joins and groupings on the keys read it without moving it. The name lives in the session's catalog
+    until the block that made it ends; the files stay below the checkpoint root.
+    """
+
+    def __init__(self, df: DataFrame, label: str, keys: list[str]):
+        self.spark, self.keys = df.sparkSession, keys
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+        self._write(df, "errorifexists", path=scratch_path(self.spark, label))
+
+    def _write(self, df: DataFrame, mode: str, **options: str) -> None:
+        # Rows are dealt by the buckets' own hash, so every task writes one file.
+        dealt = df.repartition(self.buckets, *self.keys)
+        writer = dealt.write.format("parquet").mode(mode).options(**options)
+        writer.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows; ``df`` may read the table as it was."""
+        self._write(df, "append")
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def __enter__(self) -> Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the checkpoint root (stream state, stream output)."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -75,3 +75,38 @@ def test_build_corpus(spark):
     assert sorted(r.idx for r in build_corpus(pages, seeds, now, quality=True, quality_rules=rules).collect()) == [0, 1]
     robots = spark.createDataFrame([("h.example", 0, "User-agent: *"), ("h.example", 1, "Disallow: /")], "host string, line_no int, line string")
     assert build_corpus(pages, seeds, now, robots=robots).count() == 0
+
+
+def test_edges_and_visited_pages_stay_where_they_are(spark):
+    """With broadcasts off, only the frontier and its targets are shuffled in a round."""
+    from corpusloom.session import Bucketed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(1000).select((F.col("id") % 50).alias("src"), F.lit(0).cast("long").alias("block"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("blocks"))
+        reached = spark.range(20).select(F.col("id").alias("idx"), F.lit(1).cast("long").alias("blocks"), F.lit(1).alias("depth"))
+        with Bucketed(edges, "edges", ["src", "block"]) as graph, Bucketed(reached, "reached", ["idx"]) as known:
+            fresh = C.next_targets(graph.table(), known.table()).withColumnRenamed("dst", "idx")
+            fresh = fresh.join(known.table(), "idx", "left_anti")
+            plan = fresh._jdf.queryExecution().executedPlan().toString()
+            # The frontier to its sources' buckets, the targets to theirs.
+            assert plan.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in plan
+            for line, behind in zip(plan.splitlines(), plan.splitlines()[1:]):
+                assert not ("Exchange" in line and "FileScan" in behind)
+            assert fresh.count() == 400 - 20
+            known.append(fresh.select("idx", "blocks", F.lit(2).alias("depth")))
+            assert known.table().count() == 400
+            assert known.table().groupBy("idx").count().where("count > 1").isEmpty()
+            name = known.name
+        assert not spark.catalog.tableExists(name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_long_chain_ends_by_itself(spark):
+    n = 12
+    pages = spark.createDataFrame([(i, url(i)) for i in range(n)], "idx long, url string")
+    links = spark.createDataFrame([(i, 0, url(i + 1)) for i in range(n)], "src long, pos int, dst_url string")
+    seeds = spark.createDataFrame([(url(0),)], "url string")
+    assert {r.idx: r.depth for r in C.crawl_bfs(pages, links, seeds, 10**6).collect()} == {i: i + 1 for i in range(n)}
