@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import bindings as B
 from corpusloom.catalog.texts import metrics_sql
 from corpusloom.catalog.sites import _CANON
+from corpusloom.operators.distributed import single_value
+from corpusloom.session import scratch_path
 from corpusloom.sources.readers import read_pages_stream
 from corpusloom.streaming import streams as S
 
@@ -83,3 +85,23 @@ def _stream_profile(s, sf):
     return S.run_available(profile, "stream-profile", keep_last=True).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")
     )
+
+
+@query(
+    "stream_progress",
+    "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS total, max_by(url, page_id) AS last_url, "
+    "count(*) AS written FROM pages",
+)
+def _stream_progress(s, sf):
+    """What the callback was told, whatever the batches were, and what the wrapped writer wrote."""
+    told, rows = [], scratch_path(s, "stream-progress")
+    writer = S.write_with_progress(
+        _pages(s, sf).select("idx", "url"),
+        lambda batch, _: batch.write.mode("append").parquet(f"{rows}/rows"),
+        lambda *facts: told.append(facts),
+    )
+    writer.option("checkpointLocation", f"{rows}/state").trigger(availableNow=True).start().awaitTermination()
+    said = s.createDataFrame(told, "number long, rows long, total long, last_url string")
+    written = single_value(s.read.schema("idx long, url string").parquet(f"{rows}/rows"), F.count("*"))
+    last = F.max_by("last_url", "number").alias("last_url")
+    return said.agg(F.sum("rows").alias("rows"), F.max("total").alias("total"), last).withColumn("written", written)

@@ -8,6 +8,7 @@ from corpusloom.catalog import bindings as B
 from corpusloom.operators import crawl_tree as C
 from corpusloom.operators import page_tree as P
 from corpusloom.operators.distributed import number_rows
+from corpusloom.operators.visit import visit_nodes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,3 +213,32 @@ query("all_nodes", f"WITH {B.TREE_NODES_SQL} SELECT idx, url, path, title FROM n
 query("nodes_by_level", f"{_C} SELECT idx, title FROM t WHERE level = 2")(
     lambda s, sf: C.nodes_by_level(crawl_tree(s, sf), 2).select("idx", "title")
 )
+
+
+# --- visitor ---------------------------------------------------------------------------------------
+
+_STOP = "https://tree.example.com/r1/n1"
+
+
+def _describe(node: dict) -> str:
+    if node["url"] == _STOP:
+        raise ValueError(node["url"])
+    return f"{node['level']} {node['title']}"
+
+
+def _visit_sql(order: str) -> str:
+    return (
+        f"{_C}, v AS (SELECT idx, url, level, title, row_number() OVER (ORDER BY {order}) - 1 AS position FROM t) "
+        f"SELECT position, idx, url, CASE WHEN url <> '{_STOP}' THEN level || ' ' || title END AS value, "
+        f"CASE WHEN url = '{_STOP}' THEN 'ValueError: ' || url END AS error "
+        f"FROM v WHERE position <= (SELECT min(position) FROM v WHERE url = '{_STOP}')"
+    )
+
+
+query("visit_nodes_depth_first", _visit_sql("okey"))(lambda s, sf: visit_nodes(crawl_tree(s, sf), _describe))
+query("visit_nodes_breadth_first", _visit_sql("level, okey"))(
+    lambda s, sf: visit_nodes(crawl_tree(s, sf), _describe, breadth_first=True)
+)
+query(
+    "visit_nodes_all", f"{_C} SELECT row_number() OVER (ORDER BY okey) - 1 AS position, idx, level || ' ' || title AS value FROM t"
+)(lambda s, sf: visit_nodes(crawl_tree(s, sf), lambda node: f"{node['level']} {node['title']}").select("position", "idx", "value"))

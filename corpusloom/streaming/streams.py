@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.functions.quality import PASS_SCORE, QualityRules
@@ -79,13 +79,45 @@ def stream_crawl_profile(log: DataFrame, window: str = "1 hour", delay: str = "1
     )
 
 
-def with_progress(df: DataFrame, report: Callable[[int, int], None], mode: str = "append"):
-    """A stream writer that tells ``report`` each batch's number and row count."""
+def write_with_progress(
+    df: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    report: Callable[[int, int, int, str | None], None],
+    mode: str = "append",
+    url: str | None = "url",
+    order: str = "idx",
+):
+    """A stream writer that hands each batch to ``write`` and then tells ``report`` what went through.
+
+    ``report`` gets the batch's number, its rows, the rows of all batches since the start, and the URL of
+    the last row by ``order`` (None for an empty batch or where ``url`` is None). Both figures are observed while ``write`` reads the batch, so
+    nothing is read twice; ``write`` has to run one action over it. A batch that is repeated after a failure is
+    reported again.
+    """
+    total = 0
+
+    def batch_done(batch: DataFrame, batch_id: int) -> None:
+        nonlocal total
+        seen = Observation()
+        facts = [F.count(F.lit(1)).alias("rows")]
+        facts += [F.max_by(F.col(url), F.col(order)).alias("last")] if url else []
+        write(batch.observe(seen, *facts), batch_id)
+        found = seen.get
+        total += found["rows"]
+        report(batch_id, found["rows"], total, found.get("last"))
 
-    def count(batch: DataFrame, batch_id: int) -> None:
-        report(batch_id, batch.count())
+    return df.writeStream.outputMode(mode).foreachBatch(batch_done)
 
-    return df.writeStream.outputMode(mode).foreachBatch(count)
+
+def with_progress(df: DataFrame, report: Callable[[int, int], None], mode: str = "append"):
+    """A stream writer that tells ``report`` each batch's number and row count and keeps no rows."""
+    return write_with_progress(
+        df,
+        lambda batch, _: batch.write.format("noop").mode("append").save(),
+        lambda number, rows, total, last: report(number, rows),
+        mode,
+        url=None,
+    )
 
 
 def run_available(df: DataFrame, label: str, keep_last: bool = False) -> DataFrame:

@@ -73,3 +73,23 @@ def test_windowed_profile(spark, tmp_path):
     log = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     found = S.run_available(S.stream_crawl_profile(log), "t-profile", keep_last=True).orderBy("window_start")
     assert [(r.pages_scraped, r.total_bytes, r.errors) for r in found.collect()] == [(3, 300, 2), (3, 300, 1)]
+
+
+def test_progress_around_a_writer(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k in range(3):
+        rows = spark.range(10 * k, 10 * k + k + 1).selectExpr("id AS idx", "concat('u', id) AS url").coalesce(1)
+        rows.write.mode("append").parquet(source)
+    stream = spark.readStream.schema("idx long, url string").option("maxFilesPerTrigger", 1).parquet(source)
+    told = []
+    query = (
+        S.write_with_progress(stream, lambda batch, number: batch.write.mode("append").parquet(str(tmp_path / "out")), lambda *facts: told.append(facts))
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert [t[0] for t in told] == [0, 1, 2] and sorted(t[1] for t in told) == [1, 2, 3]
+    assert [t[2] for t in told] == [sum(x[1] for x in told[: k + 1]) for k in range(3)]
+    assert {t[3] for t in told} == {"u0", "u11", "u22"}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6

@@ -163,3 +163,28 @@ def test_no_pages(spark):
     none = frame(spark, [])
     assert P.page_tree_height(P.build_page_tree(none)).first()[0] == 0
     assert C.build_tree(none).count() == 0
+
+
+def test_visitor_stops_at_the_first_error(spark):
+    from corpusloom.operators.crawl_tree import build_tree, traverse_breadth_first, traverse_depth_first
+    from corpusloom.operators.visit import visit_nodes
+
+    urls = ["/", "/a", "/b", "/a/x", "/a/y", "/b/z", "/a/x/deep", "/c"]
+    pages = spark.createDataFrame([(i, f"https://h.example{u}", f"t{i}", "text") for i, u in enumerate(urls)], "idx long, url string, title string, content string")
+    tree = build_tree(pages)
+    for breadth_first, walk in ((False, traverse_depth_first), (True, traverse_breadth_first)):
+        order = [r.idx for r in walk(tree).collect()]
+
+        def names(node):
+            return node["title"]
+
+        def fails(node):
+            if node["idx"] in (order[3], order[5], order[-1]):
+                raise KeyError(node["title"])
+            return str(node["level"])
+
+        rows = visit_nodes(tree, names, breadth_first).orderBy("position").collect()
+        assert [(r.position, r.idx, r.value, r.error) for r in rows] == [(k, i, f"t{i}", None) for k, i in enumerate(order)]
+        rows = visit_nodes(tree, fails, breadth_first).orderBy("position").collect()
+        assert [r.idx for r in rows] == order[:4] and [r.error for r in rows] == [None] * 3 + [f"KeyError: 't{order[3]}'"]
+    assert visit_nodes(tree.limit(0), names).collect() == []
