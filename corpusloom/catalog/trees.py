@@ -165,6 +165,19 @@ query(
     lambda s, sf: C.sort_children(crawl_tree(s, sf, sort_by="url"))
 )
 
+_DATE = "(t0.idx * 7919) % 1000"
+query(
+    "sort_children_by_date",
+    f"WITH RECURSIVE {B.crawl_tree_sql(_DATE)} SELECT idx, parent_idx, title, row_number() OVER (PARTITION BY parent_idx "
+    "ORDER BY (idx * 7919) % 1000, idx) - 1 AS rank FROM t WHERE parent_idx IS NOT NULL",
+)(
+    lambda s, sf: C.sort_children(
+        C.build_tree(
+            B.tree_pages(s, sf).withColumn("last_modified", F.timestamp_seconds((F.col("idx") * 7919) % 1000)), sort_by="date"
+        )
+    )
+)
+
 query("auto_index", f"{_CT} SELECT idx, row_number() OVER (ORDER BY okey) - 1 AS index FROM t")(
     lambda s, sf: C.auto_index(crawl_tree(s, sf, sort_by="title")).select("idx", "index")
 )
