@@ -1,9 +1,9 @@
 """Licence scans: Aho-Corasick finds tags and phrases, a shunting-yard parser evaluates tag expressions.
 
 The text is reduced to its words (ASCII lower-cased). Phrases are matched on whole words in one pass of the automaton
-over the joined words: the base phrases, and further notices of the method. Where an identifier tag occurs, the expression
-after it is read from the source text and evaluated with ``and``, ``or``, ``with`` and brackets; a later-version mark
-(``+``) belongs to its identifier.
+over the joined words: the base phrases, further notices of the method, and the words of the identifier tag. A tag's words
+are located in the source, where hyphens have to join them and a colon has to follow; the expression after it
+is read there and evaluated with ``and``, ``or``, ``with`` and brackets. A later-version mark (``+``) belongs to its identifier.
 
 The score says how freely the text may be used: 1 for public domain, 0.9 for permissive notices, down to 0.1 for terms
 that forbid it, 0 where nothing is found. ``or`` leaves the choice (the largest), ``and`` binds to all (the
@@ -16,7 +16,9 @@ together. Repeated rows give a row each; an empty table gives an empty result; o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -37,7 +39,8 @@ NOTICES = {
     "creative commons zero": "cc0", "the unlicense": "unlicense", "released into the public domain": "public-domain",
     "all rights reserved": "proprietary", "proprietary and confidential": "proprietary",
 }
-TAG = "spdx-license-identifier:"
+# Fixed value: the identifier tag, its words.
+TAG = "spdx license identifier"
 # How freely a label may be used.
 FREEDOM = {
     "cc0": 1.0, "unlicense": 1.0, "public-domain": 1.0, "mit": 0.9, "bsd": 0.9, "isc": 0.9, "bsl": 0.9, "zlib": 0.9,
@@ -53,7 +56,11 @@ _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A els
 _HINTS = (b"licens", b" cc", b"rights", b"domain", b"clause", b"redistribution", b"permission", b"creative", b"proprietary")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
 _COMMENT_END = re.compile(r"\*/|-->|\n|\r")
-_VERSION = re.compile(r"-(?:v?[0-9][0-9.]*)(?:-(?:only|or-later|clause.*))?\+?$|\+$")
+#: A version or clause number and what qualifies it (``only``, ``clause``, a country), or a later-version mark alone.
+_VERSION = re.compile(r"-v?[0-9][0-9.]*(?:[-+].*)?$|\+$")
+#: A word in the source, and what stands between the words of a tag and after it.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_TAG_SIGNS = ["-", "-", ":"]
 
 
 def words_of(text: str) -> bytes:
@@ -66,8 +73,8 @@ def words_of(text: str) -> bytes:
 def _automaton():
     """One automaton over ' phrase ' for every phrase. Latin-1 carries bytes through as characters."""
     automaton = ahocorasick.Automaton()
-    for phrase, label in {**NOTICES, **BASE}.items():
-        automaton.add_word(f" {phrase} ", (phrase, label, phrase in BASE))
+    for phrase, label in {**NOTICES, **BASE, TAG: None}.items():
+        automaton.add_word(f" {phrase} ", (phrase, label))
     automaton.make_automaton()
     return automaton
 
@@ -144,6 +151,18 @@ def expression(line: str) -> list[str]:
     return tokens
 
 
+def tag_ends(text: str, tags: list[int]) -> Iterator[int]:
+    """Where the expressions of the tags begin in the source; ``tags`` are numbers of their first words, ascending."""
+    found, number = _WORD.finditer(text), 0
+    for tag in tags:
+        words = list(islice(found, tag - number, tag - number + 3))
+        number = tag + 3
+        signs = [text[a.end() : b.start()] for a, b in zip(words, words[1:])]
+        end = words[-1].end()
+        if [*signs, text[end : end + 1]] == _TAG_SIGNS:
+            yield end + 1
+
+
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     joined = words_of(text)
@@ -152,11 +171,16 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     if any([hint in joined for hint in _HINTS]):
         counted, at = 0, 0
         notices: list[tuple[int, int, str]] = []
-        for end, (phrase, label, is_base) in _automaton().iter(joined.decode("latin-1")):
+        tags: list[int] = []
+        for end, (phrase, label) in _automaton().iter(joined.decode("latin-1")):
             start = end - len(phrase) - 1
-            if is_base:
+            if phrase in BASE or phrase == TAG:
                 counted += joined.count(b" ", at, start) if start >= at else -joined.count(b" ", start, at)
                 at = start
+            if phrase == TAG:
+                tags.append(counted)
+                continue
+            if phrase in BASE:
                 n_base += 1
                 first = counted if first is None else min(first, counted)
                 last = counted if last is None else max(last, counted)
@@ -170,19 +194,12 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
                 labels.add(label)
                 freedom.append(FREEDOM.get(label, UNKNOWN_FREEDOM))
                 reach = end
-    low = text.lower() if "dentifier:" in text or "DENTIFIER:" in text else ""
-    at = low.find(TAG)
-    if at >= 0 and len(low) != len(text):  # characters whose lower case is longer
-        low = "".join([c if len(c.lower()) != 1 else c.lower() for c in text])
-        at = low.find(TAG)
-    while at >= 0:
-        start = at + len(TAG)
-        stop = _COMMENT_END.search(text, start)
-        found, value = evaluate(expression(text[start : stop.start() if stop else len(text)]))
-        if found:
-            labels |= found
-            freedom.append(value)
-        at = low.find(TAG, start)
+        for start in tag_ends(text, tags):
+            stop = _COMMENT_END.search(text, start)
+            found, value = evaluate(expression(text[start : stop.start() if stop else len(text)]))
+            if found:
+                labels |= found
+                freedom.append(value)
     labels |= base
     score = min(freedom) if freedom else 0.0
     return n_words, n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score

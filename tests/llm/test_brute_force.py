@@ -357,6 +357,21 @@ def test_license_expressions():
     assert licenses.scan("GNU Lesser General Public License")[5] == "gpl,lgpl"
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("été SPDX-License-IDENTifier: MIT\nspdx-license-identifier:Apache-2.0", "apache,mit"),
+        ("SPDX-License-Identifier: CC-BY-SA-3.0-DE OR MPL-2.0-no-copyleft-exception", "cc-by-sa,mpl"),
+        ("SPDX License Identifier: MIT, spdx-license-identifier MIT", ""),
+        ("spdx-license-identifier", ""),
+        ("a b SPDX-License-Identifier:\nSPDX-License-Identifier: LicenseRef-3rd-party", "licenseref-3rd-party"),
+    ],
+)
+def test_identifier_tags(text, labels):
+    assert licenses.scan(text)[5] == labels
+    assert licenses.scan("\u1e9eİ x. " * 3 + text + " end")[5] == labels
+
+
 def test_quality(spark, result):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = result("op9_line_field")
