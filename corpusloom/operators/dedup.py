@@ -2,6 +2,9 @@
 
 Which row comes first is a combinable minimum per canonical URL. Sending the answer back joins on
 ``idx``, which is unique, so a canonical URL shared by much of the table skews nothing.
+
+What reads the canonical form more than once works on :func:`canonical_keys`, a stored ``(idx, canonical)``
+table. A job that asks several questions of one table stores it once and passes it as ``keys``.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import CRAWL_RULES, UrlRules, normalize_url
 from corpusloom.operators.distributed import first_per_key, pinned, salted_lookup
+from corpusloom.session import store
 
 
 def with_canonical(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
@@ -26,14 +30,21 @@ def _firsts(keyed: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
+def canonical_keys(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
+    """``idx, canonical`` of every row, computed once and stored."""
+    return store(with_canonical(df, rules, url).select("idx", "canonical"), "canonical-keys")
+
+
+def mark_duplicates(
+    df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url", keys: DataFrame | None = None
+) -> DataFrame:
     """Add ``canonical`` and ``is_duplicate``; unparsable URLs count as duplicates."""
-    keyed = with_canonical(df, rules, url)
-    first = _firsts(keyed.select("idx", "canonical")).select(
-        "idx", F.lit(False).alias("is_duplicate")
-    )
-    return keyed.join(first, "idx", "left").withColumn(
-        "is_duplicate", F.coalesce("is_duplicate", F.lit(True))
+    keys = canonical_keys(df, rules, url) if keys is None else keys
+    first = _firsts(keys).select("idx", F.lit(False).alias("is_duplicate"))
+    return (
+        df.join(keys, "idx", "left")
+        .join(first, "idx", "left")
+        .withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(True)))
     )
 
 
@@ -80,36 +91,37 @@ def duplicate_groups(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "u
     )
 
 
-def duplicate_members(df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url") -> DataFrame:
+def duplicate_members(
+    df: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url", keys: DataFrame | None = None
+) -> DataFrame:
     """The members of every group, one per row, with the size of their group."""
-    keyed = (
-        with_canonical(df, rules, url)
-        .filter(F.col("canonical").isNotNull())
-        .select("idx", F.col(url).alias("url"), "canonical")
-    )
-    sizes = keyed.groupBy("canonical").agg(
-        F.count("*").alias("members"), F.min("idx").alias("first_idx")
-    )
-    return salted_lookup(keyed, sizes, ["canonical"], F.col("idx")).select(
+    keys = (canonical_keys(df, rules, url) if keys is None else keys).filter(F.col("canonical").isNotNull())
+    sizes = keys.groupBy("canonical").agg(F.count("*").alias("members"), F.min("idx").alias("first_idx"))
+    sized = salted_lookup(keys, sizes, ["canonical"], F.col("idx"))
+    return sized.join(df.select("idx", F.col(url).alias("url")), "idx").select(
         "canonical", "members", "idx", "url", (F.col("idx") == F.col("first_idx")).alias("is_first")
     )
 
 
 def is_seen(
-    df: DataFrame, seen: DataFrame, rules: UrlRules = CRAWL_RULES, url: str = "url"
+    df: DataFrame,
+    seen: DataFrame,
+    rules: UrlRules = CRAWL_RULES,
+    url: str = "url",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``is_seen``: in the seen set by canonical URL, or unparsable."""
-    keyed = with_canonical(df, rules, url)
-    known = (
-        with_canonical(seen, rules, url)
-        .filter(F.col("canonical").isNotNull())
-        .select("canonical")
-        .distinct()
-        .withColumn("is_seen", F.lit(True))
-    )
-    found = salted_lookup(keyed, known, ["canonical"], F.col("idx"), "left")
-    return found.withColumn(
-        "is_seen", F.col("canonical").isNull() | F.coalesce("is_seen", F.lit(False))
+    """Add ``canonical`` and ``is_seen``: in the seen set by canonical URL, or unparsable.
+
+    The distinct URLs of the table that are in the seen set are found first; only the ``idx`` of their rows goes back.
+    """
+    keys = canonical_keys(df, rules, url) if keys is None else keys
+    known = with_canonical(seen, rules, url).filter(F.col("canonical").isNotNull()).select("canonical").distinct()
+    met = keys.select("canonical").distinct().join(known, "canonical", "left_semi")
+    found = salted_lookup(keys, met, ["canonical"], F.col("idx")).select("idx", F.lit(True).alias("is_seen"))
+    return (
+        df.join(keys, "idx", "left")
+        .join(found, "idx", "left")
+        .withColumn("is_seen", F.col("canonical").isNull() | F.coalesce("is_seen", F.lit(False)))
     )
 
 

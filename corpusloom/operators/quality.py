@@ -9,6 +9,7 @@ from corpusloom.functions import quality as Q
 from corpusloom.functions.numbers import div
 from corpusloom.functions.text import count_words, fold_case
 from corpusloom.operators.distributed import pinned
+from corpusloom.session import store
 
 
 def extract_metrics(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
@@ -186,11 +187,20 @@ def quality_stats(scored: DataFrame) -> DataFrame:
 
 
 def top_pages(scored: DataFrame, k: int = 10) -> DataFrame:
-    return scored.orderBy(F.col("quality.score").desc(), "idx").limit(k)
+    """The ``k`` best pages in order, equal scores by ``idx``."""
+    return _extreme(scored, F.col("quality.score").desc(), k)
 
 
 def worst_pages(scored: DataFrame, k: int = 10) -> DataFrame:
-    return scored.orderBy(F.col("quality.score").asc(), "idx").limit(k)
+    """The ``k`` worst pages in order, equal scores by ``idx``."""
+    return _extreme(scored, F.col("quality.score").asc(), k)
+
+
+def _extreme(scored: DataFrame, order: Column, k: int) -> DataFrame:
+    """Whole rows of the ``k`` first pages. The choice is made on ``(score, idx)``, so no task sends contents of
+    pages that are not among them; the semi-join reads those of the ``k`` chosen."""
+    chosen = scored.orderBy(order, "idx").limit(k).select("idx")
+    return scored.join(chosen, "idx", "left_semi").orderBy(order, "idx").limit(k)
 
 
 def common_issues(scored: DataFrame) -> DataFrame:
@@ -219,7 +229,8 @@ def language_counts(scored: DataFrame) -> DataFrame:
 def quality_report(scored: DataFrame, generated_at: Column, k: int = 10) -> DataFrame:
     """One row: statistics, best and worst ``k`` pages, issue counts, time.
 
-    What is gathered is bounded: ``k`` pages twice and one entry per kind of issue.
+    What is gathered is bounded: ``k`` pages twice and one entry per kind of issue. Pages are scored once: what the
+    report reads is stored without contents, and each part of the report reads its own columns of that.
     """
     page = F.struct("url", "title", "quality")
 
@@ -230,7 +241,7 @@ def quality_report(scored: DataFrame, generated_at: Column, k: int = 10) -> Data
         )
 
     score = F.col("quality.score")
-    slim = scored.select("idx", "url", "title", "quality")
+    slim = store(scored.select("idx", "url", "title", "quality"), "quality-report")
     top = listed(top_pages(slim, k), [(-score).alias("s"), F.col("idx")], page, "top_pages")
     worst = listed(worst_pages(slim, k), [score.alias("s"), F.col("idx")], page, "worst_pages")
     issue = F.struct("issue_type", "count")

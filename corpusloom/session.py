@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(app: str = "corpusloom", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -19,6 +21,8 @@ def local_session(app: str = "corpusloom", cores: int | str = "*", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Stream state on disk: its keys need not fit in memory.
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -15,6 +15,9 @@ from corpusloom.operators.extract import extract_pages
 from corpusloom.operators.quality import analyze_content
 from corpusloom.session import scratch_path
 
+#: Names the unbounded state of ``stream_dedup_urls``.
+FOREVER = "forever"
+
 
 def stream_extract(pages: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Clean and scored pages, page by page, without state."""
@@ -28,27 +31,30 @@ def stream_dedup_urls(
     spread: str = "idx",
     event_time: str | None = None,
     delay: str = "1 hour",
+    forget_after: str = "30 days",
 ) -> DataFrame:
     """The first arrival of each canonical URL; unparsable URLs never pass.
 
     A stream cannot combine before its shuffle, so a URL seen very often would pile up on one task.
-    A first pass therefore de-duplicates by URL and bucket of ``spread``; at most ``SALTS`` rows of a
-    URL ever reach the second, which is by URL alone.
+    A first pass therefore de-duplicates by URL and bucket of ``spread``; at most as many rows of a URL as there
+    are shuffle partitions (``SALTS`` at least) ever reach the second, which is by URL alone.
 
-    With ``event_time`` a key is forgotten once the watermark has passed it, which bounds the
-    state; without, every key is remembered.
+    State is bounded: a key is forgotten ``forget_after`` its arrival, a batch later at the soonest, or, with
+    ``event_time``, once the watermark of that column has passed it by ``delay``. A URL that comes again after
+    that passes again. Only ``forget_after=FOREVER`` keeps every key.
     """
     keyed = with_canonical(rows, rules, url).filter(F.col("canonical").isNotNull())
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)))
+    buckets = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(buckets)))
+    if event_time is None and forget_after == FOREVER:
+        return salted.dropDuplicates(["canonical", "_salt"]).dropDuplicates(["canonical"]).drop("_salt")
     if event_time is None:
-        once = salted.dropDuplicates(["canonical", "_salt"]).dropDuplicates(["canonical"])
+        # The batch's own time; no row is ever late by it.
+        timed = salted.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", forget_after)
     else:
-        once = (
-            salted.withWatermark(event_time, delay)
-            .dropDuplicatesWithinWatermark(["canonical", "_salt"])
-            .dropDuplicatesWithinWatermark(["canonical"])
-        )
-    return once.drop("_salt")
+        timed = salted.withWatermark(event_time, delay)
+    once = timed.dropDuplicatesWithinWatermark(["canonical", "_salt"]).dropDuplicatesWithinWatermark(["canonical"])
+    return once.drop("_salt", "_arrived")
 
 
 def stream_quality_stats(scored: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ SOME = (
     "crawl_profile_lines build_page_tree orphans render_json render_hier_json page_paths "
     "render_hier_markdown render_hier_pages render_hier_pages_literal "
     "stream_extract stream_dedup_urls stream_quality_stats stream_crawl_profile stream_progress "
-    "visit_nodes_breadth_first crawl_bfs_whole extract_selectors"
+    "visit_nodes_breadth_first crawl_bfs_whole extract_selectors write_rendered write_rendered_pages "
+    "top_pages_site worst_pages mark_duplicates is_seen"
 ).split()
 NAMES = list(all_queries()) if os.environ.get("CORPUS_FULL") else SOME
 

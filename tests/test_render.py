@@ -180,11 +180,60 @@ def test_dispatch(pages, now):
     assert set(files(hier)) == {"documentation_hierarchical.json"}
 
 
+def read_back(folder):
+    found = {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*") if p.is_file() and p.name[0] not in "._"}
+    return found
+
+
 def test_written_files(pages, now, tmp_path):
     sections = R.render_markdown_single(pages, ROOT, now)
     write_rendered(sections, str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out" / "file=documentation.md").glob("part-*"))
-    assert "".join(p.read_text() for p in parts) == files(sections)["documentation.md"]
+    assert read_back(tmp_path / "out") == files(sections)
+    with pytest.raises(FileExistsError):
+        write_rendered(sections, str(tmp_path / "out"))
+
+
+def test_links_between_written_files_resolve(pages, now, tmp_path):
+    sections = H.render_hier_pages(pages, ROOT, now)
+    out = tmp_path / "out"
+    write_rendered(sections, str(out))
+    assert read_back(out) == files(sections)
+    links = [(p, m) for p in out.rglob("*.md") for m in re.findall(r"\]\(([^)#:]+)\)", p.read_text())]
+    assert links and all((p.parent / m).is_file() or (out / m).is_file() for p, m in links)
+    write_rendered(R.render_markdown_single(pages, ROOT, now), str(out), "ignore")
+    assert not (out / "documentation.md").exists()
+    write_rendered(R.render_markdown_single(pages, ROOT, now), str(out), "overwrite")
+    assert set(read_back(out)) == {"documentation.md"}
+
+
+def test_file_over_many_tasks(spark, tmp_path):
+    lines = spark.range(20_000).select(
+        F.when(F.col("id") < 19_000, "big/one.txt").otherwise(F.concat(F.lit("small/"), F.col("id"))).alias("file"),
+        F.lit(1).alias("part"), F.col("id").alias("sort_key"), F.concat(F.lit("line "), F.col("id")).alias("text"),
+    ).repartition(7)
+    expected = {"big/one.txt": "".join(f"line {k}\n" for k in range(19_000))}
+    expected |= {f"small/{k}": f"line {k}\n" for k in range(19_000, 20_000)}
+    write_rendered(lines, str(tmp_path / "whole"))
+    assert read_back(tmp_path / "whole") == expected
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_rendered(lines, str(tmp_path / "parts"))
+        write_rendered(lines, str(tmp_path / "cut"), object_bytes=50_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert read_back(tmp_path / "parts") == expected
+    cut = read_back(tmp_path / "cut")
+    big = sorted(n for n in cut if n.startswith("big/"))
+    assert len(big) > 1 and big[:2] == ["big/one.txt", "big/one.txt.00001"]
+    assert "".join(cut[n] for n in big) == expected["big/one.txt"]
+
+
+def test_files_stay_below_the_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("../away.txt", 1, 1, "x")], "file string, part int, sort_key int, text string")
+    with pytest.raises(Exception, match="not a file name below"):
+        write_rendered(rows, str(tmp_path / "out"))
+    write_rendered(rows.limit(0), str(tmp_path / "none"))
+    assert read_back(tmp_path / "none") == {}
 
 
 def test_profile(spark):

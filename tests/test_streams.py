@@ -1,5 +1,7 @@
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources.readers import read_pages_stream
@@ -49,6 +51,32 @@ def test_bounded_state(spark, tmp_path):
     assert S.run_available(unique.select("canonical"), "t-bounded").count() == 1
 
 
+@pytest.mark.parametrize("forget_after", ["1 second", S.FOREVER])
+def test_state_past_its_time(spark, tmp_path, forget_after):
+    """Every batch brings 40 new URLs and one of the first batch again."""
+    batches = 6
+    for k in range(batches):
+        rows = [(k * 100 + i, f"https://h.example/{k}/{i}", "") for i in range(40)] + [(k * 100 + 50, "https://h.example/0/0", "")]
+        page_files(spark, tmp_path / "in", [rows])
+    stream = read_pages_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    kept = S.stream_dedup_urls(stream, forget_after=forget_after).select("canonical")
+
+    def slow(batch, number):
+        batch.write.mode("append").parquet(str(tmp_path / "out"))
+        time.sleep(1.5)
+
+    writer = kept.writeStream.foreachBatch(slow).option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [max(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    found = [r.canonical for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(set(found)) == 40 * batches
+    if forget_after == S.FOREVER:
+        assert max(states) >= 40 * batches and len(found) == 40 * batches
+    else:
+        assert max(states) < 40 * batches * 0.8 and len(found) > 40 * batches
+
+
 def test_running_stats_and_progress(spark, tmp_path):
     page_files(spark, tmp_path / "in", BATCHES)
     stream = read_pages_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
