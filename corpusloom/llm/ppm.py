@@ -9,8 +9,10 @@ neither mark is a byte of UTF-8.
 
 What a task needs is bounded. Words with a share of at least ``HOT_SHARE`` of all tokens, 1 / HOT_SHARE
 at most, are broadcast; the rest, none of which is a hot key, is joined. All contexts of a position share its last
-two bytes, so a trie of more than ``MODEL_ROWS`` leaves is cut by these into shards that are broadcast one after
-the other, each over its own positions; sums over shards give the same scores.
+two bytes, so a trie of more than ``MODEL_ROWS`` leaves is cut by these into shards. Tasks build the shards and write them
+below the checkpoint root, and the tasks that score read them there; the driver sees names, totals, frequent words and the
+65,536 counts of two bytes at most. Each shard is a pass over the texts, stored with their row numbers, and
+one sum by row at the end gives the same scores as a trie in one piece.
 
 Nulls: a null text is empty (one token, the end). A row without doc_id is learned from and not held out.
 Without training rows every byte has the probability of 1 in 256. Repeated rows each count. An empty table gives an
@@ -19,16 +21,18 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tasks import map_batches, per_task, small_batches, texts
-from corpusloom.session import store
+from corpusloom.session import scratch_path, store
+from corpusloom.sources.files import file_system
 
 ORDER = 5
 START, END = 0xFE, 0xFF
@@ -246,13 +250,39 @@ class Trie:
 _BUILT: dict = {}
 
 
-def _trie(model) -> Trie:
-    """The trie of a broadcast model, kept while a worker process goes from task to task."""
-    levels = model.value
-    if id(levels) not in _BUILT:
+def write_model(leaves: DataFrame, shards: int, low, folder: str) -> dict[int, str]:
+    """Build every shard in a task of its own and write it below ``folder``; the file of each shard that has leaves.
+
+    A group is one shard: about ``MODEL_ROWS`` leaves. A repeated task writes a file of its own.
+    """
+
+    def built(table: pa.Table) -> pa.Table:
+        gram, n = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with system.open_output_stream(f"{base}/{name}") as out:
+            pickle.dump(build(gram, n, *low.value), out, protocol=5)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "name": [name]})
+
+    dealt = leaves.withColumn("shard", _shard_column(shards).cast("int")).groupBy("shard")
+    return dict(map(tuple, store(dealt.applyInArrow(built, "shard int, name string"), "ppm-model").collect()))
+
+
+def _trie(folder: str, name: str | None, low) -> Trie:
+    """The trie of a shard, kept while a worker process goes from task to task; without a name one without leaves."""
+    key = folder, name
+    if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[id(levels)] = Trie(levels)
-    return _BUILT[id(levels)]
+        if name is None:
+            nothing = np.zeros(0, np.int64)
+            levels = build(nothing, nothing, *low.value)
+        else:
+            system, base = file_system(folder)
+            with system.open_input_stream(f"{base}/{name}") as data:
+                levels = pickle.load(data)
+        _BUILT[key] = Trie(levels)
+    return _BUILT[key]
 
 
 def shard_of(windows, shards: int):
@@ -264,13 +294,12 @@ def shard_of(windows, shards: int):
 class _Score:
     """Code length of each text over the windows of one shard; word sums in the first shard."""
 
-    def __init__(self, model, words, shard: int, shards: int):
-        self.trie, self.words = _trie(model), words and words.value
+    def __init__(self, folder: str, name: str | None, low, words, shard: int, shards: int):
+        self.trie, self.words = _trie(folder, name, low), words and words.value
         self.shard, self.shards = shard, shards
-        self.row = TaskContext.get().partitionId() << 40
 
     def __call__(self, batch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("row", "score", "n_tokens", "n_known", "logs")}
+        out: dict[str, list] = {name: [] for name in ("score", "n_tokens", "n_known", "logs")}
         rare, times, ends = [], [], [0]
         for _, parts in _runs(batch):
             windows, sizes = grams(parts)
@@ -278,18 +307,15 @@ class _Score:
             mine = slice(None) if self.shards == 1 else np.flatnonzero(shard_of(windows, self.shards) == self.shard)
             logs[mine] = self.trie.log10(windows[mine])
             out["score"] += np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist()
-            for part in parts:
-                out["row"].append(self.row)
-                self.row += 1
-                if self.words is not None:
-                    counted = self._words(part, rare, times)
-                    ends.append(len(rare))
-                    for name, value in zip(("n_tokens", "n_known", "logs"), counted):
-                        out[name].append(value)
+            for part in parts if self.words is not None else ():
+                counted = self._words(part, rare, times)
+                ends.append(len(rare))
+                for name, value in zip(("n_tokens", "n_known", "logs"), counted):
+                    out[name].append(value)
         if self.words is None:
-            return {"row": out["row"], "score": out["score"]}
+            return {"row": batch.column("row"), "score": out["score"]}
         pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
-        own = {c: batch.column(c) for c in ("doc_id", "held_out")}
+        own = {c: batch.column(c) for c in ("row", "doc_id", "held_out")}
         return out | own | {"rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)}
 
     def _words(self, part: bytes, rare: list, times: list) -> tuple[int, int, float]:
@@ -318,11 +344,6 @@ def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store(leaves, "ppm-trie"), store(words, "ppm-words")
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()
-    return tuple(table.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-
-
 def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -332,20 +353,27 @@ def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     hot = words.where(F.col("c") >= tokens * HOT_SHARE).toArrow()
     logs = np.log10(hot.column("c").to_numpy().astype(float) + 0.5).tolist()
     hot_words = spark.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), logs)))
-    low = _arrays(leaves.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("n").alias("n")))
+    pairs = leaves.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast([c.to_numpy().astype(np.int64) for c in pairs.columns])
     shards = max(1, -(-rows // model_rows))
-    chosen = docs.select("doc_id", held_out().alias("held_out"), "text")
+    folder, sums = scratch_path(spark, "ppm-shards"), scratch_path(spark, "ppm-sums")
+    files = write_model(leaves, shards, low, folder)
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
+    if shards > 1:  # all passes have to know a row by the same number
+        chosen = store(chosen, "ppm-texts")
     fields = "row long, score double"
     more = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double"
     more += ", rare array<struct<word: binary, times: long>>"
-    scored = None
-    for shard in range(shards):
-        part = _arrays(leaves.where(_shard_column(shards) == shard))
-        model = spark.sparkContext.broadcast(build(*part, *low))
-        args = (model, hot_words if shard == 0 else None, shard, shards)
-        with small_batches(spark):
-            done = store(map_batches(chosen, _Score, f"{fields}, {more}" if shard == 0 else fields, *args), "ppm-scores")
-        scored = done if scored is None else _added(scored, done)
+    with small_batches(spark):
+        scored = store(
+            map_batches(chosen, _Score, f"{fields}, {more}", folder, files.get(0), low, hot_words, 0, shards), "ppm-scores"
+        )
+        for shard in range(1, shards):
+            args = (folder, files.get(shard), low, None, shard, shards)
+            map_batches(chosen.select("row", "text"), _Score, fields, *args).write.mode("append").parquet(sums)
+    if shards > 1:
+        rest = spark.read.schema(fields).parquet(sums).groupBy("row").agg(F.sum("score").alias("rest"))
+        scored = scored.join(rest, "row", "left").withColumn("score", F.col("score") + F.col("rest")).drop("rest")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     known = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"),
@@ -365,9 +393,3 @@ def _shard_column(shards: int):
     """``shard_of`` as a column over ``gram``."""
     last = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     return F.shiftright(last * 40503, 4) % shards
-
-
-def _added(scored: DataFrame, more: DataFrame) -> DataFrame:
-    """Scores of another shard added, row by row."""
-    extra = more.select("row", F.col("score").alias("extra"))
-    return scored.join(extra, "row").withColumn("score", F.col("score") + F.col("extra")).drop("extra")

@@ -77,4 +77,4 @@ QUERIES = {f.__name__: f for f in (
     op11_hadamard_clusters, op12_feast_whitening, op13_patched_blocks,
 )}
 
-SQL: dict[str, str] = {"op11_hadamard_clusters": sql.CLUSTERS}
+SQL: dict[str, str] = {"op4_containment_search": sql.CONTAINMENT, "op11_hadamard_clusters": sql.CLUSTERS}

@@ -21,6 +21,37 @@ centre{k + 1} AS MATERIALIZED (
 )"""
 
 
+#: Every item of which a document holds at least 0.8 of the distinct runs of five words (or all of a shorter item's words).
+CONTAINMENT = r"""
+WITH item AS MATERIALIZED (
+    SELECT item_id, w, least(5, len(w)) AS width
+    FROM (
+        SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+        FROM benchmark WHERE item_id IS NOT NULL
+    )
+),
+wanted AS MATERIALIZED (
+    SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS shingle
+    FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM item WHERE width > 0)
+),
+sized AS (SELECT item_id, count(*) AS n_shingles FROM wanted GROUP BY item_id),
+doc AS MATERIALIZED (
+    SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+    FROM documents WHERE doc_id IS NOT NULL
+),
+held AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + width - 1], ' ') AS shingle
+    FROM (
+        SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+        FROM doc, (SELECT DISTINCT width FROM item WHERE width > 0) AS widths
+    )
+),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM held JOIN wanted USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM shared JOIN sized USING (item_id)
+WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
 CLUSTERS = f"""
 WITH kept AS MATERIALIZED (
     SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
