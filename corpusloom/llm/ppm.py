@@ -253,20 +253,30 @@ _BUILT: dict = {}
 def write_model(leaves: DataFrame, shards: int, low, folder: str) -> dict[int, str]:
     """Build every shard in a task of its own and write it below ``folder``; the file of each shard that has leaves.
 
-    A group is one shard: about ``MODEL_ROWS`` leaves. A repeated task writes a file of its own.
+    A partition is one shard, about ``MODEL_ROWS`` leaves, and arrives in batches without being sorted or held by the JVM.
+    A repeated task writes a file of its own.
     """
 
-    def built(table: pa.Table) -> pa.Table:
-        gram, n = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+    def built(batches):
+        gram, n, shard = [], [], None
+        for batch in batches:
+            gram.append(batch.column("gram").to_numpy())
+            n.append(batch.column("n").to_numpy())
+            shard = batch.column("shard")[0] if len(batch) else shard
+        if shard is None:
+            return
+        leaves = np.concatenate(gram), np.concatenate(n)
+        del gram, n
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
         with system.open_output_stream(f"{base}/{name}") as out:
-            pickle.dump(build(gram, n, *low.value), out, protocol=5)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "name": [name]})
+            pickle.dump(build(*leaves, *low.value), out, protocol=5)
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_pydict({"shard": [shard.as_py()], "name": [name]}, pa.schema([("shard", pa.int32()), ("name", pa.string())]))
 
-    dealt = leaves.withColumn("shard", _shard_column(shards).cast("int")).groupBy("shard")
-    return dict(map(tuple, store(dealt.applyInArrow(built, "shard int, name string"), "ppm-model").collect()))
+    dealt = leaves.withColumn("shard", _shard_column(shards).cast("int")).repartitionById(shards, F.col("shard"))
+    return dict(map(tuple, store(dealt.mapInArrow(built, "shard int, name string"), "ppm-model").collect()))
 
 
 def _trie(folder: str, name: str | None, low) -> Trie:
@@ -281,6 +291,7 @@ def _trie(folder: str, name: str | None, low) -> Trie:
             system, base = file_system(folder)
             with system.open_input_stream(f"{base}/{name}") as data:
                 levels = pickle.load(data)
+            pa.default_memory_pool().release_unused()
         _BUILT[key] = Trie(levels)
     return _BUILT[key]
 
