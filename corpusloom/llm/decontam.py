@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators.distributed import pinned
+from corpusloom.operators.distributed import pinned, salted_lookup
 from corpusloom.session import store
 
 WORDS = 5
@@ -87,9 +87,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     cuts = [
         F.coalesce(_windows(F.col("tokens"), w, lambda s: F.array_join(s, " ")), F.array().cast("array<string>")) for w in widths
     ]
-    cut = tokens.select("doc_id", F.explode(F.flatten(F.array(*cuts)) if len(cuts) > 1 else cuts[0]).alias("shingle"))
-    shared = cut.join(items.select("item_id", "shingle", "n_shingles"), "shingle")
-    counted = shared.distinct().groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
+    # Each shingle counts once in a document; a passage that many documents share is spread over buckets by document.
+    cut = tokens.select("doc_id", F.explode(F.flatten(F.array(*cuts)) if len(cuts) > 1 else cuts[0]).alias("shingle")).distinct()
+    shared = salted_lookup(cut, items.select("item_id", "shingle", "n_shingles"), ["shingle"], F.col("doc_id"))
+    counted = shared.groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
     return (
         counted.join(pairs, ["doc_id", "item_id"], "left_semi")
         .where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment - 1e-9))
