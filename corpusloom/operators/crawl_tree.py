@@ -2,7 +2,7 @@
 
 A page hangs below the longest path prefix on its host among the pages that came before it. Walking
 the prefixes of a path from longest to shortest and keeping one if it came before the last kept one
-gives the whole chain to the top, so the tree again needs one explode and one equi-join.
+gives the whole chain to the top, so the tree again needs one explode of path parts and one equi-join.
 
 Where several earlier pages qualify, the longest path and then the smallest ``idx`` wins. Paths with
 doubled slashes or dot segments are compared as written.
@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls as U
 from corpusloom.operators.distributed import (
-    first_per_key,
     number_rows,
     number_within,
     salted_lookup,
 )
-from corpusloom.operators.page_tree import path_prefixes
+from corpusloom.operators.page_tree import path_hash, path_prefixes, prefix_owners, proven
 from corpusloom.session import store
 
 SORT_KEYS = ("index", "title", "url", "date")
 _KEPT = "array<struct<idx: long, key: string>>"
-_FOUND = "array<struct<n: int, path: string, idx: long, key: string>>"
+_FOUND = "array<struct<n: int, place: string, top: boolean, idx: long, key: string>>"
 
 
 def tree_nodes(urls: DataFrame, contents: DataFrame) -> DataFrame:
@@ -45,25 +44,31 @@ def _top_only(path: Column) -> Column:
     return path.rlike(r"\A/*[^/]*\z")
 
 
+def _place(path: Column) -> Column:
+    """The path itself where it is empty or a single slash, else a dot: all that a chain asks of it."""
+    return F.when(path.isin("", "/"), path).otherwise(F.lit("."))
+
+
 def _chain(idx: Column, path: Column, found: Column) -> Column:
     """Ancestors nearest first out of the candidates ordered from longest path to shortest."""
     start = F.struct(
-        path.alias("path"),
+        _place(path).alias("place"),
+        _top_only(path).alias("top"),
         idx.alias("idx"),
         F.array().cast(_KEPT).alias("kept"),
     )
 
     def step(acc: Column, cand: Column) -> Column:
-        last = acc["path"]
         fits = (
             (cand["idx"] < acc["idx"])
-            & ~last.isin("", "/")
-            & F.when(cand["path"] == "/", _top_only(last))
-            .when(cand["path"] == "", ~_top_only(last))
+            & (acc["place"] == ".")
+            & F.when(cand["place"] == "/", acc["top"])
+            .when(cand["place"] == "", ~acc["top"])
             .otherwise(F.lit(True))
         )
         taken = F.struct(
-            cand["path"].alias("path"),
+            cand["place"].alias("place"),
+            cand["top"].alias("top"),
             cand["idx"].alias("idx"),
             F.concat(
                 acc["kept"],
@@ -117,30 +122,29 @@ def build_tree(
 
     if use_url_hierarchy:
         parsed = base.filter(F.col("_host").isNotNull())
-        owners = first_per_key(
-            parsed.select("_host", F.col("path").alias("_prefix"), "idx", "_key"),
-            ["_host", "_prefix"],
-            "idx",
-        ).withColumnsRenamed({"idx": "_anc", "_key": "_anc_key"})
-        wanted = parsed.filter(~F.col("path").isin("", "/")).select(
-            "idx",
-            "_host",
-            F.explode(
-                F.array_union(path_prefixes(F.col("path")), F.array(F.lit("/")))
-            ).alias("_prefix"),
+        owners = prefix_owners(parsed, ["_host"], ["_key"])
+        below = parsed.filter(~F.col("path").isin("", "/"))
+        # Every node also asks for the root path, unless that is among its prefixes.
+        slash = F.lit("/")
+        asks = below.filter(~F.col("path").startswith("//")).select(
+            "idx", "_host", F.lit(2).alias("_parts"), path_hash(slash).alias("_hash")
         )
+        wanted = path_prefixes(below, ["_host"]).unionByName(asks)
+        matches = salted_lookup(wanted, owners, ["_host", "_parts", "_hash"], F.col("idx"))
+        anc = F.col("_anc_path")
         # Bounded by the number of slashes in one URL.
         found = (
-            salted_lookup(wanted, owners, ["_host", "_prefix"], F.col("idx"))
+            proven(matches, below, anc == slash)
             .groupBy("idx")
             .agg(
                 F.sort_array(
                     F.collect_list(
                         F.struct(
-                            F.length("_prefix").alias("n"),
-                            F.col("_prefix").alias("path"),
+                            F.length(anc).alias("n"),
+                            _place(anc).alias("place"),
+                            _top_only(anc).alias("top"),
                             F.col("_anc").alias("idx"),
-                            F.col("_anc_key").alias("key"),
+                            F.col("_key").alias("key"),
                         )
                     ),
                     asc=False,
@@ -158,7 +162,7 @@ def build_tree(
         ).alias("_walk"),
         root_ref.alias("_root"),
     )
-    at_top = F.lit(use_url_hierarchy) & F.col("_host").isNotNull() & F.col("_walk.path").isin("", "/")
+    at_top = F.lit(use_url_hierarchy) & F.col("_host").isNotNull() & F.col("_walk.place").isin("", "/")
     hooked = (F.col("_walk.idx") != F.col("_root.idx")) & (F.lit(fallback_to_root) | at_top)
     above = F.concat(
         F.when(hooked, F.array("_root")).otherwise(F.array().cast(_KEPT)),

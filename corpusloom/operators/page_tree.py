@@ -1,14 +1,15 @@
 """The tree pages form by their URL paths, for hierarchical output.
 
 The ancestors of a page are the existing proper ``/`` prefixes of its path, the first page of each
-path standing for it. So one prefix explode and one equi-join give depth, levels, order keys and
-every traversal; nothing recurses and nothing compares pages pairwise.
+path standing for it. So one explode of path parts and one equi-join on running prefix hashes give depth,
+levels, order keys and every traversal; nothing recurses and nothing compares pages pairwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import urls as U
 from corpusloom.operators.distributed import first_per_key, salted_lookup
@@ -18,16 +19,45 @@ ROOT_TITLE = "Root"
 _ANCESTORS = "array<struct<idx: long, title: string>>"
 
 
-def path_prefixes(path: Column) -> Column:
-    """Everything before a ``/`` of the path, shortest first; may start with an empty string."""
-    parts = F.split(path, "/")
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda k: F.array_join(F.slice(parts, 1, k), "/"),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def _step(at: Column, part: Column) -> Column:
+    return F.xxhash64(at, part)
+
+
+def path_hash(path: Column) -> Column:
+    """Hash of a whole path, the same as that of the prefix it is for longer paths."""
+    steps = F.transform(F.split(path, "/"), lambda part, k: _step(k, part))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, step: acc.bitwiseXOR(step))
+
+
+def path_prefixes(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """A row per ``/`` prefix of each path: ``idx``, ``keep``, its parts ``_parts`` and hash ``_hash``.
+
+    The hash of a prefix is the one before it and one more part, a running aggregate over the rows of
+    ``idx``, so no row holds more than one part of a path and a path of many slashes costs in proportion
+    to its length. Hashes propose; whoever joins on them compares the paths.
+    """
+    parts = nodes.where(F.contains("path", F.lit("/"))).select(
+        "idx", *keep, F.size(F.split("path", "/")).alias("_all"), F.posexplode(F.split("path", "/")).alias("_at", "_part")
+    )
+    steps = parts.where("_at < _all - 1").select(
+        "idx", *keep, (F.col("_at") + 1).alias("_parts"), _step(F.col("_at"), F.col("_part")).alias("_step")
+    )
+    upto = Window.partitionBy("idx").orderBy("_parts").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("_hash", F.bit_xor("_step").over(upto)).drop("_step")
+
+
+def prefix_owners(nodes: DataFrame, keep: list[str], others: list[str]) -> DataFrame:
+    """The first node of each path with what joins it to :func:`path_prefixes`; ``_anc`` is its idx."""
+    first = first_per_key(nodes.select(*keep, F.col("path").alias("_anc_path"), "idx", *others), [*keep, "_anc_path"], "idx")
+    return first.withColumns(
+        {"_parts": F.size(F.split("_anc_path", "/")), "_hash": path_hash(F.col("_anc_path"))}
+    ).withColumnRenamed("idx", "_anc")
+
+
+def proven(found: DataFrame, nodes: DataFrame, or_else: Column | None = None) -> DataFrame:
+    """Candidates whose path really is a prefix of the node's, up to a slash; an equal hash is no proof."""
+    prefix = F.col("path").startswith(F.concat("_anc_path", F.lit("/")))
+    return found.join(nodes.select("idx", "path"), "idx").where(prefix if or_else is None else prefix | or_else)
 
 
 def build_page_tree(pages: DataFrame, scope: str = "all") -> DataFrame:
@@ -39,29 +69,20 @@ def build_page_tree(pages: DataFrame, scope: str = "all") -> DataFrame:
     if scope not in ("all", "host"):
         raise ValueError(f"scope must be 'all' or 'host', not {scope!r}")
     host = [U.host(F.col("url")).alias("_host")] if scope == "host" else []
-    key = ["_host", "_prefix"] if host else ["_prefix"]
-    # Read four times below; titles may come from markup, which must not be parsed that often.
+    keep = ["_host"] if host else []
+    # Read several times below; titles may come from markup, which must not be parsed that often.
     nodes = store(
         pages.select("idx", "url", "title", U.url_path(F.col("url"), "empty").alias("path"), *host),
         "page-nodes",
     )
-    owners = first_per_key(
-        nodes.filter("path <> ''").withColumn("_prefix", F.col("path")).select(*key, "idx", "title"),
-        key,
-        "idx",
-    ).withColumnsRenamed({"idx": "_anc", "title": "_anc_title"})
-    wanted = nodes.select(
-        "idx", *key[:-1], F.explode(path_prefixes(F.col("path"))).alias("_prefix")
-    ).filter("_prefix <> ''")
+    owners = prefix_owners(nodes.where("path <> ''"), keep, ["title"])
+    wanted = path_prefixes(nodes, keep)
+    found = salted_lookup(wanted, owners, [*keep, "_parts", "_hash"], F.col("idx"))
     # The collected list is bounded by the number of slashes in one URL.
     chains = (
-        salted_lookup(wanted, owners, key, F.col("idx"))
+        proven(found, nodes)
         .groupBy("idx")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.length("_prefix").alias("n"), "_anc", "_anc_title"))
-            ).alias("_chain")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("_parts", "_anc", F.col("title").alias("_anc_title")))).alias("_chain"))
         .select(
             "idx",
             F.transform(

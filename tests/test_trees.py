@@ -188,3 +188,21 @@ def test_visitor_stops_at_the_first_error(spark):
         rows = visit_nodes(tree, fails, breadth_first).orderBy("position").collect()
         assert [r.idx for r in rows] == order[:4] and [r.error for r in rows] == [None] * 3 + [f"KeyError: 't{order[3]}'"]
     assert visit_nodes(tree.limit(0), names).collect() == []
+
+
+def test_paths_of_many_slashes(spark):
+    long = "https://a.example/x" + "/y" * 10_000
+    nodes = [(0, "https://a.example/x", "t"), (1, long[:-2], "u"), (2, long, "v"), (3, "https://a.example/x" + "/y" * 9_000 + "y/y", "w")]
+    pages = {r.idx: r for r in P.build_page_tree(frame(spark, nodes)).collect()}
+    assert [[a.idx for a in pages[k].ancestors] for k in range(4)] == [[], [0], [0, 1], [0]]
+    crawl = {r.idx: r.parent_idx for r in C.build_tree(frame(spark, nodes)).collect()}
+    assert crawl == {0: None, 1: 0, 2: 1, 3: 0}
+
+
+def test_equal_hashes_prove_nothing(spark, monkeypatch):
+    monkeypatch.setattr(P, "_step", lambda at, part: F.lit(0).cast("long"))
+    nodes = random_nodes(4)
+    pages = {r.idx: r.parent_idx for r in P.build_page_tree(frame(spark, nodes)).collect()}
+    assert [pages[i] for i in range(len(nodes))] == page_parents(nodes)
+    crawl = {r.idx: r.parent_idx for r in C.build_tree(frame(spark, nodes)).collect()}
+    assert [crawl[i] for i in range(len(nodes))] == crawl_parents(nodes)
