@@ -4,7 +4,7 @@ Every line is good or bad. Line features come from its characters and words and
 neighbours together. Forward-backward gives each line's probability of being good, and a document's score is
 their mean weighted by line length.
 
-The field is fitted by gradient steps on at most ``SAMPLE_ROWS`` labelled training documents, those that come first by hash of
+The field is fitted by gradient steps, summed in tasks, on at most ``SAMPLE_ROWS`` labelled training documents, those that come first by hash of
 doc_id, in which every line takes its document's label with ``TRUST``, as a bad document may hold good lines. Nothing
 else is learned, so predictions do not depend on other rows.
 
@@ -26,7 +26,9 @@ from corpusloom.session import store
 SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
 TRUST = 0.95
-STEPS, RATE, SHRINK = 200, 0.05, 1e-3
+STEPS, RATE, SHRINK = 60, 0.15, 1e-3
+#: Tasks that add up the slopes of the sample.
+FIT_TASKS = 8
 #: Longer chains are worked on in segments side by side, with exact messages between them.
 SEGMENT = 512
 
@@ -155,39 +157,59 @@ def marginals(odds: np.ndarray, change: np.ndarray, counts: np.ndarray, weights=
     return both[:, 1] / both.sum(axis=1), pairs
 
 
-def fit_chains(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict:
-    """Weights of the field by gradient steps with momentum scaling; labels are per document.
+def totals(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """What a fit has to know of all chains before its first step, as sums that add up over parts.
+
+    Lines, sums and squares of their features; then for each label documents, the sum of one over their lines, and
+    documents that have a transition.
+    """
+    per = [np.bincount(labels, of, 2) for of in (np.ones(len(counts)), 1.0 / counts, (counts > 1).astype(float))]
+    return np.concatenate([[len(features)], features.sum(axis=0), (features**2).sum(axis=0), *per])
+
+
+def slopes(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, theta, change, line, link) -> np.ndarray:
+    """Sums over chains of a step: of the weights of the features, then the expected transitions.
+
+    ``line`` and ``link`` are the weights that documents of each label give to their lines and to their transitions.
+    """
+    good, pairs = marginals(features @ theta, change, counts, link[labels] / np.maximum(counts - 1, 1))
+    target = np.where(labels == 1, TRUST, 1 - TRUST)
+    missing = (np.repeat(target, counts) - good) * np.repeat(line[labels] / counts, counts)
+    return np.concatenate([features.T @ missing, pairs.ravel()])
+
+
+def descend(sums: np.ndarray, slopes_of) -> dict:
+    """Weights of the field by gradient steps with momentum scaling, from totals and a function that adds up slopes.
 
     A line's target is its document's label with ``TRUST``; the target of a transition is the product of its lines'.
     Documents weigh the same whatever their length, and both labels weigh the same.
     """
-    scale = np.maximum(features.std(axis=0), 1e-3)
-    scaled = features / scale
-    owner = np.repeat(np.arange(len(counts)), counts)
-    weight = 1.0 / np.maximum(np.bincount(labels, minlength=2), 1)[labels] / counts
-    weight /= weight.sum()
-    each = weight * counts / np.maximum(counts - 1, 1)  # of a document's transitions, which are one fewer
-    each /= max(each @ (counts - 1), 1e-12)
-    target = np.where(labels[owner] == 1, TRUST, 1 - TRUST)
-    inner = np.ones(len(owner), bool)
-    inner[np.cumsum(counts) - counts] = False
-    after = np.flatnonzero(inner)
-    p, q = target[after - 1], target[after]
-    share = each[owner[after]]
-    wanted = np.array([[(share * a) @ b for b in (1 - q, q)] for a in (1 - p, p)])
-    theta, change = np.zeros(features.shape[1]), np.zeros((2, 2))
+    mean, square = sums[1:-6].reshape(2, -1) / sums[0]
+    scale = np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-3)
+    documents, inverse, linked = sums[-6:].reshape(3, 2)
+    share = 1.0 / np.maximum(documents, 1)
+    line = share / (share @ inverse)
+    link = share / max(share @ linked, 1e-12)
+    sides = np.array([[TRUST, 1 - TRUST], [1 - TRUST, TRUST]])  # of labels 0 and 1: bad, good
+    wanted = np.einsum("k,ki,kj->ij", link * linked, sides, sides)
+    theta, change = np.zeros(len(scale)), np.zeros((2, 2))
     pace = [np.zeros_like(theta), np.zeros_like(change)]
     size = [np.zeros_like(theta), np.zeros_like(change)]
     for t in range(1, STEPS + 1):
-        good, pairs = marginals(scaled @ theta, change, counts, each)
-        slopes = [scaled.T @ ((target - good) * weight[owner]) - SHRINK * theta, wanted - pairs - SHRINK * change]
-        for k, (value, slope) in enumerate(zip((theta, change), slopes)):
+        found = slopes_of(theta / scale, change, line, link)
+        steps = [found[:-4] / scale - SHRINK * theta, wanted - found[-4:].reshape(2, 2) - SHRINK * change]
+        for k, (value, slope) in enumerate(zip((theta, change), steps)):
             pace[k] = 0.9 * pace[k] + 0.1 * slope
             size[k] = 0.999 * size[k] + 0.001 * slope**2
             value += RATE * (pace[k] / (1 - 0.9**t)) / (np.sqrt(size[k] / (1 - 0.999**t)) + 1e-8)
     return {"theta": theta / scale, "change": change}
 
 
+def fit_chains(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict:
+    """The field of chains held in memory; labels are per document."""
+    return descend(totals(features, counts, labels), lambda *state: slopes(features, counts, labels, *state))
+
+
 def quality(parts: list[str], model: dict) -> np.ndarray:
     """The length-weighted share of good lines of each text."""
     if model["theta"] is None:
@@ -204,17 +226,25 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """The model, fitted on the driver on a bounded sample of labelled rows."""
+    """The model, fitted on a bounded sample of labelled rows.
+
+    Features of the sample's lines are stored; each step is a job over them that adds up slopes in tasks, so the driver
+    holds the weights and a vector per batch, whatever the length of the texts.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "crf-sample")
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
-    lines = map_batches(sample, _sampled, "doc_id long, quality int, features binary").toArrow().sort_by("doc_id")
-    if not lines.num_rows:
-        return {"theta": None, "change": None}
-    chains = [np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES) for raw in lines.column("features").to_pylist()]
-    labels_of = (lines.column("quality").to_numpy() == 1).astype(np.int64)
-    return fit_chains(np.concatenate(chains).astype(float), np.array([len(c) for c in chains], np.int64), labels_of)
+    # A fixed order of rows, so that sums do not depend on how the tables were read.
+    dealt = sample.repartition(FIT_TASKS, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    chains = store(map_batches(dealt, _sampled, "doc_id long, quality int, features binary"), "crf-chains")
+
+    def added(kernel, *state) -> np.ndarray | None:
+        parts = map_batches(chains, _summed, "first long, sums array<double>", kernel, state).toArrow().sort_by("first")
+        return np.sum(parts.column("sums").to_pylist(), axis=0) if parts.num_rows else None
+
+    sums = added(totals)
+    return {"theta": None, "change": None} if sums is None else descend(sums, lambda *state: added(slopes, *state))
 
 
 def _sampled(batch) -> dict:
@@ -224,6 +254,14 @@ def _sampled(batch) -> dict:
     return own | {"features": pa.array([c.tobytes() for c in cut], pa.binary())}
 
 
+def _summed(batch, kernel, state) -> dict:
+    chains = [np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES) for raw in batch.column("features").to_pylist()]
+    counts = np.array([len(c) for c in chains], np.int64)
+    labels = (batch.column("quality").to_numpy(zero_copy_only=False) == 1).astype(np.int64)
+    sums = kernel(np.concatenate(chains).astype(float), counts, labels, *state)
+    return {"first": batch.column("doc_id").slice(0, 1), "sums": [sums.tolist()]}
+
+
 def _scored(batch, model) -> dict:
     score = quality(texts(batch), model.value)
     own = {c: batch.column(c) for c in ("doc_id", "held_out")}
