@@ -185,7 +185,8 @@ def descend(sums: np.ndarray, slopes_of) -> dict:
     Documents weigh the same whatever their length, and both labels weigh the same.
     """
     mean, square = sums[1:-6].reshape(2, -1) / sums[0]
-    scale = np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-3)
+    spread = np.sqrt(np.maximum(square - mean**2, 0))
+    scale = np.where(spread > 1e-3, spread, 1.0)  # constants stay: scaled up, the rounding of their slopes would grow
     documents, inverse, linked = sums[-6:].reshape(3, 2)
     share = 1.0 / np.maximum(documents, 1)
     line = share / (share @ inverse)

@@ -130,6 +130,18 @@ def test_held_out_labels_change_nothing(spark, docs):
     assert (a["theta"] == b["theta"]).all() and (a["change"] == b["change"]).all()
 
 
+def test_fit_in_tasks_is_fit_in_memory(spark, docs):
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(~crf.held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    features, _, counts = crf.line_features([r.text or "" for r in rows])
+    expected = crf.fit_chains(features.astype(np.float32).astype(float), counts, np.array([r.quality for r in rows]))
+    found = crf.fit(docs, labels)
+    assert len(rows) > 50 and np.allclose(found["theta"], expected["theta"], atol=1e-6)
+    assert np.allclose(found["change"], expected["change"], atol=1e-6)
+
+
 def test_density_reads_embedded_content():
     assert density.extract("<p>the area is <math><mi>x</mi></math> wide</p>") == "the area is x wide"
     assert density.extract("<p>a</p><xmp>b <i> c</xmp><p>see <svg width=1><text>label</text><path d=1 /></svg> ok</p>") == "a\nb <i> c\nsee label ok"
