@@ -1,14 +1,13 @@
 """A data source that writes one object per file, put together from pieces that tasks have written.
 
-Spark's own text writer names objects itself. Here a row names an object and the pieces it consists of; a task copies
-them in order, a buffer at a time, under a passing name and then moves the object into place, so a reader never sees
+Spark's own text writer names objects itself. Here a row names an object and the pieces it consists of, ranges of what
+tasks have staged; a task copies them in order, a buffer at a time, under a passing name and then moves the object into place, so a reader never sees
 half of one and a repeated task replaces an object by the same bytes. The commit of the job writes ``_SUCCESS``.
 """
 
 from __future__ import annotations
 
 import json
-import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,32 +42,41 @@ def checked_name(name: str) -> str:
 
 
 def stage_pieces(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Write the lines of each run of one ``file`` below ``folder``; yields file, part, bytes and name of each piece.
+    """Write the lines of a task to one object below ``folder``; yields file, part, bytes, and where each piece stands.
 
-    Batches hold ``file``, ``text`` and the number of the partition, ``part``; rows of a file follow each other.
+    Batches hold ``file``, ``text`` and the number of the partition, ``part``; rows of a file follow each other, so a
+    piece, the lines of one file, is ``bytes`` from ``start`` of the object ``piece``.
     """
     system, base = file_system(folder)
     system.create_dir(base, recursive=True)
-    name, piece, out, size, at = None, None, None, 0, 0
+    piece, out, name, start, at, number = uuid.uuid4().hex, None, None, 0, 0, 0
+    ended: list[tuple[str, int, int, int]] = []
 
-    def closed() -> pa.RecordBatch:
-        out.close()
-        return pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([at], pa.int32()), "bytes": [size], "piece": [piece]})
+    def pieces() -> pa.RecordBatch:
+        files, parts, starts, sizes = zip(*ended)
+        columns = {"file": files, "part": pa.array(parts, pa.int32()), "start": starts, "bytes": sizes, "piece": [piece] * len(files)}
+        ended.clear()
+        return pa.RecordBatch.from_pydict(columns)
 
     for batch in batches:
         rows = zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), batch.column("part").to_pylist())
         for file, text, part in rows:
-            if file != name:
-                if out is not None:
-                    yield closed()
-                name, piece, size, at = file, uuid.uuid4().hex, 0, part
-                checked_name(name)
-                out = system.open_output_stream(f"{base}/{piece}", buffer_size=1 << 16)
+            if out is None or file != name:
+                checked_name(file)
+                if out is None:
+                    out = system.open_output_stream(f"{base}/{piece}", buffer_size=1 << 16)
+                else:
+                    ended.append((name, number, start, at - start))
+                name, start, number = file, at, part
             line = f"{text or ''}\n".encode("utf-8", "surrogatepass")
             out.write(line)
-            size += len(line)
+            at += len(line)
+        if ended:
+            yield pieces()
     if out is not None:
-        yield closed()
+        out.close()
+        ended.append((name, number, start, at - start))
+        yield pieces()
 
 
 @dataclass
@@ -79,6 +87,38 @@ class Written(WriterCommitMessage):
     bytes: int
 
 
+class Staged:
+    """Staged pieces; the object read last stays open, as the next piece most often follows there."""
+
+    def __init__(self, folder: str):
+        self.system, self.base = file_system(folder)
+        self.name, self.data = None, None
+
+    def copy(self, piece: Row, out) -> None:
+        if piece.piece != self.name:
+            self.close()
+            self.name, self.data = piece.piece, self.system.open_input_file(f"{self.base}/{piece.piece}")
+        self.data.seek(piece.start)
+        left = piece.bytes
+        while left:
+            block = self.data.read(min(left, _BUFFER))
+            if not block:
+                raise EOFError(f"{piece.piece} ends within a piece")
+            out.write(block)
+            left -= len(block)
+
+    def close(self) -> None:
+        if self.data is not None:
+            self.data.close()
+        self.name, self.data = None, None
+
+    def __enter__(self) -> Staged:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 class FilesWriter(DataSourceWriter):
     """Rows ``(target, pieces)`` become objects below the folder."""
 
@@ -87,20 +127,19 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, base = file_system(self.folder)
-        source, pieces = file_system(self.staged)
         objects = size = 0
-        for row in iterator:
-            target = f"{base}/{checked_name(row.target)}"
-            passing = f"{base}/_passing/{uuid.uuid4().hex}"
-            for folder in (passing, target):
-                system.create_dir(folder.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(passing) as out:
-                for piece in row.pieces:
-                    with source.open_input_stream(f"{pieces}/{piece}") as data:
-                        shutil.copyfileobj(data, out, _BUFFER)
-                size += out.tell()
-            system.move(passing, target)
-            objects += 1
+        system.create_dir(f"{base}/_passing", recursive=True)
+        with Staged(self.staged) as staged:
+            for row in iterator:
+                target = f"{base}/{checked_name(row.target)}"
+                passing = f"{base}/_passing/{uuid.uuid4().hex}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(passing) as out:
+                    for piece in row.pieces:
+                        staged.copy(piece, out)
+                    size += out.tell()
+                system.move(passing, target)
+                objects += 1
         return Written(objects, size)
 
     def commit(self, messages: list[Written | None]) -> None:

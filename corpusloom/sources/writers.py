@@ -21,12 +21,15 @@ OBJECT_BYTES = 4 << 30
 
 def write_rendered(
     sections: DataFrame, path: str, mode: str = "errorifexists", object_bytes: int = OBJECT_BYTES
-) -> None:
+) -> DataFrame | None:
     """Every ``file`` as an object at its own path below ``path``, so that relative links lead somewhere.
 
     A file beyond ``object_bytes`` is ``file``, ``file.00001``, ``file.00002`` and so on, cut at line ends; put
     together in the order of their names they are the file. Modes: ``errorifexists``, ``ignore``, ``overwrite``
     (the folder is emptied first) and ``append`` (files of the same name are replaced).
+
+    Returns the names of the objects written, a table ``file`` that a reader may start from
+    (:func:`corpusloom.sources.readers.read_objects`) in place of a listing; None where nothing was to be written.
     """
     if mode not in ("error", "errorifexists", "ignore", "overwrite", "append"):
         raise ValueError(f"unknown mode: {mode}")
@@ -41,7 +44,7 @@ def write_rendered(
     order = ["file", *[c for c in ("part", "sort_key") if c in sections.columns]]
     lines = sections.repartitionByRange(*order).sortWithinPartitions(*order)
     pieces = lines.select("file", "text", F.spark_partition_id().alias("part")).mapInArrow(
-        lambda batches: stage_pieces(batches, staged), "file string, part int, bytes long, piece string"
+        lambda batches: stage_pieces(batches, staged), "file string, part int, start long, bytes long, piece string"
     )
     pieces = store(pieces, "piece-list")
     # A file has at most one piece per task, so both windows and lists are bounded by the number of partitions.
@@ -49,7 +52,7 @@ def write_rendered(
     objects = (
         pieces.withColumn("number", F.floor(before / object_bytes))
         .groupBy("file", "number")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("pieces"))
+        .agg(F.array_sort(F.collect_list(F.struct("part", "piece", "start", "bytes"))).alias("pieces"))
         .withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("number")) - 1)
     )
     target = F.when(F.col("place") == 0, F.col("file")).otherwise(
@@ -58,13 +61,12 @@ def write_rendered(
     if mode == "overwrite" and system.get_file_info(base).type == fs.FileType.Directory:
         system.delete_dir_contents(base)
     spark.dataSource.register(FilesSource)
-    (
-        objects.select(target.alias("target"), F.col("pieces.piece").alias("pieces"))
-        .write.format(FORMAT)
-        .option("staged", staged)
-        .mode("append")
-        .save(path)
-    )
+    # A row is short and its object is not: rows are dealt to all cores, neighbours in the staged objects together.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = objects.select(target.alias("target"), "pieces").repartitionByRange(tasks, F.get("pieces", F.lit(0))["piece"], F.get("pieces", F.lit(0))["start"])
+    dealt = store(dealt, "object-list")
+    dealt.write.format(FORMAT).option("staged", staged).mode("append").save(path)
+    return dealt.select(F.col("target").alias("file"))
 
 
 def write_lines(df: DataFrame, line: Column, path: str, mode: str = "errorifexists") -> None:

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from corpusloom.functions import naming as N
 from corpusloom.operators.profile import crawl_profile, crawl_profile_lines
 from corpusloom.plans import hier_render as H
 from corpusloom.plans import render as R
+from corpusloom.sources.files import stage_pieces
+from corpusloom.sources.readers import read_objects
 from corpusloom.sources.writers import write_rendered
 
 WHEN = dt.datetime(2024, 1, 2, 3, 4, 5)
@@ -228,6 +231,30 @@ def test_file_over_many_tasks(spark, tmp_path):
     assert "".join(cut[n] for n in big) == expected["big/one.txt"]
 
 
+def test_one_staged_object_per_task(tmp_path):
+    def batch(files, texts):
+        return pa.RecordBatch.from_pydict({"file": files, "text": texts, "part": pa.array([3] * len(files), pa.int32())})
+
+    staged = tmp_path / "staged"
+    batches = [batch(["a", "a", "b"], ["1", None, "été"]), batch(["b", "c"], ["2", "3"]), batch(["d"], ["4"])]
+    found = [row for pieces in stage_pieces(iter(batches), str(staged)) for row in pieces.to_pylist()]
+    assert len(list(staged.iterdir())) == 1 and list(stage_pieces(iter([]), str(staged))) == []
+    assert len(list(staged.iterdir())) == 1 and {row["part"] for row in found} == {3}
+    whole = {r["file"]: (staged / r["piece"]).read_bytes()[r["start"] : r["start"] + r["bytes"]].decode() for r in found}
+    assert whole == {"a": "1\n\n", "b": "été\n2\n", "c": "3\n", "d": "4\n"}
+
+
+def test_written_objects_are_read_by_name(spark, tmp_path):
+    """Nothing is listed, so an object that was not written does not count; all cores write."""
+    lines = spark.range(400).selectExpr("concat('d', id % 100, '/index.md') AS file", "1 AS part", "id AS sort_key", "concat('line ', id) AS text")
+    objects = write_rendered(lines, str(tmp_path / "out"))
+    (tmp_path / "out" / "stray.md").write_text("x")
+    expected = {f"d{k}/index.md": "".join(f"line {n}\n" for n in range(k, 400, 100)) for k in range(100)}
+    assert {r.file: r.text for r in read_objects(objects, str(tmp_path / "out")).collect()} == expected
+    assert len(objects.select(F.input_file_name()).distinct().collect()) == 8
+    assert read_objects(write_rendered(lines.limit(0), str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
+
+
 def test_files_stay_below_the_folder(spark, tmp_path):
     rows = spark.createDataFrame([("../away.txt", 1, 1, "x")], "file string, part int, sort_key int, text string")
     with pytest.raises(Exception, match="not a file name below"):
