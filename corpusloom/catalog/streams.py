@@ -30,7 +30,7 @@ _X = f"WITH {B.EXTRACTED_SQL}, {metrics_sql('x')}"
 
 
 def _pages(s, sf):
-    return read_pages_stream(s, sf, "pages.parquet")
+    return read_pages_stream(s, f"{sf}/pages.parquet")
 
 
 @query(
@@ -95,6 +95,7 @@ def _stream_profile(s, sf):
 def _stream_progress(s, sf):
     """What the callback was told, whatever the batches were, and what the wrapped writer wrote."""
     told, rows = [], scratch_path(s, "stream-progress")
+    s.createDataFrame([], "idx long, url string").write.parquet(f"{rows}/rows")  # no page, no batch
     writer = S.write_with_progress(
         _pages(s, sf).select("idx", "url"),
         lambda batch, _: batch.write.mode("append").parquet(f"{rows}/rows"),
@@ -102,6 +103,11 @@ def _stream_progress(s, sf):
     )
     writer.option("checkpointLocation", f"{rows}/state").trigger(availableNow=True).start().awaitTermination()
     said = s.createDataFrame(told, "number long, rows long, total long, last_url string")
-    written = single_value(s.read.schema("idx long, url string").parquet(f"{rows}/rows"), F.count("*"))
-    last = F.max_by("last_url", "number").alias("last_url")
-    return said.agg(F.sum("rows").alias("rows"), F.max("total").alias("total"), last).withColumn("written", written)
+    done = s.read.schema("idx long, url string").parquet(f"{rows}/rows")
+    written = single_value(done, F.count("*"))
+    # Files may come in any order, so the last batch need not hold the last page.
+    places = done.groupBy(F.col("url").alias("last_url")).agg(F.max("idx").alias("idx"))
+    said = said.join(places, "last_url", "left")
+    facts = {"rows": F.sum("rows"), "total": F.max("total")}
+    facts = [F.coalesce(fact, F.lit(0).cast("long")).alias(name) for name, fact in facts.items()]
+    return said.agg(*facts, F.max_by("last_url", "idx").alias("last_url")).withColumn("written", written)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import trim_space
 from corpusloom.sources.files import file_system
@@ -24,18 +25,35 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return _as_pages(spark.read.schema(PAGE_SCHEMA).parquet(path))
 
 
-def read_pages_stream(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 100
+def read_stream(
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType,
+    pattern: str = "*.parquet",
+    files_per_trigger: int = 100,
 ) -> DataFrame:
-    """The same rows as a stream of files landing in ``folder``."""
-    return _as_pages(
-        spark.readStream.schema(PAGE_SCHEMA)
+    """A table as a stream of its files: ``path`` is a single file, or a folder in which files land.
+
+    A stream takes a plain path for a folder, a glob for either. It does not miss what a glob does not
+    find, so the plain path is looked up first.
+    """
+    spark.read.schema(schema).parquet(path)
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    return (
+        spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{folder}{slash}{{{name}}}")
     )
 
 
+def read_pages_stream(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", files_per_trigger: int = 100
+) -> DataFrame:
+    """The same rows as a stream of files: the single file ``path``, or those landing in that folder."""
+    return _as_pages(read_stream(spark, path, PAGE_SCHEMA, pattern, files_per_trigger))
+
+
 def list_lines(df: DataFrame, line: Column, name: str = "line") -> DataFrame:
     """Trimmed lines without blanks and ``#`` comments."""
     kept = df.withColumn(name, trim_space(line))

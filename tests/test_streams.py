@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import streams as C
 from corpusloom.sources.readers import read_pages_stream
 from corpusloom.streaming import streams as S
 
@@ -121,3 +122,31 @@ def test_progress_around_a_writer(spark, tmp_path):
     assert [t[2] for t in told] == [sum(x[1] for x in told[: k + 1]) for k in range(3)]
     assert {t[3] for t in told} == {"u0", "u11", "u22"}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def table_of_files(spark, folder, batches):
+    """``pages.parquet`` as a folder of files, as larger tables come."""
+    page_files(spark, folder / "pages.parquet", batches)
+    return str(folder)
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_progress_over_a_folder_of_files(spark, tmp_path, monkeypatch, files):
+    """The last page stands in the first file."""
+    sf = table_of_files(spark, tmp_path, BATCHES[::-1])
+    monkeypatch.setattr(C, "_pages", lambda s, sf: read_pages_stream(s, f"{sf}/pages.parquet", files_per_trigger=files))
+    assert tuple(C.QUERIES["stream_progress"](spark, sf).first()) == (5, 5, "https://H.example/A#x", 5)
+
+
+def test_progress_of_no_page(spark, tmp_path):
+    (tmp_path / "pages.parquet").mkdir()
+    assert tuple(C.QUERIES["stream_progress"](spark, str(tmp_path)).first()) == (0, 0, None, 0)
+
+
+def test_single_file_and_missing_table(spark, tmp_path):
+    page_files(spark, tmp_path / "in", BATCHES[:1])
+    (part,) = (tmp_path / "in").glob("*.parquet")
+    found = S.run_available(read_pages_stream(spark, str(part)).select("idx"), "t-single")
+    assert sorted(r.idx for r in found.collect()) == [0, 1]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_pages_stream(spark, str(tmp_path / "nowhere.parquet"))
