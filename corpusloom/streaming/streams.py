@@ -136,6 +136,7 @@ def run_available(df: DataFrame, label: str, keep_last: bool = False) -> DataFra
     base = scratch_path(spark, label)
     writer = df.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if keep_last:
+        spark.createDataFrame([], df.schema).write.parquet(f"{base}/rows")  # a stream without a batch leaves no rows
         query = (
             writer.outputMode("complete")
             .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows"))

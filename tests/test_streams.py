@@ -150,3 +150,18 @@ def test_single_file_and_missing_table(spark, tmp_path):
     assert sorted(r.idx for r in found.collect()) == [0, 1]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_pages_stream(spark, str(tmp_path / "nowhere.parquet"))
+
+
+def test_stats_over_a_folder_of_files(spark, tmp_path):
+    stats = C.QUERIES["stream_quality_stats"](spark, table_of_files(spark, tmp_path / "some", BATCHES)).first()
+    assert (stats.total_pages, stats.total_words) == (4, 4)
+    (tmp_path / "none" / "pages.parquet").mkdir(parents=True)
+    assert C.QUERIES["stream_quality_stats"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_profile_over_a_folder_of_files(spark, tmp_path):
+    rows = [(k, dt.datetime(2024, 1, 1, k), "error", 1.5, 7, "abc") for k in range(3)]
+    schema = "event_id long, ts timestamp, event_type string, value double, user_id long, props string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = C.QUERIES["stream_crawl_profile"](spark, str(tmp_path)).collect()
+    assert [(r.pages_scraped, r.total_bytes, r.errors) for r in found] == [(1, 307, 1)] * 3
