@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,7 @@ from pyspark.sql.window import Window
 from corpusloom.session import store
 
 SALTS = 64
+SLICE_BYTES = 1 << 20
 _ROW_BITS = 33
 
 
@@ -22,6 +26,13 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``limit`` bytes, one row at least."""
+    step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the smallest ``order`` for each key; combines before the shuffle."""
     others = [c for c in df.columns if c not in keys]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text, is_blank
-from corpusloom.operators.distributed import pinned
+from corpusloom.operators.distributed import pinned, slices
 from corpusloom.operators.html_scan import (
     CONTENT_SELECTORS,
     STRIP_SELECTORS,
@@ -33,8 +33,9 @@ def scan_pages(
 ) -> DataFrame:
     """Run the markup scan over Arrow batches and return ``idx, url`` and the asked-for fields.
 
-    The markup itself stays behind: what leaves the Python worker is text and links only. A map
-    keeps the partitioning of its input, so no shuffle happens here; see :func:`spread` for
+    The markup itself stays behind: what leaves the Python worker is text and links only. It scans
+    about ``SLICE_BYTES`` of pages at a time, so beside the batch that Spark hands it (10,000 rows or 64 MB by its
+    defaults) a worker holds the scans of a few pages, whatever the size of the table. A map keeps the partitioning of its input, so no shuffle happens here; see :func:`spread` for
     inputs in few large files.
     """
     unknown = set(fields) - set(_TYPES)
@@ -44,7 +45,7 @@ def scan_pages(
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = make_scanner(*lists)
-        for batch in source:
+        for batch in (part for whole in source for part in slices(whole)):
             scans = [scan(markup or "") for markup in batch.column("html").to_pylist()]
             columns = {"idx": batch.column("idx"), "url": batch.column("url")}
             if "title" in fields:

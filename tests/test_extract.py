@@ -1,4 +1,5 @@
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text, count_words
@@ -9,6 +10,8 @@ from corpusloom.operators.extract import (
     extract_title,
     link_count,
 )
+from corpusloom.operators.distributed import SLICE_BYTES
+from corpusloom.operators.extract import scan_pages
 from corpusloom.operators.html_scan import make_scanner
 
 LONG = "This sentence is repeated until the text is long enough to be taken as the content. " * 3
@@ -175,3 +178,25 @@ def test_misnested_formatting_ends_alone():
     assert found.content == "one" and found.body == "xonefive"
     scan = make_scanner(content_selectors=("i",), strip_selectors=())
     assert scan("<p>x<b>one<i>two</b>three</i>four</p><i>five").content == "twothreefive"
+
+
+class Captured:
+    """Stands in for a table; keeps the function a task would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_is_scanned_in_slices():
+    """A worker holds the scans of few pages, however many pages Spark puts into a batch."""
+    pages = [f'<article>{k} {"x" * 4000}</article><a href="/{k}">l</a>' for k in range(3000)] + [None, "y" * 3_000_000]
+    batch = pa.RecordBatch.from_pydict({"idx": list(range(len(pages))), "url": ["u"] * len(pages), "html": pages})
+    out = list(scan_pages(Captured())(iter([batch, batch.slice(0, 0)])))
+    assert len(out) >= batch.nbytes // SLICE_BYTES and max(b.num_rows for b in out) < 500
+    table = pa.Table.from_batches(out)
+    assert table["idx"].to_pylist() == list(range(len(pages)))
+    assert [len(links) for links in table["links"].to_pylist()] == [1] * 3000 + [0, 0]
+    assert table["raw_text"][7].as_py() == "7 " + "x" * 4000 and len(table["raw_text"][3001].as_py()) == 3_000_000
